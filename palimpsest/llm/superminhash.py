@@ -41,7 +41,7 @@ def signatures(element: np.ndarray, at: np.ndarray, slots: int = BANDS * ROWS) -
     for j in range(slots):
         if not len(x):
             break
-        r = mix(x + U(2 * j + 1) * BASE)
+        r = mix(x + U((2 * j + 1) * int(BASE) % (1 << 64)))
         k = (j + (((r & U(0xFFFFFFFF)) * U(slots - j)) >> U(32)).astype(np.int64)).astype(np.int64)
         if perm is None:
             slot = k

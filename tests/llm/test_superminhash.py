@@ -85,7 +85,7 @@ def test_large_group_of_near_copies(spark):
     rng = random.Random(5)
     base = [str(rng.random()) for _ in range(120)]
     rows = []
-    for i in range(300):
+    for i in range(60):
         w = list(base)
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(120)] = str(rng.random())
