@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import superminhash
+from . import bpe, hyperplane, language, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,28 @@ def op9_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplane.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokens(spark, read(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def language_profiles(docs: DataFrame) -> dict:
+    """Learnt from the documents that aren't held out."""
+    return language.learn(docs.where(~language.held_out()))
+
+
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language_profiles(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_rank_order_language": op3_rank_order_language,
+    "op8_prefix_bpe": op8_prefix_bpe,
     "op9_superminhash_dedup": op9_superminhash_dedup,
+    "op10_hyperplane_dedup": op10_hyperplane_dedup,
 }
 ORACLES: dict[str, str] = {}
