@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hyperplane, language, superminhash
+from . import bpe, hyperplane, language, pii, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +37,13 @@ def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language_profiles(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.learn(docs))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_crf_pii": op2_crf_pii,
     "op3_rank_order_language": op3_rank_order_language,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_superminhash_dedup": op9_superminhash_dedup,
