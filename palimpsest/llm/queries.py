@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, hyperplane, language, pii, superminhash
+from . import bpe, hyperplane, language, licenses, mixing, pii, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +43,24 @@ def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(docs, pii.learn(docs))
 
 
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_crf_pii": op2_crf_pii,
     "op3_rank_order_language": op3_rank_order_language,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
+    "op7_license_set_join": op7_license_set_join,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_hyperplane_dedup": op10_hyperplane_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_license_set_join": licenses.oracle(),
+}

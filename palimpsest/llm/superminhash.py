@@ -17,8 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -122,12 +123,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stands for it. Rows with a null id are kept with component null. Other columns are ignored.
 
     Plan: one pass over the texts makes fixed-size fingerprints (written, since they are read several
-    times). Equal sets collapse by a pre-aggregated grouping. Buckets are compared with one leader at
-    a time, never all with all; what a leader doesn't settle is compared with the next leader, and the
-    few pairs left between different components of a bucket are listed in full, so that no link is
-    lost. Only documents in candidate pairs are shingled again, for the check on full sets.
+    times). Equal sets collapse by a pre-aggregated grouping. A bucket's documents are compared with its
+    leader, the smallest id, never all with all. Where different components still meet in a bucket, the
+    documents outside its largest component are compared with the others in blocks that emit links
+    only, so that no link is lost. One shuffle brings the texts of documents in shared buckets to be
+    shingled again for the checks on full sets.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = written(texts.mapInArrow(lambda it: fingerprints(it, width, bands, rows), "id long, n long, set_a long, set_b long, bands array<long>"), "fingerprints")
 
@@ -135,40 +136,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # bands are a function of the set, so any member's serve the class
     classes = written(sets.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    busy = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = written(members.join(busy, "bucket"), "members")
+    # one leader a bucket; a pair that differs too much in size can't be linked
+    lead = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
+    members = written(members.join(lead, "bucket"), "members")
+    wanted = members.select("id").distinct()
+    full = texts.hint("merge").join(wanted, "id", "left_semi").mapInArrow(lambda it: full_sets(it, width), "id long, elements binary")
+    full = written(full, "sets")
 
     close = F.expr(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)")
-    label = None
-    edges = None
-    open_members = members.withColumn("component", F.col("id")).withColumn("spent", F.lit(False))
-    first = True
-    while True:
-        if first:
-            lead = open_members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("l"))
-        else:
-            lead = open_members.where("not spent").groupBy("bucket").agg(F.max(F.struct("component", "id", "n")).alias("l"))
-        lead = lead.select("bucket", F.col("l.id").alias("leader"), F.col("l.n").alias("m"), (F.lit(-1) if first else F.col("l.component")).cast("long").alias("its"))
-        pairs = open_members.join(lead, "bucket").where((F.col("id") != F.col("leader")) & (F.col("component") != F.col("its")) & ~F.col("spent") & close)
-        found = _verified(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, percent, width)
-        edges = found if edges is None else edges.unionByName(found)
-        label = written(components(edges), "labels")
-        held = members.alias("x").join(label.alias("y"), F.col("x.id") == F.col("y.id"), "left").select("x.id", "x.n", "x.bucket", F.coalesce("y.component", "x.id").alias("component"))
-        used = open_members.where("spent").select("bucket", "id").unionByName(lead.select("bucket", F.col("leader").alias("id")))
-        held = held.join(used.distinct().withColumn("spent", F.lit(True)), ["bucket", "id"], "left").withColumn("spent", F.coalesce("spent", F.lit(False)))
-        per = held.where("not spent").groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).where("k > 1")
-        open_members = written(held.join(per.select("bucket", "s", "q"), "bucket").select(*held.columns, ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("left_pairs")), "open")
-        sums = open_members.groupBy("bucket").agg(F.first("left_pairs").alias("p"), F.count("*").alias("c")).agg(F.sum("p").alias("p"), F.sum("c").alias("c")).first()
-        first = False
-        if not sums["c"]:
-            break
-        if sums["p"] <= 8 * sums["c"]:  # few for their number: list the rest in full
-            o = open_members.where("not spent")
-            x, y = o.select("bucket", F.col("id").alias("a"), "n", F.col("component").alias("ca")), o.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-            rest = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
-            edges = edges.unionByName(_verified(rest, texts, percent, width))
-            label = written(components(edges), "labels")
-            break
+    pairs = members.where((F.col("id") != F.col("leader")) & close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(full.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+    edges = written(both.mapInArrow(lambda it: confirmed(it, percent), "a long, b long"), "links")
+    label = written(components(edges), "labels")
+
+    more = _rest(members, classes, full, label, percent)
+    edges = written(edges.unionByName(more), "links")
+    label = written(components(edges), "labels")
+
     class_of = classes.select("set_a", "set_b", "n", F.col("id").alias("rep"))
     out = prints.select("id", "n", "set_a", "set_b").join(class_of, ["set_a", "set_b", "n"], "left")
     out = out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -176,14 +160,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold, as a written table."""
-    pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(lambda it: full_sets(it, width), "id long, elements binary")
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(lambda it: confirmed(it, percent), "a long, b long"), "links")
+def _rest(members: DataFrame, classes: DataFrame, full: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a bucket. What the leaders left apart is compared in
+    full, in blocks: documents outside the bucket's largest component with all others of the bucket."""
+    lab = label.select(F.col("id").alias("of"), "component")
+    held = members.select("bucket", "id", "n").join(lab, F.col("id") == F.col("of"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    per = held.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    per = per.select("bucket", F.col("top.component").alias("main"), blocks(F.col("c") - F.col("top.c")).alias("apart"), blocks(F.col("top.c")).alias("inside"))
+    held = held.join(per, "bucket")
+    out = F.col("component") != F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(out, F.col("apart")).otherwise(F.col("inside"))).cast("int")
+    # groups (i, j): block i of the documents apart with its own kind (j < apart) or with the main component's
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    up = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(up(F.col("apart")), lambda k: cell(F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.when(k < F.col("own"), 1).otherwise(0)))
+    across = F.transform(up(F.col("inside")), lambda k: cell(F.col("own"), F.col("apart") + k, 0))
+    as_main = F.transform(up(F.col("apart")), lambda k: cell(k, F.col("apart") + F.col("own"), 1))
+    held = held.withColumn("out", out).withColumn("own", own)
+    held = held.select("bucket", "id", "n", "component", F.explode(F.when(F.col("out"), F.concat(among, across)).otherwise(as_main)).alias("g"))
+    held = held.select("bucket", F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("g.side").alias("side"), "id", "n", "component")
+    held = held.join(full, "id").join(classes.select("id", "bands"), "id")
+    return held.groupBy("bucket", "i", "j").applyInPandas(lambda key, f: linked(key, f, percent), "a long, b long")
+
+
+#: Documents of a block of a large bucket.
+BLOCK = 128
+
+
+def linked(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A forest of the links between different components of two blocks of a bucket. A pair that
+    shares an earlier band is left to that band's bucket."""
+    left, right = frame[frame.side == 0], frame[frame.side == 1]
+    if key[1] == key[2]:
+        right = left
+    a, b = [], []
+    if len(left) and len(right):
+        parent = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        ids, comp, n = right.id.to_numpy(), right.component.tolist(), right.n.to_numpy()
+        bands = np.stack(right.bands.to_list())
+        sets = [np.frombuffer(e, np.uint64) for e in right.elements]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        every = np.concatenate(sets)
+        for i, c, k, own, blob in zip(left.id.tolist(), left.component.tolist(), left.n.tolist(), left.bands, left.elements, strict=True):
+            place = int(np.flatnonzero(np.asarray(own) == key[0])[0])
+            todo = (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & ~(bands[:, :place] == np.asarray(own)[:place]).any(axis=1)
+            todo &= np.array([find(x) != find(c) for x in comp], bool)
+            if not todo.any():
+                continue
+            x = np.frombuffer(blob, np.uint64)
+            hit = np.searchsorted(x, every)
+            hit[hit == len(x)] = 0
+            count = np.concatenate([[0], np.cumsum(x[hit] == every)])
+            both = count[at[1:]] - count[at[:-1]]
+            for r in np.flatnonzero(todo & (100 * both >= percent * (n + k - both))).tolist():
+                p, q = find(c), find(comp[r])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(i)
+                    b.append(int(ids[r]))
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
