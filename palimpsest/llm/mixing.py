@@ -159,4 +159,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     taken = copies(docs, id_col, text_col, source_col, seed).where("copies > 0")
     taken = taken.select(F.col(id_col).alias("_id"), F.col("h").alias("_k"), F.col("copies").alias("_c"), F.row_number().over(Window.partitionBy(id_col, "h").orderBy(F.desc("copies"))).alias("_m"))
     both = hashed.withColumn("_n", nth("_h")).join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")) & (F.col("_n") == F.col("_m")))
-    return both.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return both.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select(*docs.columns)

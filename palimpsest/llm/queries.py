@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperplane, language, licenses, mixing, pii, superminhash
+from . import bpe, hyperplane, interleaved, language, licenses, mixing, pii, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,14 @@ def op7_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaved.media_columns(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_crf_pii": op2_crf_pii,
     "op3_rank_order_language": op3_rank_order_language,
+    "op4_interleaved_media": op4_interleaved_media,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_license_set_join": op7_license_set_join,
     "op8_prefix_bpe": op8_prefix_bpe,
