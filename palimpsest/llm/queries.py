@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperplane, interleaved, language, licenses, mixing, pii, superminhash
+from . import bpe, hyperplane, interleaved, language, licenses, mixing, pii, preference, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,10 +56,15 @@ def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.contrasted(preference.dialogues(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "op2_crf_pii": op2_crf_pii,
     "op3_rank_order_language": op3_rank_order_language,
     "op4_interleaved_media": op4_interleaved_media,
+    "op5_preference_chat": op5_preference_chat,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_license_set_join": op7_license_set_join,
     "op8_prefix_bpe": op8_prefix_bpe,
@@ -67,5 +72,6 @@ QUERIES: dict[str, Query] = {
     "op10_hyperplane_dedup": op10_hyperplane_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op5_preference_chat": preference.oracle(),
     "op7_license_set_join": licenses.oracle(),
 }
