@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperplane, interleaved, language, licenses, mixing, pii, preference, superminhash
+from . import bpe, hyperplane, interleaved, language, licenses, mixing, passages, pii, preference, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -60,7 +64,15 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.formatted(preference.contrasted(preference.dialogues(read(spark, sf_dir, "conversations"))))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
+    "op1_compact_windows": op1_compact_windows,
     "op2_crf_pii": op2_crf_pii,
     "op3_rank_order_language": op3_rank_order_language,
     "op4_interleaved_media": op4_interleaved_media,

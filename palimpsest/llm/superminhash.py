@@ -79,7 +79,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows
         for lo, hi, h, at in shingle_sets(batch.column(1), width):
             n = np.diff(at)
             total = np.concatenate([[U(0)], np.cumsum(mix(h + BASE))])
-            other = np.concatenate([[U(0)], np.cumsum(mix(h ^ (BASE << U(1))))])
+            other = np.concatenate([[U(0)], np.cumsum(mix(h ^ U(2 * int(BASE) % (1 << 64))))])
             keys = band_keys(signatures(h, at, bands * rows), bands, rows)
             lists = pa.ListArray.from_arrays(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32), keys.reshape(-1))
             yield pa.RecordBatch.from_arrays(
