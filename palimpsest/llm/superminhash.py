@@ -165,7 +165,7 @@ def _rest(members: DataFrame, classes: DataFrame, full: DataFrame, label: DataFr
     full, in blocks: documents outside the bucket's largest component with all others of the bucket."""
     lab = label.select(F.col("id").alias("of"), "component")
     held = members.select("bucket", "id", "n").join(lab, F.col("id") == F.col("of"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    per = held.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+    per = held.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1 and c > 2")  # of two, one is the leader
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     per = per.select("bucket", F.col("top.component").alias("main"), blocks(F.col("c") - F.col("top.c")).alias("apart"), blocks(F.col("top.c")).alias("inside"))
     held = held.join(per, "bucket")
