@@ -1 +1,4 @@
-"""See README.md for the layout of the package."""
+"""Registered queries by topic; importing this package fills the registry."""
+
+from . import retrieval  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
