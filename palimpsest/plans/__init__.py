@@ -1,4 +1,4 @@
 """Registered queries by topic; importing this package fills the registry."""
 
-from . import evaluation, retrieval, texts  # noqa: F401
+from . import answering, corpus, evaluation, retrieval, texts  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
