@@ -17,7 +17,8 @@ def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.coalesce(F.greatest(F.lit(0.0), middle - margin), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), middle + margin), F.lit(0.0))
+    none = n.isNull()  # greatest and least skip nulls
+    return F.when(none, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), middle - margin)), F.when(none, F.lit(0.0)).otherwise(F.least(F.lit(1.0), middle + margin))
 
 
 def mcnemar(b: Column, c: Column) -> Column:
