@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import answers, index, labels
+from ..streaming import requests
 from .base import DOCS, ITEMS, bm25, collapse, documents, query, questions, table, topk, wilson
 
 
@@ -225,3 +226,9 @@ def numeric_drift(spark: S, sf: str) -> D:
     said, missing = T.numbers_in(claim), F.array_sort(F.array_except(T.numbers_in(claim), T.numbers_in(span)))
     verdict = F.when(F.size(said) == 0, "no_numeric_claim").when(F.size(missing) > 0, "missing_numbers").otherwise("ok")
     return e.select("event_id", F.array_join(missing, " ").alias("missing"), verdict.alias("verdict"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type AS outcome, count(*) AS n, round(sum(value), 4) AS total_ms FROM events GROUP BY ALL")
+def outcome_windows(spark: S, sf: str) -> D:
+    w = requests.outcome_windows(table(spark, sf, "events"))
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "outcome", "n", F.round("total_ms", 4).alias("total_ms"))
