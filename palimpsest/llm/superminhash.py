@@ -229,6 +229,7 @@ def linked(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; documents without words all stay."""
-    verdict = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(verdict, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    """The rows of ``docs`` that stand for their component. Documents without words and rows with a null
+    id all stay; of rows that repeat an id, all stay if one does."""
+    verdict = near_duplicates(docs, id_col, text_col, percent).groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_k")).where("not _k").select("_gone")
+    return docs.join(verdict, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
