@@ -22,6 +22,8 @@ from ._graph import components
 from ._store import written
 
 TABLES, BITS, BLOCK = 14, 10, 256
+#: Vectors of small buckets that share a group, about.
+GROUP = 1024
 
 
 def planes(dim: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -44,29 +46,14 @@ def signs(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "label", "vec", "copies", "signs"])
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
+def unit(vectors: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def compare(key: tuple, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one pair of blocks: each vector's number of linked copies, and a spanning forest."""
-    table = int(key[0])
-    left, right = frame[frame.side == 0], frame[frame.side == 1]
-    same = key[-1] == key[-2]
-    right = left if same else right
-    if not len(left) or not len(right):
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-    sa, sb = np.stack(left.signs.to_list())[:, :table], np.stack(right.signs.to_list())[:, :table]
-    hit = unit(left.vec) @ unit(right.vec).T >= threshold
-    i, j = np.nonzero(np.triu(hit, 1) if same else hit)
-    fresh = ~(sa[i] == sb[j]).any(axis=1) if table else np.ones(len(i), bool)
-    ida, idb, ca, cb = left.id.to_numpy(), right.id.to_numpy(), left.copies.to_numpy(), right.copies.to_numpy()
-    links = np.zeros(len(left), np.int64)
-    other = links if same else np.zeros(len(right), np.int64)
-    np.add.at(links, i[fresh], cb[j[fresh]])
-    np.add.at(other, j[fresh], ca[i[fresh]])
+def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
+    """id -> smallest id of its tree, for the vertices of the pairs."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -75,14 +62,48 @@ def compare(key: tuple, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
             x = up
         return x
 
-    for a, b in zip(ida[i].tolist(), idb[j].tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    ids, counts = (ida, links) if same else (np.concatenate([ida, idb]), np.concatenate([links, other]))
-    linked = np.array([x in parent for x in ids.tolist()], bool) | (counts > 0)
-    ids, counts = ids[linked], counts[linked]
-    return pd.DataFrame({"id": ids, "links": counts, "root": np.array([find(x) for x in ids.tolist()], np.int64)})
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent.setdefault(x, x)
+        parent.setdefault(y, y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+def compare(key: tuple, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links within the buckets of a group, each a pair of blocks: every linked vector's number of linked
+    copies, and a spanning forest. A pair that shares an earlier table's signs is left to that table."""
+    table, i, j = int(key[0]), int(key[2]), int(key[3])
+    frame = frame.sort_values(["label", "dim", "sign"], kind="stable")
+    side, ids, copies = frame.side.to_numpy(), frame.id.to_numpy(), frame.copies.to_numpy()
+    label, dim, sign = (frame[c].to_numpy() for c in ("label", "dim", "sign"))
+    earlier = np.stack(frame.signs.to_list())[:, :table]
+    vectors = frame.vec.to_list()
+    edge = np.flatnonzero((label[1:] != label[:-1]) | (dim[1:] != dim[:-1]) | (sign[1:] != sign[:-1])) + 1
+    a_all, b_all, links = [], [], np.zeros(len(frame), np.int64)
+    for s, e in zip(np.append(0, edge), np.append(edge, len(frame)), strict=True):
+        if e - s < 2:
+            continue
+        rows = np.arange(s, e)
+        x = unit(vectors[s:e])
+        left = np.flatnonzero(side[s:e] == 0)
+        right = left if i == j else np.flatnonzero(side[s:e] == 1)
+        if not len(left) or not len(right):
+            continue
+        hit = x[left] @ x[right].T >= threshold
+        p, q = np.nonzero(np.triu(hit, 1) if i == j else hit)
+        p, q = rows[left[p]], rows[right[q]]
+        if table:
+            fresh = ~(earlier[p] == earlier[q]).any(axis=1)
+            p, q = p[fresh], q[fresh]
+        np.add.at(links, p, copies[q])
+        np.add.at(links, q, copies[p])
+        a_all.append(ids[p])
+        b_all.append(ids[q])
+    root = forest(zip(np.concatenate(a_all).tolist(), np.concatenate(b_all).tolist(), strict=True)) if a_all else {}
+    linked = np.flatnonzero(links > 0)
+    return pd.DataFrame({"id": ids[linked], "links": links[linked], "root": np.array([root[x] for x in ids[linked].tolist()], np.int64)})
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
@@ -108,8 +129,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = dealt.join(size, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets block j >= i: a row goes to group (own, j) as left and to (i, own) as right
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.when(k < F.col("own"), 1).otherwise(0).alias("side")))
-    dealt = dealt.select(*key, "id", "copies", "vec", "signs", F.explode(meets).alias("m")).select(*key, F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "id", "copies", "vec", "signs")
-    found = written(dealt.groupBy(*key, "i", "j").applyInPandas(lambda k, f: compare(k, f, threshold), "id long, links long, root long"), "links")
+    # many small buckets share a group; a bucket of several blocks has its own
+    few = max(1, hashed.count() // GROUP)
+    mixed = F.xxhash64("label", "dim", "sign")
+    part = F.when(F.col("blocks") == 1, F.pmod(mixed, F.lit(few))).otherwise(mixed)
+    rest = ["label", "dim", "sign", "id", "copies", "vec", "signs"]
+    dealt = dealt.select("table", part.alias("part"), *rest, F.explode(meets).alias("m")).select("table", "part", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), *rest)
+    found = written(dealt.groupBy("table", "part", "i", "j").applyInPandas(lambda k, f: compare(k, f, threshold), "id long, links long, root long"), "links")
     label = written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "labels")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     per = classes.join(counts, "id", "left").join(label, "id", "left").select("label", "v", F.col("id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
