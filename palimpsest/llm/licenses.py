@@ -1,7 +1,7 @@
 """License scan: phrases in place, and an exact set-similarity join of text blocks with templates.
 
 Blocks are the lines of a text. A block matches a template if it holds at least ``threshold`` of the
-template's distinct words (containment). The join is exact: words are ordered by how many blocks of
+template's distinct words (containment). The join is exact: words are ordered by how many texts of
 the whole corpus hold them, rarest first; a matching block must hold one of the template's first
 |T| - need + 1 words (prefix filter), at least ``need`` of the templates' words at all (length filter),
 and what stands after the matched places in both must suffice (positional filter). What passes is
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import written
+
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices that licenses ask to be placed in works, in lower case words.
@@ -31,22 +33,39 @@ TEMPLATES = {
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All ASCII signs but digits, letters and the line break.
+SIGNS = "".join(chr(c) for c in range(128) if chr(c) != "\n" and not chr(c).isalnum())
+
+
+def cleaned(text: Column) -> Column:
+    """The text in lower case, with a space for each sign; line breaks stay."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + SIGNS, LOWER + " " * len(SIGNS))
 
 
-def spaced(text: Column) -> Column:
-    """Words in lower case, each after one space, with a space at the end; " " if there is none."""
-    clean = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR, " ")
-    return F.concat(F.lit(" "), F.ltrim(F.rtrim(clean)), F.when(F.trim(clean) == "", F.lit("")).otherwise(F.lit(" ")))
+def spaced(clean: Column) -> Column:
+    """Words of a cleaned text, each after one space, with a space at the end; " " if there is none."""
+    return F.regexp_replace(F.concat(F.lit(" "), clean, F.lit(" ")), "[ \n]+", " ")
 
 
 def places(line: Column) -> Column:
-    """Starts of every phrase in a spaced text, in words from 0, in order of phrases."""
+    """Starts of every phrase in a spaced text, in words from 0, in order of phrases.
+
+    The text is cut at the phrase, with a space of its own on either side of each word, and the words
+    before each cut are summed up: time stays in proportion to the text. No phrase may begin as it ends.
+    """
+    wrapped = F.replace(line, F.lit(" "), F.lit("  "))
+    wrapped = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    count = lambda x: ((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
     def of(phrase: str) -> Column:
         words = phrase.split(" ")
-        w = F.split(F.trim(line), " ")
-        index = F.sequence(F.lit(0), F.size(w) - 1)
-        whole = F.filter(index, lambda i: F.concat_ws(" ", F.slice(w, i + 1, len(words))) == phrase)
-        return F.when(F.contains(line, F.lit(f" {phrase} ")), whole).otherwise(F.array().cast("array<int>"))
+        if any(words[:k] == words[-k:] for k in range(1, len(words))):
+            raise ValueError(f"{phrase!r} can overlap itself")
+        parts = F.split(wrapped, f" {'  '.join(words)} ")
+        step = lambda acc, x: F.struct((acc["at"] + count(x) + len(words)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + count(x))).alias("found"))
+        found = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda acc: acc["found"])
+        return F.when(F.contains(line, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
     return F.concat(*[of(p) for p in PHRASES])
 
@@ -65,35 +84,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     (else 0). Null and empty texts have no words, empty labels and null places. Repeated rows give a
     row each. Other columns are ignored.
 
-    The texts are read twice: for the corpus frequencies of the templates' words (pre-aggregated in
-    each task; a few hundred rows at most leave it), and for the scan itself, in which only candidate
-    lines, reduced to template words, meet the templates. Templates are few and fixed, so they are
-    broadcast; their number is checked.
+    The texts are read once, for a small written table: places of phrases, and the template words of
+    lines that hold enough of them. Corpus frequencies come from it (pre-aggregated in each task; a few
+    hundred rows at most leave it), and then the lines meet the templates. Templates are few and fixed,
+    so they are broadcast; their number is checked.
     """
     spark = docs.sparkSession
     if sum(len(v.split()) for v in templates.values()) > 100_000:
         raise ValueError("templates are broadcast: 100,000 words at most")
     vocabulary = sorted({w for v in templates.values() for w in v.split()})
     known = F.array(*map(F.lit, vocabulary))
-    lines = F.transform(F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), "\n"), lambda x: F.array_intersect(F.split(F.regexp_replace(x, SEPARATOR, " "), " "), known))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    smallest = int(min((-(-len(set(v.split())) * threshold // 1) for v in templates.values()), default=1))
+    label = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.col("norm"), F.lit(f" {k} ")), F.lit(v)) for k, v in PHRASES.items()])))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), cleaned(F.col(text_col).cast("string")).alias("clean"))
+    rows = rows.select("row", "id", spaced(F.col("clean")).alias("norm"), F.transform(F.split("clean", "\n"), lambda x: F.array_intersect(F.split(x, " "), known)).alias("lines"))
+    small = rows.select("row", "id", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), places(F.col("norm")).alias("p"), label.alias("b"), F.array_distinct(F.flatten("lines")).alias("seen"), F.filter("lines", lambda x: F.size(x) >= smallest).alias("blocks"))
+    small = written(small, "lines")
 
     words = template_table(spark, templates).select("template", F.explode("words").alias("word"))
-    counts = rows.select(F.explode(F.flatten(lines)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = small.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     order = words.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = words.join(order, "word").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("t"))
     ranked = ranked.select("template", F.transform("t", lambda x: x["word"]).alias("t"), F.size("t").alias("size"), F.ceil(F.size("t") * F.lit(float(threshold)) - 1e-9).cast("int").alias("need"))
     prefix = ranked.select("template", "t", "size", "need", F.posexplode(F.slice(F.col("t"), F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "word"))
-    global_order = order.agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("o")).select(F.transform("o", lambda x: x["word"]).alias("o"))
-
-    smallest = min((-(-len(set(v.split())) * threshold // 1) for v in templates.values()), default=1)
-    norm = spaced(F.col("text"))
-    base = rows.select("row", "id", norm.alias("norm"), F.filter(lines, lambda b: F.size(b) >= int(smallest)).alias("blocks"))
-    base = base.select("row", "id", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), places(F.col("norm")).alias("p"), F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.col("norm"), F.lit(f" {k} ")), F.lit(v)) for k, v in PHRASES.items()]))).alias("b"), "blocks")
-    block = base.select("*", F.posexplode_outer("blocks").alias("line", "words")).drop("blocks")
-    block = block.join(F.broadcast(global_order)).withColumn("words", F.when(F.col("words").isNotNull(), F.array_intersect("o", "words"))).drop("o")
-    hits = block.select("*", F.posexplode_outer("words").alias("pos", "word"))
-    near = hits.join(F.broadcast(prefix), "word", "left")
+    by_rank = F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])
+    one = order.agg(by_rank.alias("o")).join(prefix.agg(F.collect_set("word").alias("first")))
+
+    # of each line: its template words, rarest first, if one of them is in some template's prefix
+    text = small.select("row", "id", "n_words", "p", "b", "blocks").join(F.broadcast(one))
+    ordered = F.transform(F.filter("blocks", lambda x: F.arrays_overlap(x, F.col("first"))), lambda x: F.array_intersect(F.col("o"), x))
+    hit = F.flatten(F.transform(ordered, lambda x: F.filter(F.transform(x, lambda w, i: F.struct(x.alias("words"), i.alias("pos"), w.alias("word"))), lambda h: F.array_contains(F.col("first"), h["word"]))))
+    near = text.select("row", "id", "n_words", "p", "b", F.explode_outer(hit).alias("h")).select("row", "id", "n_words", "p", "b", "h.*").join(F.broadcast(prefix), "word", "left")
     rest = 1 + F.least(F.size("words") - F.col("pos") - 1, F.col("size") - F.col("at") - 1)
     held = F.when((F.size("words") >= F.col("need")) & (rest >= F.col("need")), F.size(F.array_intersect("words", "t")))
     near = near.withColumn("share", F.when(held >= F.col("need"), held / F.col("size")))
