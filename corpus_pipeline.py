@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import bpe, language, mixing, pii, superminhash
 from palimpsest.llm._store import written
 from palimpsest.llm.queries import language_profiles
+from palimpsest.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
