@@ -125,7 +125,8 @@ _gold = "gold AS (SELECT item_id, doc_id AS pmcid, lang AS section, (instr(d.tex
 
 
 def gold_spans(spark: S, sf: str) -> D:
-    """Where items stand verbatim. Items are few; a first word narrows the documents before the scan."""
+    """Where items of three words or more stand verbatim. An equi-join on a word that the item has on both
+    sides bounded narrows the documents before the scan."""
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("pmcid"), F.col("lang").alias("section"), "text")
     key = lambda c: F.split(F.col(c), r"[^\p{L}\p{N}]+")
