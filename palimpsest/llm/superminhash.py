@@ -185,7 +185,7 @@ def _rest(members: DataFrame, classes: DataFrame, full: DataFrame, label: DataFr
 
 
 #: Documents of a block of a large bucket.
-BLOCK = 128
+BLOCK = 512
 
 
 def linked(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
