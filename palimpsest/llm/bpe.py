@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each half of a worker's memory of pretokens.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def byte_symbols() -> dict[str, int]:
