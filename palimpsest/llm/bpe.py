@@ -14,21 +14,30 @@ The vocabulary file is read once on the driver and broadcast: its size is fixed
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._words import BASE, spans, utf8
+
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each half of a worker's memory of pretokens.
 REMEMBERED = 120_000
+#: Places of the table of pairs, pretokens that are encoded together, and the length from which one is
+#: encoded on its own and not remembered.
+PAIR_BITS, WORDS_AT_ONCE, LONG = 20, 1 << 14, 64
+BETWEEN = chr(256)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -85,11 +94,15 @@ class Coder:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.decoding = self.bytes_of | {i: t.encode() for t, i in vocabulary["added"]}
         self.pretokens = regex.compile(PRETOKEN)
-        # each memory has a newer and an older half, so that frequent entries outlive a change
+        # the memory has a newer and an older half, so that frequent entries outlive a change
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.older_chunks: dict[str, bytes] = {}
+        self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.size_of_token = np.array(self.size_of, np.int64)
+        most = max(self.decoding, default=0) + 1
+        self.length_of = np.array([len(self.decoding.get(i, b"")) for i in range(most)], np.int64)
+        self.start_of = np.cumsum(self.length_of) - self.length_of
+        self.all_bytes = np.frombuffer(b"".join(self.decoding.get(i, b"") for i in range(most)), np.uint8)
 
     def _uncrossed(self, a: int, b: int, before: int) -> bool:
         """No merge across the border of a and b happens earlier than rank ``before``."""
@@ -148,69 +161,182 @@ class Coder:
             n -= size_of[last[n]]
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one pretoken, remembered if it is short."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.older_words.get(word)
-            if got is None:
-                got = array("I", self.encode_bytes(word.encode("utf-8"))).tobytes()
-            if len(word) < 64:
-                if len(self.words) >= self.remembered:
-                    self.older_words, self.words = self.words, {}
-                self.words[word] = got
-        return got
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._word, self.pretokens.findall(text)))
-
-    def _chunk(self, piece: str) -> bytes | None:
-        """Ids of a space and ``piece``; None if pretokens may reach beyond them."""
-        got = self.older_chunks.get(piece)
-        if got is None:
-            if piece.isalpha():  # the same letters as the pattern's, hence one pretoken
-                got = array("I", self.encode_bytes((" " + piece).encode("utf-8"))).tobytes()
-            elif not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] in ODD or piece[-1] in ODD:
-                return None
-            elif piece[-1] in ",.;:!?" and piece[:-1].isalpha():
-                got = self.chunks.get(piece[:-1]) or self._chunk(piece[:-1])
-                got += self._word(piece[-1])
-            else:
-                got = self._plain(" " + piece)
-        if len(piece) < 64:
-            if len(self.chunks) >= self.remembered:
-                self.older_chunks, self.chunks = self.chunks, {}
-            self.chunks[piece] = got
-        return got
-
-    def _stretch(self, text: str) -> bytes:
-        """Ids of a text without added tokens. A single space between visible characters always
-        starts a pretoken, so the pieces between such spaces are encoded on their own."""
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace() or first[-1] in ODD:
-            return self._plain(text)
-        out = [self._plain(first)]
-        for piece in rest:
-            got = self.chunks.get(piece) or self._chunk(piece)
-            if got is None:
-                return self._plain(text)
-            out.append(got)
-        return b"".join(out)
+    def compatible_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs, by a table of the pairs met last."""
+        key = a << 24 | b
+        slot = (key.astype(np.uint64) * BASE >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, new = self.pair_ok[slot], self.pair_key[slot] != key
+        if new.any():
+            todo, at = np.unique(key[new], return_inverse=True)
+            ok = np.array([self._uncrossed(k >> 24, k & 0xFFFFFF, 1 << 60) for k in todo.tolist()], bool)
+            out[new] = ok[at]
+            slot = (todo.astype(np.uint64) * BASE >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            self.pair_key[slot], self.pair_ok[slot] = todo, ok  # of two in one slot the same one stays in both
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many pretokens: the automaton runs over all of them in one go, and the prefixes of one
+        length of all of them are settled together."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            part = words[lo : lo + WORDS_AT_ONCE]
+            size = np.array([len(w) for w in part], np.int64)
+            begin = np.cumsum(size + 1) - size - 1
+            joined = BETWEEN.join([w.decode("latin-1") for w in part])
+            found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+            owner = np.repeat(np.arange(len(part)), size + 1)
+            end, token = found[:, 0] + 1, found[:, 1]
+            prefix = end - begin[owner[found[:, 0]]]
+            start = end - self.size_of_token[token]
+            order = np.argsort(prefix.astype(np.uint16), kind="stable")
+            end, token, start, prefix = end[order], token[order], start[order], prefix[order]
+            last = np.full(len(joined) + 1, -1, np.int64)  # the token that ends each prefix; none at a word's begin
+            edges = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])) if len(prefix) else []
+            for s, e in zip(edges, np.append(edges[1:], len(prefix)), strict=True):
+                before, now = last[start[s:e]], token[s:e]
+                ok = before < 0
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self.compatible_many(before[inner], now[inner])
+                hit = np.flatnonzero(ok)
+                if len(hit):  # of those that end one prefix the longest comes first
+                    at = end[s:e][hit]
+                    first = np.append(True, at[1:] != at[:-1])
+                    last[at[first]] = now[hit[first]]
+            at, who, ids, back = begin + size, np.arange(len(part)), [], []
+            while len(who):
+                t = last[at]
+                ids.append((who, t))
+                at = at - self.size_of_token[t]
+                left = at > begin[who]
+                at, who = at[left], who[left]
+            n = np.bincount(np.concatenate([w for w, _ in ids]), minlength=len(part))
+            upto = np.cumsum(n)
+            flat = np.empty(upto[-1], np.uint32)
+            for k, (w, t) in enumerate(ids):
+                flat[upto[w] - 1 - k] = t
+            raw, cut = flat.tobytes(), np.concatenate([[0], 4 * upto]).tolist()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct texts without added tokens; most are pretokens or nearly so."""
+        found = list(map(self.words.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
+        # the same letters as the pattern's, hence one pretoken; others are split
+        split = {i: self.pretokens.findall(pieces[i]) for i in new if not pieces[i].isalpha() and not (pieces[i][0] == " " and pieces[i][1:].isalpha())}
+        words = list({w for parts in split.values() for w in parts}.union([pieces[i] for i in new if i not in split]))
+        known, older = self.words.get, self.older_words.get
+        now = {w: known(w) or older(w) for w in words}
+        short = [w for w, ids in now.items() if ids is None and len(w) < LONG]
+        now.update(zip(short, self.encode_words([w.encode("utf-8") for w in short]), strict=True))
+        now.update([(w, array("I", self.encode_bytes(w.encode("utf-8"))).tobytes()) for w, ids in now.items() if ids is None])
+        for i in new:
+            found[i] = b"".join([now[w] for w in split[i]]) if i in split else now[pieces[i]]
+        for lo in range(0, len(words), self.remembered):
+            if len(self.words) >= self.remembered:
+                self.older_words, self.words = self.words, {}
+            self.words.update([(w, now[w]) for w in words[lo : lo + self.remembered - len(self.words)] if len(w) < LONG])
+        return found
+
+    def _plain(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of adjacent texts without added tokens, index of each text's first id and the total).
+
+        ``data``: their bytes; ``starts``: of each text, ascending. Texts are cut where a pretoken is
+        sure to begin; each distinct piece is encoded once."""
+        cut = pretoken_starts(data)
+        cut[starts[starts < len(data)]] = True
+        begin = np.flatnonzero(cut)
+        offsets = np.append(begin, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        found = self.pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        size = np.array([len(f) for f in found], np.int64) >> 2
+        every = np.frombuffer(b"".join(found), np.uint32)
+        own = size[which]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        return every[ranges((np.cumsum(size) - size)[which], own)], upto[np.searchsorted(begin, np.append(starts, len(data)))]
+
+    def encode_many(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any adjacent texts; those with added tokens are encoded part by part."""
+        if self.split is None or not any(t.encode() in data.tobytes() for t in self.added):
+            return self._plain(data, starts)
+        out, n = [], [0]
+        for s, e in zip(starts, np.append(starts[1:], len(data)), strict=True):
+            out.append(np.frombuffer(self.encode(data[s:e].tobytes().decode("utf-8", "replace")), np.uint32))
+            n.append(n[-1] + len(out[-1]))
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array(n, np.int64)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.split is None or not any(t in text for t in self.added):
-            return self._stretch(text) if text else b""
-        parts = self.split.split(text)
-        return b"".join(self.added[p].to_bytes(4, "little") if i % 2 else self._stretch(p) for i, p in enumerate(parts) if p)
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        parts = self.split.split(text) if self.split is not None else [text]
+        out = []
+        for i, part in enumerate(parts):
+            if i % 2:
+                out.append(self.added[part].to_bytes(4, "little"))
+            elif part:
+                data = np.frombuffer(part.encode("utf-8"), np.uint8)
+                for lo, hi in stretches(data):
+                    out.append(self._plain(data[lo:hi], np.zeros(1, np.int64))[0].tobytes())
+        return b"".join(out)
+
+    def decode_many(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids one after the other, place of each id's first byte and the total)."""
+        size = self.length_of[ids]
+        return self.all_bytes[ranges(self.start_of[ids], size)], np.concatenate([[0], np.cumsum(size)])
 
     def decode(self, ids: bytes) -> str:
-        table = self.decoding
-        return b"".join([table[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        return self.decode_many(np.frombuffer(ids, np.uint32))[0].tobytes().decode("utf-8", "replace")
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + size[0] - 1, first[1] .. and so on, as one array."""
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+
+
+BLANK, VISIBLE, WORD, SIGN, LAST, BEFORE = (np.zeros(256, bool) for _ in range(6))
+BLANK[[9, 10, 13, 32]] = True
+VISIBLE[0x21:0x7F] = VISIBLE[0x80:] = True
+WORD[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+SIGN[[c for c in range(0x21, 0x7F) if not WORD[c] and c != ord("'")]] = True
+# the last two bytes of white space beyond ASCII are a byte of LAST after one of BEFORE
+for _c in range(0x80, 0x3001):
+    if chr(_c).isspace() or regex.match(r"\s", chr(_c)):
+        LAST[chr(_c).encode()[-1]] = BEFORE[chr(_c).encode()[-2]] = True
 
 
-#: White space of the pattern that str.isspace() doesn't take for such, or the other way round.
-ODD = frozenset(chr(c) for c in range(0x3001) if bool(regex.match(r"\s", chr(c))) != chr(c).isspace())
+def pretoken_starts(data: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 bytes a pretoken is sure to begin: at a blank after a visible character, and where
+    ASCII letters or digits (or letters of the bytes C3 xx) end at a sign other than the apostrophe. No
+    alternative of the pattern goes on over such a place, none looks back, and what looks ahead has
+    ended before. Places that aren't found cost time only."""
+    out = np.zeros(len(data), bool)
+    out[1:] = BLANK[data[1:]] & VISIBLE[data[:-1]]
+    out[2:] &= ~(LAST[data[1:-1]] & BEFORE[data[:-2]])
+    sign = SIGN[data[1:]]
+    out[1:] |= sign & WORD[data[:-1]]
+    letter = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    out[2:] |= sign[1:] & letter
+    return out
+
+
+#: Bytes of adjacent texts that are encoded at once; bounds memory, not a text.
+AT_ONCE = 1 << 23
+
+
+def stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts a long text at starts of pretokens into stretches of about AT_ONCE bytes."""
+    lo = 0
+    while len(data) - lo > 2 * AT_ONCE:
+        cut = np.flatnonzero(pretoken_starts(data[lo + AT_ONCE - 2 : lo + 2 * AT_ONCE])[2:])
+        if not len(cut):
+            break
+        yield lo, lo + AT_ONCE + int(cut[0])
+        lo += AT_ONCE + int(cut[0])
+    yield lo, len(data)
+
 
 _coder: tuple[int, Coder] | None = None
 
@@ -222,17 +348,30 @@ def _coded(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordB
     coder = _coder[1]
     sha = lambda b: hashlib.sha256(b).hexdigest()
     for batch in batches:
-        for lo in range(0, len(batch), 512):
-            part = batch.slice(lo, 512)
-            n, ids_sha, text_sha, ids_out = [], [], [], []
-            for value in part.column(1):
-                ids = coder.encode(value.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(sha(ids))
-                text_sha.append(sha(coder.decode(ids).encode("utf-8")))
-                ids_out.append(ids)
-            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(ids_out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        raw, starts, ends = utf8(batch.column(1))
+        for lo, hi in spans(starts, ends, AT_ONCE):
+            if ends[hi - 1] - starts[lo] > 2 * AT_ONCE:  # one long text
+                parts = [np.frombuffer(coder.encode(raw[starts[lo] : ends[lo]].tobytes().decode("utf-8", "replace")), np.uint32)]
+            else:
+                size = ends[lo:hi] - starts[lo:hi]
+                data = raw[starts[lo] : ends[hi - 1]] if size.sum() == ends[hi - 1] - starts[lo] else raw[ranges(starts[lo:hi], size)]
+                ids, at = coder.encode_many(data, np.cumsum(size) - size)
+                parts = [ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield coded_rows(batch.column(0).slice(lo, hi - lo), parts, coder)
+
+
+def coded_rows(column: pa.Array, parts: list[np.ndarray], coder: Coder) -> pa.RecordBatch:
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    back = []
+    for ids in parts:
+        h = hashlib.sha256()
+        text = codecs.getincrementaldecoder("utf-8")("replace")
+        for lo in range(0, len(ids), AT_ONCE):
+            h.update(text.decode(coder.decode_many(ids[lo : lo + AT_ONCE])[0].tobytes()).encode("utf-8"))
+        h.update(text.decode(b"", True).encode("utf-8"))
+        back.append(h.hexdigest())
+    columns = [column, pa.array([len(ids) for ids in parts], pa.int64()), pa.array([sha(ids) for ids in parts], pa.string()), pa.array(back, pa.string()), pa.array([ids.tobytes() for ids in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
 
 def encoded(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
