@@ -22,16 +22,25 @@ def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of discordant counts: twice the lower binomial tail, at most 1."""
-    n, k = b + c, F.least(b, c)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.pow(F.lit(0.5), n).alias("sum"))
+    """Exact two-sided p of discordant counts: twice the lower binomial tail, at most 1.
 
-    def step(acc: Column, i: Column) -> Column:
+    Up to 1,000 pairs the terms are summed as they are. Beyond, where 0.5 ** n leaves the doubles, the
+    last term is taken in logarithms and the others relative to it."""
+    n, k = (b + c).cast("double"), F.least(b, c)
+    counts = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    least = F.pow(F.lit(0.5), n)
+
+    def add(acc: Column, i: Column) -> Column:
         t = acc["t"] * (n - i + 1) / i
         return F.struct(t.alias("t"), (acc["sum"] + t).alias("sum"))
 
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>")), start, step, lambda acc: acc["sum"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    def rise(acc: Column, i: Column) -> Column:
+        up = (n - i + 1) / i  # term i by term i - 1
+        return F.struct((acc["log"] + F.log(up)).alias("log"), (acc["sum"] / up + 1).alias("sum"))
+
+    few = F.aggregate(counts, F.struct(least.alias("t"), least.alias("sum")), add, lambda acc: acc["sum"])
+    many = F.aggregate(counts, F.struct((n * F.log(F.lit(0.5))).alias("log"), F.lit(1.0).alias("sum")), rise, lambda acc: F.exp(acc["log"] + F.log(acc["sum"])))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 1000, few).otherwise(many)))
 
 
 def rate(part: Column, whole: Column) -> Column:

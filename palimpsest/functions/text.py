@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The token pattern, folded signs, and title rules in their order.
-TOKEN = r"[A-Za-z0-9][A-Za-z0-9.\-]*"
+TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-.]*"
 WHITE = r"[ \t\n\r\f\x0B\x{00A0}\x{2009}\x{202F}]+"
 CURLY, STRAIGHT = "‘’“”–—", "''\"\"--"
 DASHES = "‐‑‒–—−"
@@ -107,13 +107,20 @@ def expand_to_line(text: Column, start: Column, end: Column) -> tuple[Column, Co
     return last, F.when(after > 0, end + after - 1).otherwise(F.length(text))
 
 
-def quote_candidates(note: Column) -> Column:
-    """Quoted stretches of 15 characters at least, then sentences; distinct, longest quote first."""
+def quoted_blocks(note: Column) -> Column:
+    """Quoted stretches of 15 characters at least, longest first."""
     quoted = F.filter(F.filter(F.split(note, "'"), lambda x, i: i % 2 == 1), lambda x: F.length(x) >= 15)
     longest = F.transform(F.array_sort(F.transform(quoted, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
     return longest
 
 
+def quote_candidates(note: Column) -> Column:
+    """What to search for: each quoted stretch of 15 characters at least and then its sentences of that
+    length, which may still stand where the whole doesn't; in the note's order, distinct."""
+    blocks = F.filter(F.filter(F.split(note, "'"), lambda x, i: i % 2 == 1), lambda x: F.length(x) >= 15)
+    return F.array_distinct(F.flatten(F.transform(blocks, lambda b: F.concat(F.array(b), F.filter(F.split(b, r"(?<=[.;])" + WHITE), lambda x: F.length(x) >= 15)))))
+
+
 def parse_verdict(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.lower(text), r"[*`]", ""))
     return F.nullif(F.regexp_extract(clean, r"^(valid|wrong|unsure)($|[ (,])", 1), F.lit(""))

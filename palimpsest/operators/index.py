@@ -20,7 +20,7 @@ DIGITS = 6
 
 @dataclass
 class Index:
-    """lengths (chunk_ord, dl), postings (term, chunk_ord, tf), terms (term, df), corpus (n_docs, avgdl)."""
+    """lengths (chunk_ord, dl), postings (term, chunk_ord, tf, dl), terms (term, df), corpus (n_docs, avgdl)."""
 
     lengths: DataFrame
     postings: DataFrame
@@ -30,12 +30,17 @@ class Index:
     TABLES = ("lengths", "postings", "terms", "corpus")
 
     def save(self, path: str) -> None:
-        """Parquet tables; an existing index is never overwritten. Postings lie sorted by term."""
-        for name in self.TABLES:
-            df = getattr(self, name)
-            if name == "postings":
-                df = df.repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord")
-            df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        """Parquet tables; an existing index is never overwritten. Texts are tokenised once, for the
+        postings, which lie sorted by term; the other tables follow from what was written."""
+        spark = self.postings.sparkSession
+        self.postings.sortWithinPartitions("term", "chunk_ord").write.mode("errorifexists").parquet(f"{path}/postings")
+        postings = spark.read.parquet(f"{path}/postings")
+        document_frequencies(postings).write.mode("errorifexists").parquet(f"{path}/terms")
+        # chunks without any token have no posting
+        held = postings.groupBy("chunk_ord").agg(F.first("dl").alias("dl"))
+        lengths = self.lengths.select("chunk_ord").join(held, "chunk_ord", "left").select("chunk_ord", F.coalesce("dl", F.lit(0)).alias("dl"))
+        lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
+        corpus_of(spark.read.parquet(f"{path}/lengths")).write.mode("errorifexists").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
@@ -43,17 +48,29 @@ class Index:
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_ord", T.tokens(F.col("text")).alias("tokens"))
+    """(chunk_ord, dl, tokens)"""
+    t = chunks.select("chunk_ord", T.tokens(F.col("text")).alias("tokens"))
+    return t.select("chunk_ord", F.size("tokens").cast("long").alias("dl"), "tokens")
+
+
+def frequencies(t: DataFrame) -> DataFrame:
+    """(term, chunk_ord, tf, dl): a posting carries its chunk's length, so that scoring needs no join."""
+    return t.select("chunk_ord", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def corpus_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def build(chunks: DataFrame) -> Index:
     """Index of chunks (chunk_ord, text)."""
     t = tokenized(chunks)
-    lengths = t.select("chunk_ord", F.size("tokens").cast("long").alias("dl"))
-    postings = t.select("chunk_ord", F.explode("tokens").alias("term")).groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(lengths, postings, terms, corpus)
+    lengths, postings = t.select("chunk_ord", "dl"), frequencies(t)
+    return Index(lengths, postings, document_frequencies(postings), corpus_of(lengths))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -67,14 +84,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def scores(index: Index, queries: DataFrame, k1: Column | float = K1, b: Column | float = B, grid: DataFrame | None = None) -> DataFrame:
     """(grid columns, query_id, chunk_ord, score) of every chunk that shares a term with a query."""
-    q = query_terms(queries)
-    hits = q.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "chunk_ord").join(index.corpus)
-    keys = ["query_id", "chunk_ord"]
+    return _score(query_terms(queries), index.postings, index.terms, index.corpus, k1, b, grid)
+
+
+def _score(q: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFrame, k1: Column | float, b: Column | float, grid: DataFrame | None = None) -> DataFrame:
+    # what belongs to a query's term is computed once for it, before it meets the postings
+    q = q.join(terms, "term").join(corpus).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("w"))
+    hits, keys = postings.join(q, "term"), ["query_id", "chunk_ord"]
     if grid is not None:
         hits, keys = hits.join(grid), [*grid.columns, *keys]
         k1, b = F.col("k1"), F.col("b")
     k1, b = (F.lit(x) if isinstance(x, float) else x for x in (k1, b))
-    part = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(*keys).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
@@ -92,16 +113,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: flo
 
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """Search without a stored index: one pass makes postings of the queries' terms only."""
-    q = query_terms(queries)
+    q, t = query_terms(queries), tokenized(chunks)
     wanted = q.select("term").distinct()
-    t = tokenized(chunks).select("chunk_ord", F.size("tokens").cast("long").alias("dl"), "tokens")
-    postings = t.select("chunk_ord", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    corpus = t.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return top_k(_score(q, postings, terms, corpus, k1, b), k)
-
-
-def _score(q: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFrame, k1: float, b: float) -> DataFrame:
-    hits = postings.join(q.join(terms, "term"), "term").join(corpus)
-    part = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_ord").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    held = t.select("chunk_ord", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    postings = held.groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return top_k(_score(q, postings, document_frequencies(postings), corpus_of(t.select("dl")), k1, b), k)

@@ -96,7 +96,7 @@ def subject(text: Column, variant: Column, gene: Column) -> Column:
 
 def without_citations(text: Column, mark: str) -> Column:
     """Text without citation marks: brackets that hold only marks go, other runs become a space."""
-    sep = r",;\-‐‑‒–—−\s"
+    sep = r",;\-‐‑‒–—−\s"  # fixed value: what may stand between citations
     held = f"[{sep}]*{mark}[{sep}{mark}]*"
     out = F.regexp_replace(F.regexp_replace(text, rf"\[{held}\]", ""), rf"\({held}\)", "")
     out = F.regexp_replace(out, f"[{sep}{mark}]*{mark}[{sep}{mark}]*", " ")

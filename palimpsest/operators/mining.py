@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Fixed value: one variant name: an rsID, an HGVS string or a legacy insertion or deletion.
-NAME = r"(?:rs[0-9]{3,}|[cgmp]\.[A-Za-z0-9_>*+\-]{2,30}|[0-9]{2,5}(?:ins|del|dup)[A-Za-z]{0,10})"
+NAME = r"(?:rs\d{3,}|[cgmp]\.[A-Za-z0-9_>*+\-]{2,30}|\d{2,5}(?:ins|del|dup)[A-Za-z]{0,10})"
 NEAR = 60
 
 

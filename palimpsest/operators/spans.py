@@ -45,3 +45,27 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 def covering(spans: Column) -> Column:
     """Smallest start to largest end of an array of spans, in the first one's section."""
     return F.struct(F.get(spans, F.lit(0))["section"].alias("section"), F.array_min(F.transform(spans, lambda s: s["char_start"])).alias("char_start"), F.array_max(F.transform(spans, lambda s: s["char_end"])).alias("char_end"))
+
+
+def verbatim(items: DataFrame, sections: DataFrame) -> DataFrame:
+    """(item_id, pmcid, section, char_start, char_end) where items (item_id, item) first stand verbatim in
+    sections (pmcid, section, text).
+
+    A word inside an item, with a separator on either side, stands whole in every text that holds the
+    item. Each item meets the texts that hold the rarest of its inner words; only ids travel until then,
+    and the texts join once, for the scan. An item without an inner word (of one or two words) has no
+    such key and is met by every text's scan.
+    """
+    words = lambda c: F.split(F.col(c), r"[^\p{L}\p{N}]+")
+    inner = F.filter(F.slice(words("item"), 2, F.greatest(F.size(words("item")) - 2, F.lit(0))), lambda w: w != "")
+    keyed = items.select("item_id", "item", F.array_distinct(inner).alias("inner"))
+    wanted = keyed.select("item_id", F.explode("inner").alias("word"))
+    held = sections.select("pmcid", "section", F.explode(F.array_distinct(words("text"))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi").repartition("word")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    key = wanted.join(df, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word"))["word"].alias("word"))
+    near = held.join(key, "word").select("item_id", "pmcid", "section").join(keyed.select("item_id", "item"), "item_id")
+    hit = near.join(sections, list(KEYS)).select("item_id", *KEYS, "item", "text")
+    short = keyed.where("size(inner) = 0 and item <> ''").select("item_id", "item").join(sections.select(*KEYS, "text"), F.contains("text", F.col("item")))
+    hit = hit.unionByName(short.select("item_id", *KEYS, "item", "text")).where(F.contains("text", F.col("item")))
+    at = F.expr("instr(text, item)") - 1
+    return hit.select("item_id", *KEYS, at.cast("int").alias("char_start"), (at + F.length("item")).cast("int").alias("char_end"))

@@ -125,16 +125,9 @@ _gold = "gold AS (SELECT item_id, doc_id AS pmcid, lang AS section, (instr(d.tex
 
 
 def gold_spans(spark: S, sf: str) -> D:
-    """Where items of three words or more stand verbatim. An equi-join on a word that the item has on both
-    sides bounded narrows the documents before the scan."""
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("pmcid"), F.col("lang").alias("section"), "text")
-    key = lambda c: F.split(F.col(c), r"[^\p{L}\p{N}]+")
-    # a word inside the item stands whole in every text that holds the item
-    b = b.withColumn("word", F.get(key("item"), F.lit(1)))
-    words = d.select("pmcid", "section", "text", F.explode(F.array_distinct(key("text"))).alias("word")).join(b.select("word").distinct(), "word", "left_semi")
-    hit = words.join(b, "word").where(F.contains("text", F.col("item")))
-    return hit.select("item_id", "pmcid", "section", (F.expr("instr(text, item)") - 1).cast("int").alias("char_start"), (F.expr("instr(text, item)") - 1 + F.length("item")).cast("int").alias("char_end"))
+    return spans.verbatim(b, d).select("item_id", "pmcid", "section", "char_start", "char_end")
 
 
 @query(f"WITH {PARA}, {_gold} SELECT item_id, g.pmcid, p.ord::INTEGER AS ord, p.char_start, p.char_end FROM gold g JOIN paragraph p ON g.pmcid = p.pmcid AND g.section = p.section AND g.char_start < p.char_end AND p.char_start < g.char_end")

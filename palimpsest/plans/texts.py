@@ -128,7 +128,7 @@ def refusal_detect(spark: S, sf: str) -> D:
 u AS (SELECT DISTINCT doc_id, unnest(q) AS x FROM q) SELECT doc_id, count(*) AS n, md5(string_agg(x, '|' ORDER BY -length(x), x)) AS quotes_md5 FROM u GROUP BY doc_id""")
 def extract_quotes(spark: S, sf: str) -> D:
     note = F.replace(F.replace("text", F.lit(", "), F.lit("'")), F.lit(". "), F.lit("'"))
-    q = docs(spark, sf).select("doc_id", F.array_distinct(T.quote_candidates(note)).alias("q")).where("size(q) > 0")
+    q = docs(spark, sf).select("doc_id", F.array_distinct(T.quoted_blocks(note)).alias("q")).where("size(q) > 0")
     return q.select("doc_id", F.size("q").cast("long").alias("n"), md5(F.array_join("q", "|")).alias("quotes_md5"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
+
 MANIFEST = "pmcid string, version int, status string, note string, license_code string, is_open_access string, xml_bytes long, sha256 string, title string, journal string, pubdate string, retrieved_at_utc string"
 TERM_SETS = "pair_id string, genes string, variants string, conditions string"
 BEIR_CORPUS = "id string, text string, title string"
@@ -16,8 +17,7 @@ BEIR_QUERIES = "id string, text string"
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors can write to and read."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared(spark)}/files-{uuid.uuid4().hex}"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -49,9 +49,10 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def beir(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents or queries; of repeated ids the last line counts. Line order is that of the files."""
+    """Documents or queries; of repeated ids the last line counts. Line order is that of the files. Blank
+    lines give no row, malformed ones fail."""
     t = spark.read.text(path).where(F.trim("value") != "").withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    t = t.select("_at", F.from_json("value", schema).alias("r")).select("_at", "r.*")
+    t = t.select("_at", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("_at", "r.*")
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at")))
     return t.withColumn("_n", last).where("_n = 1").drop("_n", "_at")
 
