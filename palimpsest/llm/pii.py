@@ -1,10 +1,11 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field learns from a small labelled table (lines of a bounded
-sample of documents, labelled by the patterns), sees only word shapes, and so also finds values
-that the patterns' spelling rules miss. Its spans are added where they overlap no base span and the
-value passes the kind's own check. Only stretches of words near a digit or an at sign are decoded:
-elsewhere no kind can occur.
+The patterns give the base spans. The field finds what their spelling rules miss: it learns from a
+small labelled table, lines of a bounded sample of documents as they are and with their values spelt
+otherwise (at signs in brackets or between spaces, cards in groups with dots, national phone numbers,
+defanged addresses), and sees only word shapes. Its spans are added where they overlap no base span
+and the value, spelt back, passes the kind's own check. Only stretches of words near a digit, an at sign
+or a bracketed "at" are decoded: elsewhere no kind can occur.
 """
 
 from __future__ import annotations
@@ -22,17 +23,20 @@ KINDS = ("email", "ip", "card", "phone")
 # The base patterns. A group that can't gain by giving back is possessive, and a run of
 # digits is tried from its start only, so that time stays in proportion to the text.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Labelled lines that the field learns from, at most; they are the small labelled table.
+#: Lines that the field learns from, at most, and as many with values spelt otherwise: they are the
+#: small labelled table. Lines are cut at this length, so that every document can give some.
 LINES = 1500
 LINE_CHARS = 400
+#: Of five parts of all lines, by hash, the first is held out: nothing is learnt from it.
+PARTS = 5
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-REACH = 4  # words on either side of a digit or at sign
+REACH = 4  # words on either side of a digit or at sign, of 40 characters each on average at most
+TRIGGER = re.compile(r"[0-9@]+|[(\[{] ?[Aa][Tt] ?[)\]}]")
 FEATURES = 1 << 12
 PIECE = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 
@@ -83,9 +87,10 @@ def pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Character ranges, cut between words, within REACH words of a digit or an at sign."""
+    """Character ranges, cut between words, within REACH words of a digit or an at sign. A side ends
+    after 40 * REACH characters, inside a word if need be: the field's features reach three words."""
     out: list[tuple[int, int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
+    for m in TRIGGER.finditer(text):
         lo, hi = m.start(), m.end()
         for _ in range(REACH):  # white space bounds a step outwards
             while lo > 0 and not text[lo - 1].isspace() and m.start() - lo < 40 * REACH:
@@ -147,50 +152,58 @@ class Field:
 
     @classmethod
     def train(cls, features: list[np.ndarray], tags: list[np.ndarray], epochs: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Field:
-        """Maximum likelihood by full-batch gradient steps (Adam), deterministic."""
+        """Maximum likelihood by full-batch gradient steps (Adam), deterministic. Equal stretches count
+        once with their number as weight, and stretches of similar length are computed together."""
         k = len(TAGS)
         emit, move = np.zeros((FEATURES, k)), np.zeros((k, k))
         if not features:
             emit[:, 0] = 1.0
             return cls(emit, move)
-        x, size = cls._padded(features)
-        b, t, f = x.shape
-        y = np.zeros((b, t), np.int64)
-        for i, r in enumerate(tags):
-            y[i, : len(r)] = r
-        live = np.arange(t)[None] < size[:, None]
-        gold = np.zeros((b, t, k))
-        np.put_along_axis(gold, y[..., None], 1.0, axis=2)
-        gold *= live[..., None]
-        gold_move = np.einsum("bti,btj->ij", gold[:, :-1], gold[:, 1:])
-        flat = x.reshape(-1)
+        count: dict[tuple[bytes, bytes], int] = {}
+        for x, y in zip(features, tags, strict=True):
+            key = (x.tobytes(), y.astype(np.int64).tobytes())
+            count[key] = count.get(key, 0) + 1
+        width = features[0].shape[1]
+        rows = sorted(((np.frombuffer(x, np.int32).reshape(-1, width), np.frombuffer(y, np.int64), n) for (x, y), n in count.items()), key=lambda r: len(r[0]))
+        cuts = np.searchsorted([len(r[0]) for r in rows], [8, 16, 32, 64, 128, 256], side="right")
+        buckets, gold, gold_move, total = [], np.zeros_like(emit), np.zeros_like(move), 0
+        for part in (rows[s:e] for s, e in zip([0, *cuts], [*cuts, len(rows)], strict=True) if e > s):
+            x, size = cls._padded([r[0] for r in part])
+            y = np.zeros(x.shape[:2], np.int64)
+            for i, r in enumerate(part):
+                y[i, : len(r[1])] = r[1]
+            live = (np.arange(x.shape[1])[None] < size[:, None]) * np.array([r[2] for r in part], np.float64)[:, None]
+            buckets.append((x, size, live))
+            total += live.sum()
+            for f in range(width):
+                np.add.at(gold, (x[..., f].ravel(), y.ravel()), live.ravel())
+            np.add.at(gold_move, (y[:, :-1].ravel(), y[:, 1:].ravel()), live[:, 1:].ravel())
         state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-        total = live.sum()
         for step in range(1, epochs + 1):
-            score = emit[x].sum(axis=2)
-            up = np.zeros((b, t, k))
-            up[:, 0] = score[:, 0]
-            for i in range(1, t):
-                z = up[:, i - 1, :, None] + move
-                top = z.max(axis=1)
-                nxt = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) + score[:, i]
-                up[:, i] = np.where(live[:, i, None], nxt, up[:, i - 1])
-            down = np.zeros((b, t, k))
-            for i in range(t - 2, -1, -1):
-                z = move + (score[:, i + 1] + down[:, i + 1])[:, None]
-                top = z.max(axis=2)
-                nxt = top + np.log(np.exp(z - top[..., None]).sum(axis=2))
-                down[:, i] = np.where(live[:, i + 1, None], nxt, 0.0)
-            last = up[np.arange(b), size - 1]
-            norm = last.max(axis=1) + np.log(np.exp(last - last.max(axis=1, keepdims=True)).sum(axis=1))
-            p = np.exp(up + down - norm[:, None, None]) * live[..., None]
-            pair = np.exp(up[:, :-1, :, None] + move + (score[:, 1:] + down[:, 1:])[:, :, None] - norm[:, None, None, None]) * live[:, 1:, None, None]
-            g_emit = np.zeros_like(emit)
-            diff = (p - gold).reshape(-1, k)
-            for j in range(k):
-                g_emit[:, j] = np.bincount(flat, np.repeat(diff[:, j], f), FEATURES)
+            g_emit, g_move, pace = -gold, -gold_move, np.exp(move)
+            for x, size, live in buckets:
+                b, t, _ = x.shape
+                score, on = emit[x].sum(axis=2), live[..., None] > 0
+                up, down = np.zeros((b, t, k)), np.zeros((b, t, k))
+                up[:, 0] = score[:, 0]
+                for i in range(1, t):
+                    top = up[:, i - 1].max(axis=1, keepdims=True)
+                    up[:, i] = np.where(on[:, i], np.log(np.exp(up[:, i - 1] - top) @ pace) + top + score[:, i], up[:, i - 1])
+                for i in range(t - 2, -1, -1):
+                    z = score[:, i + 1] + down[:, i + 1]
+                    top = z.max(axis=1, keepdims=True)
+                    down[:, i] = np.where(on[:, i + 1], np.log(np.exp(z - top) @ pace.T) + top, 0.0)
+                last = up[np.arange(b), size - 1]
+                top = last.max(axis=1, keepdims=True)
+                norm = (top + np.log(np.exp(last - top).sum(axis=1, keepdims=True)))[:, None]
+                p = (np.exp(up + down - norm) * live[..., None]).reshape(-1, k)
+                flat = x.reshape(-1)
+                for j in range(k):
+                    g_emit[:, j] += np.bincount(flat, np.repeat(p[:, j], width), FEATURES)
+                high = up[:, :-1].max(axis=2, keepdims=True)
+                after = np.exp(score[:, 1:] + down[:, 1:] - norm + high) * live[:, 1:, None]
+                g_move += (np.exp(up[:, :-1] - high).reshape(-1, k).T @ after.reshape(-1, k)) * pace
             g_emit[0] = 0
-            g_move = pair.sum(axis=(0, 1)) - gold_move
             for w, g, m, v in ((emit, g_emit, state[0], state[1]), (move, g_move, state[2], state[3])):
                 g = g / total + decay * w
                 m *= 0.9
@@ -230,18 +243,43 @@ class Field:
         return out
 
 
+SPELT_AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| ?@ ?", re.I)
+SPELT_DOT = re.compile(r" ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| ?\. ?", re.I)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+NATIONAL = re.compile(r"(?:\+|\(?0[0-9]|1?[ .-]?\()[0-9 ()./-]*[0-9]")
+
+
+def spelt_back(kind: int, value: str) -> str:
+    """A value in the spelling of the patterns."""
+    if kind == 0:
+        return SPELT_DOT.sub(".", SPELT_AT.sub("@", value))
+    if kind == 1:
+        return SPELT_DOT.sub(".", value)
+    return value
+
+
 def plausible(kind: int, value: str) -> bool:
     """The kind's own check of a value that the field found."""
+    value = spelt_back(kind, value)
     d = _digits(value)
     if kind == 0:
-        local, _, domain = value.partition("@")
-        return bool(local and "." in domain.strip(".") and not any(c.isspace() for c in value))
+        return ADDRESS.fullmatch(value) is not None
     if kind == 1:
         parts = value.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 16 <= len(d) <= 19 and luhn(d)
-    return 10 <= len(d) <= 15 and len(d) < len(value) and not any(c.isalpha() for c in value)
+        return 16 <= len(d) <= 19 and luhn(d) and not any(c.isalpha() for c in value)
+    return 9 <= len(d) <= 15 and len(d) < len(value) and NATIONAL.fullmatch(value) is not None
+
+
+def whole(kind: int, text: str, lo: int, hi: int) -> bool:
+    """No part of a longer run of digits: such a run is another kind of number."""
+    gap = " .-/_" if kind == 2 else ".-/" if kind == 3 else ""
+    left, right = text[max(0, lo - 2) : lo], text[hi : hi + 2]
+    digit = lambda c: c in "0123456789"
+    if left and (digit(left[-1]) or (left[-1] in gap and len(left) > 1 and digit(left[-2]))) and digit(text[lo]):
+        return False
+    return not (right and (digit(right[0]) or (right[0] in gap and len(right) > 1 and digit(right[1]))) and digit(text[hi - 1]))
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
@@ -263,27 +301,75 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
                 while k < len(tags) and tags[k] == 2 + 2 * kind:
                     k += 1
                 lo, hi = int(s[first]), int(e[k - 1])
-                if plausible(kind, texts[i][lo:hi]) and all(hi <= a or b <= lo for _, a, b in base[i]):
+                if plausible(kind, texts[i][lo:hi]) and whole(kind, texts[i], lo, hi) and all(hi <= a or b <= lo for _, a, b in base[i]):
                     out[i].append((kind, lo, hi))
             else:
                 k += 1
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lines: int = LINES) -> Field:
-    """A field trained on at most ``lines`` lines of ``docs``, those with the smallest hashes among
-    lines that hold a digit or an at sign; a line longer than LINE_CHARS isn't used for training. Half
-    of them at most hold a base span, so that other numbers are learnt too. The labelled table is
-    small by its parameter; nothing else comes to the driver."""
-    rows = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
-    rows = rows.where(F.col("line").rlike("[0-9@]") & (F.length("line") <= LINE_CHARS)).withColumn("h", F.xxhash64("line"))
+def spellings(kind: int, value: str) -> list[str]:
+    """Other spellings of a value that the patterns found; they find none of these whole."""
+    if kind == 0:
+        local, _, domain = value.partition("@")
+        return [f"{local} @ {domain}", f"{local} (at) {domain}", f"{local}[at]{domain.replace('.', '[dot]')}", f"{local} (at) {domain.replace('.', ' (dot) ')}"]
+    if kind == 1:
+        return [value.replace(".", "[.]"), value.replace(".", " . ")]
+    d = _digits(value)
+    if kind == 2:
+        groups = [d[i : i + 4] for i in range(0, len(d), 4)]
+        return [sign.join(groups) for sign in (".", "/", "_", "  ")]
+    rest = d[2:] if len(d) > 10 else d[1:]
+    if len(rest) < 8:
+        return []
+    a, b = rest[:3], rest[3:]
+    return [f"0{a[:2]} {a[2]}{b}", f"(0{a}) {b[:3]}-{b[3:]}", f"0{a}/{b}", f"0{a}.{b[:3]}.{b[3:]}", f"0{a}-{b}"]
+
+
+def respelt(line: str, spans: list[tuple[int, int, int]], turn: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The line with each value in its ``turn``-th other spelling, and where those stand now."""
+    out, now, at = [], [], 0
+    for kind, s, e in sorted(spans, key=lambda x: x[1:]):
+        other = spellings(kind, line[s:e])
+        if s < at or not other:
+            continue
+        out.append(line[at:s])
+        lo = sum(map(len, out))
+        out.append(other[turn % len(other)])
+        now.append((kind, lo, lo + len(out[-1])))
+        at = e
+    return "".join([*out, line[at:]]), now
+
+
+def sample(docs: DataFrame, text_col: str = "text", lines: int = LINES, held_out: bool = False) -> list[str]:
+    """At most ``lines`` lines of ``docs`` that hold a digit or an at sign, those with the smallest
+    hashes. Half of them at most look as if they held a value, so that other numbers are learnt too."""
+    text = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(rf"[^\n]{{1,{LINE_CHARS}}}"), F.lit(0))
+    rows = docs.select(F.explode(text).alias("line")).where(F.col("line").rlike("[0-9@]")).withColumn("h", F.xxhash64("line"))
+    rows = rows.where((F.pmod("h", F.lit(PARTS)) == 0) == F.lit(held_out))
     likely = F.col("line").rlike(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){12}|\+[0-9]")
     found = []
     for part in (rows.where(likely), rows.where(~likely)):
         found += [r["line"] for r in part.select("h", "line").distinct().orderBy("h", "line").limit(lines // 2).collect()]
+    return found
+
+
+def examples(lines: list[str], most: int = LINES) -> tuple[list, list]:
+    """(lines with their base spans, lines with values spelt otherwise and their spans)."""
+    plain = [(line, base_spans(line)) for line in lines]
+    holding = [x for x in plain if x[1]]
+    turns = min(20, most // max(1, len(holding)))
+    other = [respelt(line, spans, i + turn) for turn in range(turns) for i, (line, spans) in enumerate(holding)]
+    return plain, [x for x in other if x[1]][:most]
+
+
+def learn(docs: DataFrame, text_col: str = "text", lines: int = LINES) -> Field:
+    """A field trained on at most ``lines`` lines of ``docs`` as they are, and half as many with other
+    spellings. The labelled table is small by its parameter; nothing else comes to the driver. Without
+    any value in the sample the field adds nothing."""
+    plain, other = examples(sample(docs, text_col, lines), lines // 2)
     features, tags = [], []
-    for line in found:
-        spans = base_spans(line)
+    for line, spans in plain + other:
         for lo, hi in stretches(line):
             part = line[lo:hi]
             s, e = pieces(part)
@@ -293,6 +379,18 @@ def learn(docs: DataFrame, text_col: str = "text", lines: int = LINES) -> Field:
     return Field.train(features, tags)
 
 
+def held_out_quality(docs: DataFrame, field: Field, text_col: str = "text", lines: int = LINES) -> tuple[float, float, int]:
+    """(precision, recall, number) of the field's spans on held-out lines whose values are spelt so that
+    the patterns miss them. Values that the patterns still find in part don't count."""
+    plain, other = examples(sample(docs, text_col, lines, held_out=True), lines)
+    other = [x for x in other if not base_spans(x[0])]
+    texts = [t for t, _ in other] + [t for t, spans in plain if not spans]
+    found = added_spans(texts, [base_spans(t) for t in texts], field)
+    want = [set(spans) for _, spans in other] + [set()] * (len(texts) - len(other))
+    right, all_found, all_wanted = sum(len(set(f) & w) for f, w in zip(found, want, strict=True)), sum(map(len, found)), sum(map(len, want))
+    return right / max(1, all_found), right / max(1, all_wanted), all_wanted
+
+
 def all_spans(texts: list[str], field: Field) -> tuple[list, list]:
     base = [base_spans(t) for t in texts]
     return base, [sorted(b + more) for b, more in zip(base, added_spans(texts, base, field), strict=True)]

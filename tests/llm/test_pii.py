@@ -102,3 +102,32 @@ def test_query_equals_brute_force(spark):
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == i for b in base) for i in range(4)]
         assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_values_spelt_otherwise_on_held_out_lines(spark):
+    """Fails if only the base spans are found: the patterns find none of these values."""
+    docs = queries.read(spark, "/root/testdata/sf0.01", "documents")
+    field = pii.learn(docs)
+    precision, recall, n = pii.held_out_quality(docs, field)
+    assert n >= 100 and precision > 0.95 and recall > 0.85
+
+
+def test_spelling_round_trip():
+    line = "write a.b@mail.example.com or +49 301 2345678 from 10.0.0.7 with 4111 1111 1111 1111 now"
+    spans = pii.base_spans(line)
+    assert [k for k, _, _ in spans] == [0, 1, 2, 3]
+    for turn in range(20):
+        text, now = pii.respelt(line, spans, turn)
+        assert len(now) == 4 and pii.base_spans(text) == []
+        assert all(pii.plausible(k, text[s:e]) and pii.whole(k, text, s, e) for k, s, e in now)
+    assert pii.spelt_back(0, "a (at) b (dot) c") == "a@b.c"
+
+
+def test_no_part_of_a_longer_number():
+    text = "1111 4111 1111 1111 1111 2"
+    assert not pii.whole(2, text, 5, 24) and pii.whole(2, text[5:24], 0, 19)
+
+
+def test_long_lines_can_be_learnt_from(spark):
+    df = spark.createDataFrame([(i, " ".join(["words and words"] * 60 + [t])) for i, t in enumerate(examples(60))], "doc_id long, text string")
+    assert any(pii.base_spans(line) for line in pii.sample(df))
