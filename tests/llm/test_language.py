@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from tests.conftest import SF
@@ -46,3 +47,15 @@ def test_held_out_accuracy(spark):
     rows = got.join(docs, "doc_id").where("held_out and lang is not null").collect()
     right = sum(r["lang_pred"] == r["lang"] for r in rows)
     assert len(rows) > 20 and right / len(rows) > 0.95
+
+
+def test_other_languages_and_noise_go(spark):
+    """Fails if documents are kept for having a letter: only the distance tells these apart."""
+    docs = queries.read(spark, SF, "documents").where("lang is not null")
+    profiles = queries.language_profiles(docs)
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80))
+    text = docs.where("lang = 'de' and length(text) > 500").first()["text"]
+    rows = [(1, noise, None), (2, "Это русский текст, который написан здесь для примера", None), (3, "Bu bir metindir ve burada örnek olarak yazılmıştır, başka bir şey yok", "xx"), (4, text, None), (5, "中文文本没有空格", "de")]
+    got = language.known_only(spark.createDataFrame(rows, "doc_id long, text string, lang string"), profiles).collect()
+    assert [tuple(r) for r in got] == [(4, text, "de")]
