@@ -3,13 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
 
-1. language: documents whose language can't be identified go.
+1. language: documents far from every language's profile go; the others' lang is the nearest language.
 2. near_dedup: one document of each group of near duplicates stays.
 3. personal_data: personal data in the text gives way to its kind in brackets; n_chars follows.
 4. mixing: each document appears as often as the mix of sources takes it (0, 1 or 2 times).
 5. tokens: ids of each text, with the digests of ids and decoded text.
 
-Rows with null texts have no letter and go in the first stage. Empty tables pass through all stages.
+Rows with null texts have no language and go in the first stage. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
