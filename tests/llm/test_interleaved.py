@@ -49,3 +49,49 @@ def test_odd_tables(spark):
     check(rows, got)
     assert {r["doc_id"]: r["caption"] for r in got}[4] == "<s4>&" and {r["doc_id"]: r["caption"] for r in got}[1] is None
     assert interleaved.media_columns(df.limit(0)).collect() == []
+
+
+def test_captions_end_with_their_figure():
+    got = interleaved.parse('<figure><img src="a"><figcaption>cap</figure><p>text after</p><figure><audio src=b></audio><figcaption>x <p>y</p></figcaption></figure>')
+    assert [(e["kind"], e["text"], e["ref"], e["caption"], e["medium"]) for e in got] == [("media", None, "a", "cap", "image"), ("text", "text after", None, None, None), ("media", None, "b", "x y", "audio")]
+    assert interleaved.parse("a<figure>b<figcaption>never closed")[-1]["text"] == "b"
+
+
+def brute_sequence(text, caption):
+    """(position of the whole image, its parts) by a plain count of elements."""
+    lines = text.split("\n")
+    rows = max(1, -(-len(text.encode()) // 64))
+    parts = [(r, min(64, rows - r)) for r in range(0, rows, 64)] if rows > 64 else []
+    data = text.encode() + bytes(rows * 64 - len(text.encode()))
+    place, whole, out, upto, todo = 0, None, [], 0, list(enumerate(parts))
+    for i, line in enumerate(lines):
+        place += bool(line.split())
+        upto += len(line.encode()) + 1
+        while todo and (i == len(lines) - 1 or (todo[0][1][0] + todo[0][1][1]) * 64 <= upto):
+            k, (first, n) = todo.pop(0)
+            out.append((place, f"{caption or ''} {k + 1}/{len(parts)}".strip(), first, n, zlib.crc32(data[first * 64 : (first + n) * 64][-64:])))
+            place += 1
+        if i == (len(lines) - 1) // 2:
+            whole, place = place, place + 1
+    return whole, out
+
+
+def test_positions_captions_and_parts_stay_aligned(spark):
+    docs = queries.read(spark, SF, "documents").select("doc_id", "text", "source").collect()
+    got = {r["doc_id"]: r for r in queries.op4_interleaved_media(spark, SF).collect()}
+    several = 0
+    for d in docs:
+        r = got[d["doc_id"]]
+        whole, parts = brute_sequence(d["text"] or "", d["source"])
+        assert (r["position"], r["caption"]) == (whole, d["source"])
+        assert [tuple(f) for f in r["figures"]] == parts
+        several += len(parts) > 1 and whole > 0
+    assert several > 5
+
+
+def test_escaped_and_blank_lines(spark):
+    text = "\n".join(["<b>&amp; x</b>", "", "  ", "y" * 5000, "<figure>", "é" * 4000, "end"])
+    df = spark.createDataFrame([(7, text, "<s>"), (8, text, None)], "doc_id long, text string, source string")
+    for r in interleaved.media_columns(df).collect():
+        whole, parts = brute_sequence(text, "<s>" if r["doc_id"] == 7 else None)
+        assert r["position"] == whole and [tuple(f) for f in r["figures"]] == parts and len(parts) == 4
