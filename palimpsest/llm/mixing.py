@@ -10,13 +10,11 @@ So a source's words miss its target by less than one document.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import written
-from ._words import U, mix
 
 #: Fixed values of the contract: weights by the sources' order, share of all words, most copies.
 WEIGHTS = (3, 1, 2)
@@ -34,30 +32,49 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``n``, its rows' numbers from 1 by ``column`` (a unique key; null last). Ranges of
+    the column are numbered side by side; only the ranges' sizes reach the driver."""
+    parts = written(df.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranges")
+    upto, before = 0, []
+    for part, n in sorted(tuple(r) for r in parts.groupBy("part").count().collect()):
+        before += [F.lit(part), F.lit(upto)]
+        upto += n
+    local = F.row_number().over(Window.partitionBy("part").orderBy(F.col(column).asc_nulls_last()))
+    first = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0)
+    return parts.withColumn("n", local + first).drop("part")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, docs, source_size) with one row a source -> the same and target.
 
     Targets share ``share`` of all words by weight and stop at ``most`` times a source's words; what
-    exceeds that is reshared until no target is above. Sources in which that happens come first when
-    ordered by words per weight, so running sums over the table of sources find the level.
+    exceeds that is reshared by weight among the others until no target is above: a few rounds, of
+    which two sums each reach the driver. There may be as many sources as hosts.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("w", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    after = by.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    s = s.withColumn("rest", F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("weights", F.sum("w").over(after))
-    s = s.withColumn("level", F.col("rest") / F.col("weights")).withColumn("full", F.col("cap") <= F.col("w") * F.col("level"))
-    level = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)
-    return s.select("source", "docs", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("w") * level)).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    s = numbered(sizes, "source").withColumn("w", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    s = written(s.drop("n"), "sources")
+    total = float((s.agg(F.sum("source_size")).first()[0] or 0) * share)
+    level, known = 0.0, None  # words per weight; full are those whose cap lies at or below it
+    while True:
+        full = F.col("cap") <= F.col("w") * F.lit(level)
+        now = s.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count_if(full)).first()
+        if not now[1] or now[2] == known:  # all are full, or no more than before
+            break
+        level, known = max(level, (total - now[0]) / now[1]), now[2]
+    return s.select("source", "docs", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
+
+
+M64 = (1 << 64) - 1
 
 
 def chance(a: int, b: int, seed: int) -> float:
     """A uniform number that depends on two documents' hashes only."""
-    x = np.array([(a ^ (b * 0x9E3779B97F4A7C15) ^ (seed * 0xD1B54A32D192ED03)) & 0xFFFFFFFFFFFFFFFF], np.uint64)
-    return float(mix(mix(x))[0] >> U(11)) / float(1 << 53)
+    x = (a ^ (b * 0x9E3779B97F4A7C15) ^ (seed * 0xD1B54A32D192ED03)) & M64
+    for _ in range(4):  # multiply and xor-shift
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & M64
+    return ((x ^ (x >> 32)) >> 11) / (1 << 53)
 
 
 def pivot(frame: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -153,10 +170,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``copies`` says; all columns stay."""
-    hashed = docs.withColumn("_h", F.xxhash64(id_col, text_col))  # the same hash as in copies()
-    nth = lambda h: F.row_number().over(Window.partitionBy(id_col, h).orderBy(h))  # noqa: E731  repeated rows keep their own counts
-    taken = copies(docs, id_col, text_col, source_col, seed).where("copies > 0")
-    taken = taken.select(F.col(id_col).alias("_id"), F.col("h").alias("_k"), F.col("copies").alias("_c"), F.row_number().over(Window.partitionBy(id_col, "h").orderBy(F.desc("copies"))).alias("_m"))
-    both = hashed.withColumn("_n", nth("_h")).join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")) & (F.col("_n") == F.col("_m")))
-    return both.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as ``copies`` says; all columns stay, whatever
+    their names."""
+    # a row travels as one struct, so that no name of its columns can clash with those used here
+    nth = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))  # repeated rows keep their own counts
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("h")).withColumn("n", nth)
+    taken = copies(docs, id_col, text_col, source_col, seed).where("copies > 0").withColumnRenamed(id_col, "id")
+    taken = taken.select(F.col("id").alias("of"), F.col("h").alias("k"), "copies", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.desc("copies"))).alias("m"))
+    both = rows.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("k")) & (F.col("n") == F.col("m")))
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -82,3 +82,19 @@ def test_odd_tables(spark):
     want = sorted((str(r["doc_id"]), r["copies"]) for r in got)
     have = Counter(str(r["doc_id"]) for r in out.collect())
     assert all(have[k] == sum(n for i, n in want if i == k) for k in have)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_h", "_n", "_r", "_id", "_k", "_c", "_m", "id", "h", "n", "row", "copies", "copy", "of", "m"]
+    df = spark.createDataFrame([(i, f"w{i} " * (i % 5), "a", *[f"{c}{i}" for c in names]) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r['doc_id']}" for c in names)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:04d}": (i * 7919) % 997 for i in range(3000)} | {None: 500}
+    df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, docs long, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df.repartition(6)).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
