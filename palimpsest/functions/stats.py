@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 Z = 1.96
 
 
@@ -55,6 +57,8 @@ def bootstrap(values: DataFrame, group: str, value: str, resamples: int = 2000,
     For groups without bound use ``poisson_bootstrap``.
     """
 
+    ship(values.sparkSession)
+
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         x = sorted(frame[value].dropna().tolist())
         n = len(x)

@@ -12,6 +12,14 @@ from ..functions import text as T
 #: Fixed value: one variant name: an rsID, an HGVS string or a legacy insertion or deletion.
 NAME = r"(?:rs\d{3,}|[cgmp]\.[A-Za-z0-9_>*+\-]{2,30}|\d{2,5}(?:ins|del|dup)[A-Za-z]{0,10})"
 NEAR = 60
+#: A change in coding notation, and the genes and conditions that a rare one belongs to.
+HGVS = (
+    r"\bc\.\d+(?:[+-]\d+)?(?:_\d+(?:[+-]\d+)?)?"
+    r"(?:[ACGT]+>[ACGT]+|del[ACGT]*|dup[ACGT]*|ins[ACGT]+|delins[ACGT]+)"
+)
+GENES = ("BRCA1", "BRCA2", "PALB2", "ATM", "CHEK2", "TP53", "RAD51C", "RAD51D", "BRIP1", "BARD1", "PMS2", "MLH1", "MSH2", "MSH6", "MUTYH", "PTEN")
+CONDITIONS = ("breast cancer", "ovarian cancer", "pancreatic cancer", "prostate cancer", "colorectal cancer", "endometrial cancer")
+SNIPPET = 400
 
 
 def alternation(terms: list[str]) -> str:
@@ -41,15 +49,50 @@ def coverage(paragraphs: DataFrame, term_sets: list[tuple[str, list[str], list[s
     return out.select("pair_id", "pmcid", F.when(F.col("n") > 0, "same_paragraph").otherwise("doc_level_only").alias("strength"), F.col("n").alias("n_same_paragraph_hits"), F.array_join("s", ";").alias("subject_terms"), F.array_join("c", ";").alias("condition_terms"), place["section"].alias("section"), place["ord"].alias("ord"))
 
 
+def coverage_report(paragraphs: DataFrame, term_sets: list[tuple[str, list[str], list[str]]], manifest: DataFrame) -> DataFrame:
+    """``coverage`` with the paragraph it points to (char_start, char_end and the first characters) and the
+    article's title, journal and pubdate (empty if the manifest lacks it): by pair, those in one paragraph
+    first, most hits first. paragraphs: with offsets, as spans.with_offsets gives them."""
+    place = paragraphs.select("pmcid", "section", "ord", "char_start", "char_end", F.substring("text", 1, SNIPPET).alias("snippet"))
+    rows = coverage(paragraphs, term_sets).join(place, ["pmcid", "section", "ord"]).join(manifest.select("pmcid", "title", "journal", "pubdate"), "pmcid", "left")
+    empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("title", "journal", "pubdate")]
+    out = rows.select("pair_id", "pmcid", "strength", "n_same_paragraph_hits", "subject_terms", "condition_terms", *empty, "section", "char_start", "char_end", "snippet")
+    return out.orderBy("pair_id", F.col("strength") != "same_paragraph", F.desc("n_same_paragraph_hits"), "pmcid")
+
+
+def rare_variants(paragraphs: DataFrame, most_df: int = 1, genes: tuple[str, ...] = GENES, conditions: tuple[str, ...] = CONDITIONS) -> DataFrame:
+    """(variant, gene_hint, gene_distance_chars, condition, df, pmcid): changes in coding notation in
+    paragraphs that name a condition, as far as they stand in ``most_df`` articles at most. The hint is the
+    gene that ends nearest before the change (UNKNOWN, -1 without one); of several places in an article the
+    first counts. Rarest first, then nearest, those without a gene last."""
+    condition = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(c)), F.lit(c)) for c in conditions])
+    # each part after the first begins with a change, which a second mark ends
+    parts = F.split(F.regexp_replace("text", HGVS, "\u0001$0\u0002"), "\u0001")
+    p = paragraphs.withColumn("condition", condition).where(F.col("condition").isNotNull() & F.col("text").rlike(HGVS))
+    p = p.select("pmcid", "section", "ord", "condition", "text", parts.alias("parts")).select("*", F.posexplode("parts").alias("i", "part")).where("i > 0")
+    before = F.replace(F.array_join(F.slice("parts", F.lit(1), F.col("i")), ""), F.lit("\u0002"), F.lit(""))
+    p = p.select("pmcid", "section", "ord", "i", "condition", "text", F.length(before).alias("at"), F.substring_index("part", "\u0002", 1).alias("variant"))
+    p = nearest_before(p, "text", "at", list(genes))
+    first = F.min(F.struct("section", "ord", "i", "name", "distance", "condition"))
+    one = p.groupBy("variant", "pmcid").agg(first.alias("f"))
+    df = F.count("*").over(Window.partitionBy("variant"))
+    out = one.withColumn("df", df).where(F.col("df") <= most_df)
+    out = out.select("variant", F.coalesce("f.name", F.lit("UNKNOWN")).alias("gene_hint"), F.col("f.distance").alias("gene_distance_chars"), F.col("f.condition").alias("condition"), "df", "pmcid")
+    return out.orderBy("df", F.when(F.col("gene_distance_chars") >= 0, F.col("gene_distance_chars")).otherwise(1_000_000), "variant", "pmcid")
+
+
 def equivalences(paragraphs: DataFrame, name: str = NAME) -> DataFrame:
-    """(pair_id, form_a, form_b, n_mentions, n_articles): names given as ``A (B)``, rsIDs second."""
+    """(pair_id, form_a, form_b, kind_a, kind_b, n_mentions, n_articles, example): names given as
+    ``A (B)``, rsIDs second; the example is the start of the first article's first such paragraph."""
     both = F.regexp_extract_all("text", F.lit(rf"({name})[ \t\n]*\([ \t\n]*({name})[ \t\n]*\)"), F.lit(0))
-    m = paragraphs.select("pmcid", F.explode(both).alias("m")).select("pmcid", F.regexp_extract("m", f"^({name})", 1).alias("x"), F.regexp_extract("m", rf"\([ \t\n]*({name})", 1).alias("y"))
+    example = F.struct("pmcid", F.substring(T.collapse(F.col("text")), 1, 200).alias("text"))
+    m = paragraphs.select("pmcid", example.alias("e"), F.explode(both).alias("m")).select("pmcid", "e", F.regexp_extract("m", f"^({name})", 1).alias("x"), F.regexp_extract("m", rf"\([ \t\n]*({name})", 1).alias("y"))
     m = m.where((F.lower("x") != F.lower("y")) & ~(F.startswith("x", F.lit("rs")) & F.startswith("y", F.lit("rs"))))
     second = T.notation_kind(F.col("y")) == "rsid"
-    m = m.select("pmcid", F.when(second, F.col("x")).otherwise(F.col("y")).alias("form_a"), F.when(second, F.col("y")).otherwise(F.col("x")).alias("form_b"))
-    out = m.groupBy("form_a", "form_b").agg(F.count("*").alias("n_mentions"), F.count_distinct("pmcid").alias("n_articles"))
-    return out.select(F.concat_ws("__", "form_a", "form_b").alias("pair_id"), "form_a", "form_b", "n_mentions", "n_articles")
+    m = m.select("pmcid", "e", F.when(second, F.col("x")).otherwise(F.col("y")).alias("form_a"), F.when(second, F.col("y")).otherwise(F.col("x")).alias("form_b"))
+    out = m.groupBy("form_a", "form_b").agg(F.count("*").alias("n_mentions"), F.count_distinct("pmcid").alias("n_articles"), F.min("e")["text"].alias("example"))
+    kinds = [T.notation_kind(F.col(c)).alias(k) for c, k in (("form_a", "kind_a"), ("form_b", "kind_b"))]
+    return out.select(F.concat_ws("__", "form_a", "form_b").alias("pair_id"), "form_a", "form_b", *kinds, "n_mentions", "n_articles", "example").orderBy(F.desc("n_articles"), F.desc("n_mentions"), "pair_id")
 
 
 def one_form_only(paragraphs: DataFrame, pairs: DataFrame, words: Column, least: int = 25, most: int = 400, most_df: int = 6) -> DataFrame:

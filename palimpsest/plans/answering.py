@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import answers, index, labels
+from ..operators import answers, index, labels, service
 from ..streaming import requests
 from .base import DOCS, ITEMS, bm25, collapse, documents, query, questions, table, topk, wilson
 
@@ -171,8 +171,7 @@ def answer_admission(spark: S, sf: str) -> D:
 
 @query("SELECT count(*) AS cases, count(*) - count(DISTINCT o_custkey) AS duplicate_ids, sum((o_orderstatus = 'P')::INTEGER)::BIGINT AS rejected, sum((o_orderstatus = 'O')::INTEGER)::BIGINT AS unreviewed FROM orders")
 def release_gate(spark: S, sf: str) -> D:
-    status = lambda s, n: F.sum((F.col("o_orderstatus") == s).cast("long")).alias(n)
-    return table(spark, sf, "orders").agg(F.count("*").alias("cases"), (F.count("*") - F.count_distinct("o_custkey")).alias("duplicate_ids"), status("P", "rejected"), status("O", "unreviewed"))
+    return service.release_counts(table(spark, sf, "orders"), "o_custkey", F.col("o_orderstatus"), "P", "O")
 
 
 @query(f"""WITH {bm25(DOCS, ITEMS)}, {topk(5)}, h AS (SELECT query_id, bool_or(rank > 1 AND {_over("b.text", "d.text")} >= 0.35) AS hole FROM run JOIN documents d ON d.doc_id = chunk_ord JOIN benchmark b ON b.item_id = query_id GROUP BY 1), t AS (SELECT sum(hole::INTEGER) AS s, count(*) AS n FROM h)
@@ -187,7 +186,8 @@ def hole_rate(spark: S, sf: str) -> D:
 
 @query("SELECT event_type AS outcome, count(*) AS n, round(avg(value), 6) AS mean_ms, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def outcome_counts(spark: S, sf: str) -> D:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_ms"), F.count_distinct("user_id").alias("users"))
+    out = service.outcomes(table(spark, sf, "events"), "event_type", "value", "user_id")
+    return out.withColumn("mean_ms", F.round("mean_ms", 6))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)

@@ -63,7 +63,7 @@ def sentences(spark: S, sf: str) -> D:
 @query(f"""WITH {_sent}, e AS (SELECT pmcid, CASE WHEN starts_with(b, 'rs') THEN a ELSE b END AS form_a, CASE WHEN starts_with(b, 'rs') THEN b ELSE a END AS form_b FROM sent WHERE lower(a) <> lower(b) AND NOT (starts_with(a, 'rs') AND starts_with(b, 'rs')))
 SELECT form_a || '__' || form_b AS pair_id, form_a, form_b, count(*) AS n_mentions, count(DISTINCT pmcid) AS n_articles FROM e GROUP BY ALL""")
 def mine_pairs(spark: S, sf: str) -> D:
-    return mining.equivalences(sentences(spark, sf))
+    return mining.equivalences(sentences(spark, sf)).select("pair_id", "form_a", "form_b", "n_mentions", "n_articles")
 
 
 _twin = "SELECT 'p' || item_id AS pair_id, w[1] AS form_a, w[2] AS form_b FROM (SELECT item_id, list_sort(list_distinct(list_filter(" + toks("text") + ", lambda t: length(t) > 9))) AS w FROM benchmark) WHERE len(w) > 1"

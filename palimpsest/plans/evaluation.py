@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import index, metrics, sampling
+from ..operators import index, metrics, sampling, service
 from .base import DOCS, ITEMS, bm25, documents, query, questions, table, topk, wilson
 from .retrieval import _gold, gold_spans
 
@@ -165,42 +165,33 @@ def cohens_kappa(spark: S, sf: str) -> D:
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 6) AS per_second FROM events GROUP BY 1")
 def latency_percentiles(spark: S, sf: str) -> D:
-    seconds = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.count("*") / F.nullif(seconds, F.lit(0.0)), 6).alias("per_second"))
+    out = service.latencies(table(spark, sf, "events"), ["event_type"], "value", "ts")
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "per_second")])
 
 
 @query("SELECT arg_max(lang, (n, lang)) AS value, round(max(n) / sum(n)::DOUBLE, 6) AS rate, sum(n)::BIGINT AS n FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)")
 def majority_baseline(spark: S, sf: str) -> D:
-    c = table(spark, sf, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    return c.agg(F.max_by("lang", F.struct("n", "lang")).alias("value"), F.round(F.max("n") / F.sum("n"), 6).alias("rate"), F.sum("n").alias("n"))
+    return service.majority(table(spark, sf, "documents"), "lang").select("value", F.round("rate", 6).alias("rate"), "n")
 
 
 @query("SELECT split_part(props, ':', 1) || event_type AS reason, count(*) AS n FROM events GROUP BY 1")
 def reject_histogram(spark: S, sf: str) -> D:
-    return table(spark, sf, "events").groupBy(F.concat(F.substring_index("props", ":", 1), "event_type").alias("reason")).agg(F.count("*").alias("n"))
+    # the reasons' prefixes stand before the first colon; the kind of event makes them differ
+    return service.reasons(table(spark, sf, "events"), F.concat(F.substring_index("props", ":", 1), "event_type"))
 
 
 @query("SELECT l_returnflag AS style, round(avg(l_discount * 10), 6) AS mean, round(median(l_discount * 10), 6) AS median, round(avg((l_discount >= 0.09)::INTEGER), 6) AS high FROM lineitem GROUP BY 1")
 def calibrate_overlap(spark: S, sf: str) -> D:
-    x = F.col("l_discount") * 10
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("style")).agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.percentile(x, 0.5), 6).alias("median"), F.round(F.avg((F.col("l_discount") >= 0.09).cast("int")), 6).alias("high"))
+    out = service.overlap_profile(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_discount") * 10, F.col("l_discount") >= 0.09)
+    return out.select("style", *[F.round(c, 6).alias(c) for c in ("mean", "median", "high")])
 
 
 @query("""WITH g(max_rank, min_margin) AS (SELECT * FROM (VALUES (1), (3), (5)) a(x), (VALUES (0.0::DOUBLE), (0.02), (0.05)) b(y))
 SELECT l_returnflag AS verdict, max_rank, min_margin, count(*) AS n, sum((l_linenumber > max_rank OR l_tax < min_margin)::INTEGER)::BIGINT AS rejected, round(list_sort(list(l_tax))[(count(*) // 2 + 1)::BIGINT], 6) AS median FROM lineitem, g GROUP BY ALL""")
 def calibrate_specificity(spark: S, sf: str) -> D:
-    """Rejects for each threshold pair, and the upper median, without collecting a group: the value of
-    rank n // 2 + 1 by percentile_disc over one more than half."""
     g = spark.sql("SELECT * FROM VALUES (1), (3), (5) AS a(max_rank), VALUES (0.0D), (0.02D), (0.05D) AS b(min_margin)")
-    line = table(spark, sf, "lineitem")
-    from pyspark.sql import Window
-
-    counts = line.groupBy("l_returnflag", "l_tax").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("l_returnflag").orderBy("l_tax"))
-    total = F.sum("c").over(Window.partitionBy("l_returnflag"))
-    median = counts.select("l_returnflag", "l_tax", upto.alias("u"), total.alias("t")).where(F.col("u") > F.floor(F.col("t") / 2)).groupBy("l_returnflag").agg(F.round(F.min("l_tax"), 6).alias("median"))
-    out = line.join(g).groupBy("l_returnflag", "max_rank", "min_margin").agg(F.count("*").alias("n"), F.sum(((F.col("l_linenumber") > F.col("max_rank")) | (F.col("l_tax") < F.col("min_margin"))).cast("long")).alias("rejected"))
-    return out.join(median, "l_returnflag").withColumnRenamed("l_returnflag", "verdict")
+    out = service.threshold_grid(table(spark, sf, "lineitem"), "l_returnflag", "l_linenumber", "l_tax", g)
+    return out.withColumn("median", F.round("median", 6))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice, o_orderkey) AS r FROM orders) SELECT o_custkey, o_orderpriority, o_orderkey FROM o WHERE r = 1""")

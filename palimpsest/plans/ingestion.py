@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import labels
+from ..operators import labels, service
 from ..sources import files, jats
 from .base import PARA, query, table
 
@@ -74,10 +74,9 @@ def latest_version(spark: S, sf: str) -> D:
 @query("""WITH s AS (SELECT user_id, event_id, value, event_type, CASE WHEN event_id % 5 > 0 THEN event_id - event_id % 5 END AS parent FROM events), k AS (SELECT parent, sum(value) AS inner_ms FROM s WHERE parent IS NOT NULL GROUP BY 1)
 SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total_ms, round(sum(value - coalesce(inner_ms, 0)), 4) AS self_ms FROM s LEFT JOIN k ON k.parent = event_id GROUP BY 1""")
 def trace_self_time(spark: S, sf: str) -> D:
-    """Spans nest by parent: what a span takes itself is its time less its children's."""
-    s = table(spark, sf, "events").select("event_id", "value", "event_type", F.when(F.col("event_id") % 5 > 0, F.col("event_id") - F.col("event_id") % 5).alias("parent"))
-    inner = s.where("parent is not null").groupBy(F.col("parent").alias("event_id")).agg(F.sum("value").alias("inner_ms"))
-    return s.join(inner, "event_id", "left").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total_ms"), F.round(F.sum(F.col("value") - F.coalesce("inner_ms", F.lit(0.0))), 4).alias("self_ms"))
+    parent = F.when(F.col("event_id") % 5 > 0, F.col("event_id") - F.col("event_id") % 5)
+    out = service.self_times(table(spark, sf, "events").select(F.col("event_id").alias("span_id"), parent.alias("parent"), F.col("event_type").alias("name"), F.col("value").alias("ms")))
+    return out.withColumns({c: F.round(c, 4) for c in ("total_ms", "self_ms")})
 
 
 def escaped(c):

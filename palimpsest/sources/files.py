@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,39 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.get("p", F.lit(0)).alias("query_id"), F.get("p", F.lit(2)).alias("doc_id"), F.get("p", F.lit(3)).cast("int").alias("rel"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc.hadoopConfiguration()).exists(p)
+
+
+@dataclass
+class Dataset:
+    """documents (id, text, title), queries (id, text) and judgments (query_id, doc_id, rel)."""
+
+    documents: DataFrame
+    queries: DataFrame
+    judgments: DataFrame
+
+    def relevant(self) -> DataFrame:
+        """(query_id, doc_id, rel) of what is relevant at all."""
+        return self.judgments.where("rel > 0")
+
+    def texts(self) -> DataFrame:
+        """(doc_id, text) as they are indexed: title, a space, body."""
+        return self.documents.select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.nullif("title", F.lit("")), "text").alias("text"))
+
+
+def dataset(spark: SparkSession, path: str) -> Dataset:
+    """The three files of a benchmark in one folder; FileNotFoundError if any is missing."""
+    names = ("corpus.jsonl", "queries.jsonl", "qrels.txt")
+    missing = [n for n in names if not exists(spark, f"{path}/{n}")]
+    if missing:
+        raise FileNotFoundError(f"{path} lacks {', '.join(missing)}")
+    corpus, asked, judged = (f"{path}/{n}" for n in names)
+    return Dataset(beir(spark, corpus, BEIR_CORPUS), beir(spark, asked, BEIR_QUERIES), qrels(spark, judged))
+
+
 def hash_mismatches(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Files (pmcid, content) whose SHA-256 isn't the listed one, or that aren't listed."""
     actual = files.select("pmcid", F.sha2("content", 256).alias("actual"))

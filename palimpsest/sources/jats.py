@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..operators import labels, spans
 
 SECTIONS = ("abstract", "body")
 MARK = "\x00"
+#: Fixed value: what may stand between citations.
 CONNECTOR = re.compile(r"[,;\-‐‑‒–—−\s\[\]()]*")
 FIELDS = "section string, ord int, title string, text string, marked string"
 
@@ -76,6 +78,7 @@ def article(xml: str | bytes | None) -> list[tuple[str, int, str | None, str, st
 
 def paragraphs(articles: DataFrame, id_col: str = "pmcid", xml_col: str = "xml") -> DataFrame:
     """(pmcid, section, ord, title, text, clean, char_start, char_end): clean is without citations."""
+    ship(articles.sparkSession)
     kind = articles.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
