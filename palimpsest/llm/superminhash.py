@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._graph import components
 from ._store import written
 from ._words import BASE, U, mix, shingle_sets
@@ -119,8 +120,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id that links reach. Null and empty texts, and those of white space
     only, have no shingles and link with nothing; a text of fewer than ``width`` words has one shingle.
-    Rows that repeat an id give a row each; they count as one document whose first text by set hash
-    stands for it. Rows with a null id are kept with component null. Other columns are ignored.
+    Rows that repeat an id give a row each, with its own n_shingles; they are one document, linked with
+    whatever any of its texts is linked with. Rows with a null id are kept with component null. Other
+    columns are ignored. Sets count as equal if their sizes and two 64-bit sums of hashes are.
 
     Plan: one pass over the texts makes fixed-size fingerprints (written, since they are read several
     times). Equal sets collapse by a pre-aggregated grouping. A bucket's documents are compared with its
@@ -129,6 +131,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only, so that no link is lost. One shuffle brings the texts of documents in shared buckets to be
     shingled again for the checks on full sets.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = written(texts.mapInArrow(lambda it: fingerprints(it, width, bands, rows), "id long, n long, set_a long, set_b long, bands array<long>"), "fingerprints")
 
@@ -165,9 +168,9 @@ def _rest(members: DataFrame, classes: DataFrame, full: DataFrame, label: DataFr
     full, in blocks: documents outside the bucket's largest component with all others of the bucket."""
     lab = label.select(F.col("id").alias("of"), "component")
     held = members.select("bucket", "id", "n").join(lab, F.col("id") == F.col("of"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    per = held.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1 and c > 2")  # of two, one is the leader
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    per = per.select("bucket", F.col("top.component").alias("main"), blocks(F.col("c") - F.col("top.c")).alias("apart"), blocks(F.col("top.c")).alias("inside"))
+    per = held.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("e")).groupBy("bucket").agg(F.max(F.struct("c", "component", "e")).alias("top"), F.sum("c").alias("c"), F.sum("e").alias("e"), F.count("*").alias("k")).where("k > 1 and c > 2")  # of two, one is the leader
+    blocks = lambda n, e: F.ceil(F.greatest(n / F.lit(BLOCK), e / F.lit(ELEMENTS))).cast("int")
+    per = per.select("bucket", F.col("top.component").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("e") - F.col("top.e")).alias("apart"), blocks(F.col("top.c"), F.col("top.e")).alias("inside"))
     held = held.join(per, "bucket")
     out = F.col("component") != F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(out, F.col("apart")).otherwise(F.col("inside"))).cast("int")
@@ -184,46 +187,59 @@ def _rest(members: DataFrame, classes: DataFrame, full: DataFrame, label: DataFr
     return held.groupBy("bucket", "i", "j").applyInPandas(lambda key, f: linked(key, f, percent), "a long, b long")
 
 
-#: Documents of a block of a large bucket.
-BLOCK = 512
+#: Documents and their shingles in a block of a large bucket, on average.
+BLOCK, ELEMENTS = 512, 400_000
+
+
+def prefixes(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """The first elements of each ascending set: two sets that meet ``percent`` of their union share one."""
+    return [x[: len(x) - -(-percent * len(x) // 100) + 1] for x in sets]
 
 
 def linked(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """A forest of the links between different components of two blocks of a bucket. A pair that
-    shares an earlier band is left to that band's bucket."""
+    shares an earlier band is left to that band's bucket. Pairs come from a prefix filter, never from
+    all of them, and are confirmed on full sets."""
     left, right = frame[frame.side == 0], frame[frame.side == 1]
     if key[1] == key[2]:
         right = left
     a, b = [], []
     if len(left) and len(right):
-        parent = {}
-
-        def find(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                x = up
-            return x
-
-        ids, comp, n = right.id.to_numpy(), right.component.tolist(), right.n.to_numpy()
+        ids, n = right.id.to_numpy(), right.n.to_numpy()
+        # components by number, and what each has become
+        _, number = np.unique(np.concatenate([left.component.to_numpy(), right.component.to_numpy()]), return_inverse=True)
+        mine, comp = number[: len(left)].copy(), number[len(left) :].copy()
         bands = np.stack(right.bands.to_list())
         sets = [np.frombuffer(e, np.uint64) for e in right.elements]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        every = np.concatenate(sets)
-        for i, c, k, own, blob in zip(left.id.tolist(), left.component.tolist(), left.n.tolist(), left.bands, left.elements, strict=True):
-            place = int(np.flatnonzero(np.asarray(own) == key[0])[0])
-            todo = (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & ~(bands[:, :place] == np.asarray(own)[:place]).any(axis=1)
-            todo &= np.array([find(x) != find(c) for x in comp], bool)
-            if not todo.any():
+        first = prefixes(sets, percent)
+        owner = np.repeat(np.arange(len(first)), [len(x) for x in first])
+        first = np.concatenate(first)
+        order = np.argsort(first, kind="stable")
+        first, owner = first[order], owner[order]
+        own_sets = [np.frombuffer(e, np.uint64) for e in left.elements]
+        for i, (of, k, own, x, head) in enumerate(zip(left.id.tolist(), left.n.tolist(), left.bands, own_sets, prefixes(own_sets, percent), strict=True)):
+            lo, hi = np.searchsorted(first, head), np.searchsorted(first, head, side="right")
+            lo, hi = lo[hi > lo], hi[hi > lo]
+            if not len(lo):
                 continue
-            x = np.frombuffer(blob, np.uint64)
-            hit = np.searchsorted(x, every)
-            hit[hit == len(x)] = 0
-            count = np.concatenate([[0], np.cumsum(x[hit] == every)])
-            both = count[at[1:]] - count[at[:-1]]
-            for r in np.flatnonzero(todo & (100 * both >= percent * (n + k - both))).tolist():
-                p, q = find(c), find(comp[r])
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    a.append(i)
+            todo = np.unique(np.concatenate([owner[s:e] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]))
+            own = np.asarray(own)
+            place = int(np.flatnonzero(own == key[0])[0])
+            todo = todo[(comp[todo] != mine[i]) & (100 * np.minimum(n[todo], k) >= percent * np.maximum(n[todo], k))]
+            todo = todo[~(bands[todo, :place] == own[:place]).any(axis=1)]
+            for r in todo.tolist():
+                if comp[r] == mine[i]:
+                    continue
+                y = sets[r]
+                short, long = (x, y) if len(x) < len(y) else (y, x)
+                at = np.searchsorted(long, short)
+                at[at == len(long)] = 0
+                both = int((long[at] == short).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    old, new = comp[r], mine[i]
+                    comp[comp == old] = new
+                    mine[mine == old] = new
+                    a.append(of)
                     b.append(int(ids[r]))
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
@@ -231,5 +247,7 @@ def linked(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stand for their component. Documents without words and rows with a null
     id all stay; of rows that repeat an id, all stay if one does."""
-    verdict = near_duplicates(docs, id_col, text_col, percent).groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_k")).where("not _k").select("_gone")
-    return docs.join(verdict, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, percent).groupBy(F.col(id_col).alias("id")).agg(F.max("kept").alias("kept")).where("not kept").select("id")
+    # a row travels as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")

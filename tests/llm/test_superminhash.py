@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from palimpsest.llm import superminhash
 from palimpsest.llm._words import shingle_sets
@@ -101,3 +102,40 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "a b")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in superminhash.near_duplicates(df).collect())
     assert [x for x in got if x[0]] == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(1, text, "a", True), (2, text, "b", True), (3, "x", "c", False)], "doc_id long, text string, _gone string, kept boolean").withColumn("id", F.lit(5)).withColumn("row", F.lit("r"))
+    got = superminhash.deduplicated(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, text, "a", True, 5, "r"), (3, "x", "c", False, 5, "r")]
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, "c d")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in superminhash.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_blocks_equal_all_pairs():
+    """Members of one bucket, in components that the leader left apart."""
+    import pandas as pd
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = [rng.getrandbits(50) for _ in range(rng.choice([3, 20, 150]))]
+        for _ in range(4):
+            s = {x if rng.random() > 0.04 else rng.getrandbits(50) for x in base}
+            rows.append(np.array(sorted(s), np.uint64))
+    frame = pd.DataFrame({"id": range(len(rows)), "n": [len(x) for x in rows], "component": range(len(rows)), "side": 0, "elements": [x.tobytes() for x in rows], "bands": [np.array([77])] * len(rows)})
+    got = superminhash.linked((77, 0, 0), frame, 85)
+    def groups(pairs):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+    every = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(set(rows[a]) & set(rows[b])) >= 85 * len(set(rows[a]) | set(rows[b]))]
+    assert groups(zip(got.a, got.b)) == groups(every) and len(every) > 20
