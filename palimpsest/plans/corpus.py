@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cases, index, mining
+from ..operators import cases, index, mining, verification
 from .base import DOCS, ITEMS, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, topk, toks
 from .retrieval import _gold
 from .retrieval import gold_spans
@@ -91,11 +91,9 @@ def nearest_preceding(spark: S, sf: str) -> D:
     return mining.nearest_before(d, "text", "at", _genes).select("doc_id", "name", "distance")
 
 
-@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest({toks("text")}) AS term FROM documents WHERE contains(lower(text), 'the')), d AS (SELECT term, count(*) AS df, min(doc_id) AS first FROM t WHERE length(term) BETWEEN 12 AND 13 GROUP BY 1)
-SELECT term, df, first FROM d WHERE df <= 3""")
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest({toks("text")}) AS term FROM documents), d AS (SELECT term, count(*) AS df, min(doc_id) AS first FROM t GROUP BY 1) SELECT term, df, first FROM d WHERE df <= 3""")
 def rare_terms(spark: S, sf: str) -> D:
-    d = table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("the")))
-    t = d.select("doc_id", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x).between(12, 13)))).alias("term"))
+    t = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).where("df <= 3")
 
 
@@ -207,15 +205,14 @@ def verify_set(spark: S, sf: str) -> D:
     return cases.violations(made_set(spark, sf), d, d, held)
 
 
-@query("SELECT b.item_id, count(*) FILTER (contains(lower(d.text), lower(substr(b.text, 1, 24)))) AS n_articles FROM benchmark b, documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
+@query("SELECT b.item_id, count(*) FILTER (contains(lower(d.text), lower(b.text))) AS n_articles FROM benchmark b, documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
 def verify_negatives(spark: S, sf: str) -> D:
-    """How many of the remaining articles hold each literal. Literals are the query: a literal array."""
-    literals = table(spark, sf, "benchmark").select("item_id", F.lower(F.substring("text", 1, 24)).alias("l"))
+    """How many of the remaining articles hold each whole literal."""
+    literals = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("literal"))
     held = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    d = table(spark, sf, "documents").join(held, "doc_id", "left_anti").select(F.lower("text").alias("t"))
-    arr = literals.agg(F.collect_list(F.struct("item_id", "l")).alias("all"))
-    hits = d.join(arr).select(F.explode(F.filter("all", lambda x: F.contains(F.col("t"), x["l"]))).alias("x")).groupBy(F.col("x.item_id").alias("item_id")).agg(F.count("*").alias("n"))
-    return literals.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_articles"))
+    d = table(spark, sf, "documents").join(held, "doc_id", "left_anti").select(F.col("doc_id").alias("pmcid"), "text")
+    hits = verification.literal_hits(literals, d).groupBy("case_id").agg(F.count("*").alias("n"))
+    return literals.join(hits, "case_id", "left").select(F.col("case_id").alias("item_id"), F.coalesce("n", F.lit(0)).alias("n_articles"))
 
 
 @query("SELECT doc_id AS pmcid, lang AS section FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import labels
-from .base import ITEMS, PARA, collapse, paragraphs, query, raw_paragraphs, table, toks
+from ..operators import index, labels
+from .base import DOCS, ITEMS, PARA, bm25, collapse, documents, query, questions, raw_paragraphs, table, topk, toks
 
 S, D = SparkSession, DataFrame
 md5 = lambda c: F.md5((F.col(c) if isinstance(c, str) else c).cast("binary"))
@@ -43,25 +43,27 @@ def classify_section(spark: S, sf: str) -> D:
     return p.select("pmcid", "ord", T.classify_section(section, title).alias("stratum"))
 
 
-_pairs = "SELECT b.item_id, d.doc_id, b.text AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20"
+_hits = f"{bm25(DOCS, ITEMS)}, {topk(20)}, p AS (SELECT query_id AS item_id, chunk_ord AS doc_id, q.text AS q, d.text AS t FROM run JOIN benchmark q ON q.item_id = query_id JOIN documents d ON d.doc_id = chunk_ord)"
 
 
-def item_pairs(spark: S, sf: str) -> D:
-    """Each item with the documents of its residue class."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") % 20).alias("k"))
-    d = docs(spark, sf).select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % 20).alias("k"))
-    return b.join(d, "k").drop("k")
+def item_hits(spark: S, sf: str) -> D:
+    """Each item with the whole documents that a search over all of them finds for it."""
+    d, q = documents(spark, sf), questions(spark, sf)
+    hits = index.search_texts(d, q, 20).join(d, "chunk_ord").join(q, "query_id")
+    return hits.select(F.col("query_id").alias("item_id"), F.col("chunk_ord").alias("doc_id"), F.col("query").alias("q"), F.col("text").alias("t"))
 
 
-@query(f"WITH p AS ({_pairs}), w AS (SELECT item_id, doc_id, list_distinct({toks('q')}) AS q, {toks('t')} AS t FROM p) SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, list_distinct(t))) / len(q)::DOUBLE END, 6) AS share FROM w")
+_share = lambda a, b, empty: f"round(CASE WHEN len({a}) = 0 THEN {empty} ELSE len(list_intersect({a}, {b})) / len({a})::DOUBLE END, 6) AS share"
+
+
+@query(f"WITH {_hits}, w AS (SELECT item_id, doc_id, list_distinct({toks('q')}) AS a, list_distinct({toks('t')}) AS b FROM p) SELECT item_id, doc_id, {_share('a', 'b', '0.0')} FROM w")
 def lexical_overlap(spark: S, sf: str) -> D:
-    return item_pairs(spark, sf).select("item_id", "doc_id", F.round(T.overlap_share(F.col("q"), F.col("t")), 6).alias("share"))
+    return item_hits(spark, sf).select("item_id", "doc_id", F.round(T.overlap_share(F.col("q"), F.col("t")), 6).alias("share"))
 
 
-@query(f"WITH p AS ({_pairs}), w AS (SELECT item_id, doc_id, list_distinct({toks('substr(t, 1, 1 + doc_id % 40)')}) AS q, {toks('q')} AS t FROM p) SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, list_distinct(t))) / len(q)::DOUBLE END, 6) AS share FROM w")
+@query(f"WITH {_hits}, w AS (SELECT item_id, doc_id, list_distinct({toks('t')}) AS a, list_distinct({toks('q')}) AS b FROM p) SELECT item_id, doc_id, {_share('a', 'b', '1.0')} FROM w")
 def answer_share(spark: S, sf: str) -> D:
-    answer = F.substring("t", F.lit(1), (1 + F.col("doc_id") % 40).cast("int"))
-    return item_pairs(spark, sf).select("item_id", "doc_id", F.round(T.overlap_share(answer, F.col("q"), 1.0), 6).alias("share"))
+    return item_hits(spark, sf).select("item_id", "doc_id", F.round(T.overlap_share(F.col("t"), F.col("q"), 1.0), 6).alias("share"))
 
 
 _plain = "regexp_replace(regexp_replace({x}, '([0-9])[, \\x{{00A0}}\\x{{2009}}\\x{{202F}}]([0-9])', '\\1\\2', 'g'), '([0-9])[, \\x{{00A0}}\\x{{2009}}\\x{{202F}}]([0-9])', '\\1\\2', 'g')"
