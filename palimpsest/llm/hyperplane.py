@@ -1,11 +1,13 @@
 """Near-duplicate vectors by random-hyperplane sign hashing, exact cosine and connected components.
 
-Each of ``tables`` tables hashes a vector to the signs of its products with ``bits`` random
-hyperplanes. Two vectors at angle t agree on one sign with probability 1 - t/pi, so with 10 bits and
-14 tables a pair at cosine 0.98 is missed with probability (1 - 0.936**10)**14 = 4e-5 and a pair at
-0.99 with 3e-7. Vectors of one bucket (table, label, signs) are compared in blocks by one matrix
-product; a pair that meets in several tables counts in the first of them only. Equal vectors form a
-class that is compared once and weighs its number of copies.
+Each of several tables hashes a vector to the signs of its products with random hyperplanes. Two
+vectors at angle t agree on one sign with probability 1 - t/pi, so with 10 bits and 14 tables a pair at
+cosine 0.98 is missed with probability (1 - 0.936**10)**14 = 4e-5 and a pair at 0.99 with 3e-7. The
+more vectors a label has, the more bits its signs have, so that its buckets stay as large as they are;
+and the more bits, the more tables, so that no more pairs are missed. Vectors of one bucket (table,
+label, signs) are compared in blocks by one matrix product; a pair that meets in several tables counts
+in the first of them only. Equal vectors form a class that is compared once and weighs its number of
+copies.
 """
 
 from __future__ import annotations
@@ -18,32 +20,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._graph import components
 from ._store import written
 
-TABLES, BITS, BLOCK = 14, 10, 256
+BITS, MOST_BITS, BLOCK = 10, 24, 256
+#: Vectors of a label for each combination of its signs; a label of more gets one more bit.
+PER_SIGN = 64
+#: Greatest probability that a pair at the threshold meets in no table.
+MISSED = 5e-5
 #: Vectors of small buckets that share a group, about.
 GROUP = 1024
 
 
-def planes(dim: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+def tables_for(bits: int, threshold: float, missed: float = MISSED) -> int:
+    """How many tables of ``bits`` signs leave a pair at the threshold unmet with at most ``missed``."""
+    agree = (1 - np.arccos(threshold) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(missed) / np.log1p(-agree))))
 
 
-def signs(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(id, label, vec, copies) -> the same with one integer of signs per table."""
-    weight = 1 << np.arange(bits, dtype=np.int64)
+def planes(dim: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng([seed, dim, bits]).standard_normal((dim, tables * bits))
+
+
+def signs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(id, label, vec, copies, bits) -> the same with one integer of signs per table, by bits."""
     for batch in batches:
         vectors = [np.frombuffer(v, np.float64) for v in batch.column(2).to_pylist()]
-        out = np.zeros((len(vectors), tables), np.int32)
-        dims = np.array([len(v) for v in vectors])
-        for d in np.unique(dims):
-            rows = np.flatnonzero(dims == d)
+        bits = batch.column(4).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(vectors)
+        kinds = np.array([(len(v), b) for v, b in zip(vectors, bits, strict=True)]).reshape(-1, 2)
+        for d, b in np.unique(kinds, axis=0).tolist():
+            rows = np.flatnonzero((kinds == (d, b)).all(axis=1))
+            tables = tables_for(b, threshold)
             x = np.stack([vectors[i] for i in rows])
-            s = (x / np.abs(x).max(axis=1, keepdims=True)) @ planes(int(d), tables, bits) >= 0
-            out[rows] = s.reshape(len(rows), tables, bits) @ weight
-        lists = pa.ListArray.from_arrays(np.arange(0, len(vectors) * tables + 1, tables, dtype=np.int32), out.reshape(-1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "label", "vec", "copies", "signs"])
+            s = (x / np.abs(x).max(axis=1, keepdims=True)) @ planes(d, b, tables) >= 0
+            found = s.reshape(len(rows), tables, b) @ (1 << np.arange(b, dtype=np.int64))
+            for i, one in zip(rows.tolist(), found.astype(np.int32), strict=True):
+                out[i] = one
+        at = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(at, np.concatenate([np.zeros(0, np.int32), *out]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "label", "vec", "copies", "bits", "signs"])
 
 
 def unit(vectors: list[bytes]) -> np.ndarray:
@@ -78,7 +95,7 @@ def compare(key: tuple, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     frame = frame.sort_values(["label", "dim", "sign"], kind="stable")
     side, ids, copies = frame.side.to_numpy(), frame.id.to_numpy(), frame.copies.to_numpy()
     label, dim, sign = (frame[c].to_numpy() for c in ("label", "dim", "sign"))
-    earlier = np.stack(frame.signs.to_list())[:, :table]
+    earlier = np.stack([s[:table] for s in frame.signs])
     vectors = frame.vec.to_list()
     edge = np.flatnonzero((label[1:] != label[:-1]) | (dim[1:] != dim[:-1]) | (sign[1:] != sign[:-1])) + 1
     a_all, b_all, links = [], [], np.zeros(len(frame), np.int64)
@@ -106,7 +123,7 @@ def compare(key: tuple, frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[linked], "links": links[linked], "root": np.array([root[x] for x in ids[linked].tolist()], np.int64)})
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, bits: int = BITS, per_sign: int = PER_SIGN, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: (id, n_links, component_id, kept).
 
     Only vectors with equal, non-null labels and equal lengths are compared, by cosine in double
@@ -114,15 +131,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     with nothing, and neither does a row with a null id. Rows that repeat an id are rows of their own
     for the links, and one vertex for the component. Other columns are ignored.
 
+    A label of n different vectors has the least number of bits, from ``bits`` to MOST_BITS, whose
+    combinations leave ``per_sign`` vectors each on average.
+
     Hot buckets: a bucket is dealt into blocks of ``block`` vectors by hash and each pair of blocks is
     a group of its own, so no task holds more than two blocks; counts and a forest leave it, not pairs.
     """
+    ship(vectors.sparkSession)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("v", F.when(good & F.col("label").isNotNull() & F.col("id").isNotNull(), F.transform("v", lambda x: x + F.lit(0.0))))
     classes = v.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    raw = classes.select("id", "label", F.col("v"), "copies").mapInArrow(_packed, "id long, label string, vec binary, copies long")
-    hashed = written(raw.mapInArrow(lambda it: signs(it, tables, bits), "id long, label string, vec binary, copies long, signs array<int>"), "signs")
+    classes = written(classes, "vectors")
+    need = F.ceil(F.log2(F.col("of_label") / per_sign)).cast("int")
+    sizes = classes.groupBy("label").agg(F.count("*").alias("of_label")).select("label", F.least(F.greatest(need, F.lit(bits)), F.lit(MOST_BITS)).alias("bits"))
+    raw = classes.join(sizes, "label").select("id", "label", F.col("v"), "copies", "bits").mapInArrow(_packed, "id long, label string, vec binary, copies long, bits int")
+    hashed = written(raw.mapInArrow(lambda it: signs(it, threshold), "id long, label string, vec binary, copies long, bits int, signs array<int>"), "signs").drop("bits")
     dealt = hashed.select("*", F.posexplode("signs").alias("table", "sign")).withColumn("dim", F.length("vec"))
     key = ["table", "label", "dim", "sign"]
     size = dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -149,4 +173,4 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(2)
         flat, at = np.asarray(lists.flatten(), np.float64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         blobs = pa.array([flat[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs, batch.column(3)], names=["id", "label", "vec", "copies"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blobs, batch.column(3), batch.column(4)], names=["id", "label", "vec", "copies", "bits"])

@@ -49,3 +49,17 @@ def test_equals_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hyperplane.near_vectors(df).collect() == []
+
+
+def test_bits_grow_with_the_label(spark):
+    """A label of many vectors has more bits and more tables than a small one, and loses no link."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(150):
+        base = rng.standard_normal(16)
+        for _ in range(3):
+            rows.append((len(rows), (base + 0.05 * rng.standard_normal(16)).tolist(), int(g % 10 == 0)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hyperplane.near_vectors(df, bits=2, per_sign=4).collect()}
+    assert got == brute(rows)
+    assert [hyperplane.tables_for(b, 0.98) for b in (10, 14, 20)] == [14, 20, 32]
