@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._store import written
 
 ROW_BYTES = 64
@@ -116,6 +117,7 @@ def parse(page: str | None) -> list[dict]:
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: (id, elements), elements ordered by position from 0. A null or
     empty page has none. Media without src don't count. Other columns are ignored. No shuffle."""
+    ship(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, elements array<{ELEMENT}>"
 
@@ -271,6 +273,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     elements. Equal texts give equal values; repeated rows give a row each. Texts cross no shuffle:
     they are written once and read back; joins move digests and a few numbers.
     """
+    ship(docs.sparkSession)
     media = stored(docs, id_col, text_col, caption_col)
     facts = described(media)
     names = [c.split(" ")[0] for c in FACTS.split(", ")]

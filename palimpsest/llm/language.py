@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 LENGTH = 300
 #: Labelled documents that profiles are learnt from, about: the classifier's bounded sample.
 SAMPLE = 20_000
@@ -91,6 +93,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", l
     and thinned evenly, so that reruns agree. Rows with a null text or label don't count. Only the
     profiles, ``length`` numbers a language, come to the driver.
     """
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     n = rows.count()
     if n > sample:
@@ -140,6 +143,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
     or has no letter, or a model without languages, gives ``und`` and 0. Ties go to the first language
     by name. Texts of any length are read whole; other columns are ignored. No shuffle.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _predicted(it, profiles, length), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
@@ -155,6 +159,7 @@ def known_only(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "
     A row goes if its text is null, has no letter, or is no nearer to any profile than ``least``: a
     language that wasn't learnt, or no language. ``lang_col``, where docs has it, becomes the predicted
     language, so that rows without a label get one. All columns stay, and what is null elsewhere."""
+    ship(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     place, label = names.index(text_col), names.index(lang_col) if lang_col in names else None
 
