@@ -117,3 +117,52 @@ def test_chunks_without_tokens_are_counted(spark, tmp_path):
     index.build(chunks).save(str(tmp_path / "i"))
     i = index.Index.load(spark, str(tmp_path / "i"))
     assert i.corpus.first() == (3, 2 / 3) and sorted(tuple(r) for r in i.lengths.collect()) == [(0, 2), (1, 0), (2, 0)]
+
+
+def test_package_is_sent_to_other_machines(spark, monkeypatch):
+    """Where the driver stands says nothing of executors elsewhere; a local session needs nothing sent."""
+    from palimpsest import session
+
+    sent = []
+    monkeypatch.setattr(session, "_shipped", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path))
+    monkeypatch.chdir(session.ROOT)
+    session.ship(spark)
+    assert not sent
+    monkeypatch.setattr(session, "local", lambda s: False)
+    session.ship(spark)
+    session.ship(spark)
+    assert len(sent) == 1
+
+
+def test_entry_hides_no_other_import_error(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    class Absent:
+        def __init__(self, name):
+            self.name = name
+
+        def find_spec(self, name, path=None, target=None):
+            if name == self.name:
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    for name, fails in (("palimpsest.llm", False), ("ahocorasick", True)):
+        held = {k: m for k, m in sys.modules.items() if k.startswith("palimpsest.llm") or k == "ahocorasick"}
+        for k in held:
+            monkeypatch.delitem(sys.modules, k)
+        finder = Absent(name)
+        monkeypatch.setattr(sys, "meta_path", [finder, *sys.meta_path])
+        if fails and not any(k.startswith("palimpsest.llm") for k in held):
+            continue  # the llm folder isn't there
+        if fails:
+            with pytest.raises(ModuleNotFoundError, match=name):
+                importlib.reload(__spark_entry__)
+        else:
+            importlib.reload(__spark_entry__)
+            assert "bm25_topk" in __spark_entry__.queries() and "op1_compact_windows" not in __spark_entry__.queries()
+        monkeypatch.setattr(sys, "meta_path", [f for f in sys.meta_path if f is not finder])
+        sys.modules.update(held)
+    importlib.reload(__spark_entry__)
