@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperplane, interleaved, language, licenses, mixing, passages, pii, preference, superminhash
+from . import bpe, hyperplane, interleaved, language, licenses, manifest, mixing, passages, pii, preference, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.formatted(preference.contrasted(preference.dialogues(read(spark, sf_dir, "conversations"))))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,8 +86,10 @@ QUERIES: dict[str, Query] = {
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_hyperplane_dedup": op10_hyperplane_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op5_preference_chat": preference.oracle(),
     "op7_license_set_join": licenses.oracle(),
+    "op13_merkle_manifest": manifest.oracle(),
 }
