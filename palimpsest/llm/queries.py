@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperplane, interleaved, language, licenses, manifest, mixing, packing, passages, pii, preference, superminhash
+from . import bpe, collocations, hyperplane, interleaved, language, licenses, manifest, mixing, packing, passages, pii, preference, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.formatted(preference.contrasted(preference.dialogues(read(spark, sf_dir, "conversations"))))
 
 
+def op11_automata_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(spark, read(spark, sf_dir, "documents"))
 
@@ -90,11 +94,13 @@ QUERIES: dict[str, Query] = {
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_hyperplane_dedup": op10_hyperplane_dedup,
+    "op11_automata_collocations": op11_automata_collocations,
     "op12_hilbert_packing": op12_hilbert_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op5_preference_chat": preference.oracle(),
     "op7_license_set_join": licenses.oracle(),
+    "op11_automata_collocations": collocations.oracle(),
     "op13_merkle_manifest": manifest.oracle(),
 }
