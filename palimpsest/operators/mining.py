@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import forms
 
 #: Fixed value: one variant name: an rsID, an HGVS string or a legacy insertion or deletion.
 NAME = r"(?:rs\d{3,}|[cgmp]\.[A-Za-z0-9_>*+\-]{2,30}|\d{2,5}(?:ins|del|dup)[A-Za-z]{0,10})"
@@ -22,20 +23,27 @@ CONDITIONS = ("breast cancer", "ovarian cancer", "pancreatic cancer", "prostate
 SNIPPET = 400
 
 
-def alternation(terms: list[str]) -> str:
-    """A case-insensitive pattern of whole terms, longest first, since the first that fits is taken."""
-    ordered = sorted({t.strip() for t in terms if t.strip()}, key=lambda t: (-len(t), t))
-    return r"(?i)\b(?:" + "|".join(re.escape(t) for t in ordered) + r")\b" if ordered else r"$^"
+def as_table(paragraphs: DataFrame, term_sets: DataFrame | list[tuple[str, list[str], list[str]]]) -> DataFrame:
+    """(pair_id, subjects, conditions) of a list of such rows; a table stays as it is."""
+    if isinstance(term_sets, DataFrame):
+        return term_sets
+    return paragraphs.sparkSession.createDataFrame(term_sets, "pair_id string, subjects array<string>, conditions array<string>")
 
 
-def coverage(paragraphs: DataFrame, term_sets: list[tuple[str, list[str], list[str]]]) -> DataFrame:
+def coverage(paragraphs: DataFrame, term_sets: DataFrame | list[tuple[str, list[str], list[str]]]) -> DataFrame:
     """(pair_id, pmcid, strength, n_same_paragraph_hits, subject_terms, condition_terms, section, ord).
 
-    term_sets: (pair_id, subject terms, condition terms). Texts are scanned once for all sets, with
-    one pattern a set and kind; sets come as a literal array, since they are the query, not data.
+    term_sets: (pair_id, subjects, conditions), a table or a list of its rows. Texts are scanned once by
+    an automaton of all terms; the plan doesn't grow with the sets. A subject or condition without terms
+    is never found. Case is ignored; the terms come out as the texts spell them.
     """
-    cases = [F.struct(F.lit(p).alias("pair_id"), F.array_distinct(F.regexp_extract_all("text", F.lit(alternation(s)), F.lit(0))).alias("s"), F.array_distinct(F.regexp_extract_all("text", F.lit(alternation(c)), F.lit(0))).alias("c")) for p, s, c in term_sets]
-    hits = paragraphs.select("pmcid", "section", "ord", F.explode(F.array(*cases)).alias("m")).select("pmcid", "section", "ord", "m.*").where("size(s) > 0 or size(c) > 0")
+    sets = as_table(paragraphs, term_sets)
+    side = lambda kind, c: sets.select(F.concat(F.lit(kind), F.col("pair_id")).alias("terms"), F.explode(c).alias("term"))
+    terms = side("s", "subjects").unionByName(side("c", "conditions"))
+    found = forms.occurrences(paragraphs, ["pmcid", "section", "ord"], terms, once=True)
+    found = found.select("pmcid", "section", "ord", F.substring("terms", 1, 1).alias("kind"), F.expr("substring(terms, 2)").alias("pair_id"), "found")
+    named = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("found"))).alias(kind)
+    hits = found.groupBy("pair_id", "pmcid", "section", "ord").agg(named("s"), named("c"))
     both = (F.size("s") > 0) & (F.size("c") > 0)
     at = F.struct("section", "ord")
     out = hits.groupBy("pair_id", "pmcid").agg(
@@ -49,7 +57,7 @@ def coverage(paragraphs: DataFrame, term_sets: list[tuple[str, list[str], list[s
     return out.select("pair_id", "pmcid", F.when(F.col("n") > 0, "same_paragraph").otherwise("doc_level_only").alias("strength"), F.col("n").alias("n_same_paragraph_hits"), F.array_join("s", ";").alias("subject_terms"), F.array_join("c", ";").alias("condition_terms"), place["section"].alias("section"), place["ord"].alias("ord"))
 
 
-def coverage_report(paragraphs: DataFrame, term_sets: list[tuple[str, list[str], list[str]]], manifest: DataFrame) -> DataFrame:
+def coverage_report(paragraphs: DataFrame, term_sets: DataFrame | list[tuple[str, list[str], list[str]]], manifest: DataFrame) -> DataFrame:
     """``coverage`` with the paragraph it points to (char_start, char_end and the first characters) and the
     article's title, journal and pubdate (empty if the manifest lacks it): by pair, those in one paragraph
     first, most hits first. paragraphs: with offsets, as spans.with_offsets gives them."""
@@ -75,8 +83,9 @@ def rare_variants(paragraphs: DataFrame, most_df: int = 1, genes: tuple[str, ...
     p = nearest_before(p, "text", "at", list(genes))
     first = F.min(F.struct("section", "ord", "i", "name", "distance", "condition"))
     one = p.groupBy("variant", "pmcid").agg(first.alias("f"))
-    df = F.count("*").over(Window.partitionBy("variant"))
-    out = one.withColumn("df", df).where(F.col("df") <= most_df)
+    # counted first: only what is rare meets its places again, so a frequent change fills no task
+    df = one.groupBy("variant").agg(F.count("*").alias("df")).where(F.col("df") <= most_df)
+    out = one.join(df, "variant")
     out = out.select("variant", F.coalesce("f.name", F.lit("UNKNOWN")).alias("gene_hint"), F.col("f.distance").alias("gene_distance_chars"), F.col("f.condition").alias("condition"), "df", "pmcid")
     return out.orderBy("df", F.when(F.col("gene_distance_chars") >= 0, F.col("gene_distance_chars")).otherwise(1_000_000), "variant", "pmcid")
 
@@ -95,19 +104,27 @@ def equivalences(paragraphs: DataFrame, name: str = NAME) -> DataFrame:
     return out.select(F.concat_ws("__", "form_a", "form_b").alias("pair_id"), "form_a", "form_b", *kinds, "n_mentions", "n_articles", "example").orderBy(F.desc("n_articles"), F.desc("n_mentions"), "pair_id")
 
 
-def one_form_only(paragraphs: DataFrame, pairs: DataFrame, words: Column, least: int = 25, most: int = 400, most_df: int = 6) -> DataFrame:
+def one_form_only(paragraphs: DataFrame, pairs: DataFrame, least: int = 25, most: int = 400, most_df: int = 6, most_articles: int = 12) -> DataFrame:
     """Paragraphs of 25 to 400 tokens that hold exactly one of a pair's two forms, as long as that form
-    stands in few of them: (pair_id, form_present, form_absent, pmcid, section, ord, present_df).
+    stands in few of them: (pair_id, form_present, form_absent, pmcid, section, ord, present_df), the
+    rarest forms first, then by pair and article.
 
-    ``words`` are a paragraph's candidate forms. Forms are met by an equi-join, never by testing every
-    pair on every paragraph.
+    pairs: (pair_id, form_a, form_b) and, where known, n_articles: equivalences of more than
+    ``most_articles`` are too common to single out one paragraph and left out. Forms are met as they are
+    spelt, with no ASCII letter or digit beside them; where forms overlap, the leftmost and longest counts.
+    One automaton of all forms reads each paragraph once; no pair is tested on every paragraph.
     """
-    n = F.size(T.tokens(F.col("text")))
-    p = paragraphs.where(n.between(least, most)).select("pmcid", "section", "ord", F.explode(F.array_distinct(words)).alias("form"))
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other")))).alias("s")).select("pair_id", "s.form", "s.other")
-    held = p.join(sides, "form").groupBy("pair_id", "pmcid", "section", "ord").agg(F.count("*").alias("k"), F.min("form").alias("form_present"), F.min("other").alias("form_absent")).where("k = 1").drop("k")
-    df = F.count("*").over(Window.partitionBy("form_present"))
-    return held.withColumn("present_df", df).where(F.col("present_df") <= most_df)
+    if "n_articles" in pairs.columns:
+        pairs = pairs.where(F.col("n_articles") <= most_articles)
+    side = lambda a, b: F.struct(F.col(a).alias("form_present"), F.col(b).alias("form_absent"))
+    sides = pairs.select("pair_id", F.explode(F.array(side("form_a", "form_b"), side("form_b", "form_a"))).alias("s")).select("pair_id", "s.*")
+    p = paragraphs.where(F.size(T.tokens(F.col("text"))).between(least, most))
+    terms = sides.select(F.lit("form").alias("terms"), F.col("form_present").alias("term"))
+    found = forms.occurrences(p, ["pmcid", "section", "ord"], terms, edges="alnum", ignore_case=False, once=True)
+    held = found.select("pmcid", "section", "ord", F.col("found").alias("form_present")).join(sides, "form_present").groupBy("pair_id", "pmcid", "section", "ord")
+    held = held.agg(F.count("*").alias("k"), F.min("form_present").alias("form_present"), F.min("form_absent").alias("form_absent")).where("k = 1").drop("k")
+    df = held.groupBy("form_present").agg(F.count("*").alias("present_df")).where(F.col("present_df") <= most_df)
+    return held.join(df, "form_present").select("pair_id", "form_present", "form_absent", "pmcid", "section", "ord", "present_df").orderBy("present_df", "pair_id", "pmcid", "section", "ord")
 
 
 def nearest_before(rows: DataFrame, text: str, at: str, names: list[str], reach: int = NEAR) -> DataFrame:

@@ -66,17 +66,68 @@ def mine_pairs(spark: S, sf: str) -> D:
     return mining.equivalences(sentences(spark, sf)).select("pair_id", "form_a", "form_b", "n_mentions", "n_articles")
 
 
-_twin = "SELECT 'p' || item_id AS pair_id, w[1] AS form_a, w[2] AS form_b FROM (SELECT item_id, list_sort(list_distinct(list_filter(" + toks("text") + ", lambda t: length(t) > 9))) AS w FROM benchmark) WHERE len(w) > 1"
+# a pair of an item's longer words, as the item spells them; they stand in a text as whole runs of letters
+_runs = lambda x: f"regexp_extract_all({x}, '[A-Za-z0-9]+')"
+_twin = "SELECT 'p' || item_id AS pair_id, w[1] AS form_a, w[2] AS form_b FROM (SELECT item_id, list_sort(list_distinct(list_filter(" + _runs("text") + ", lambda t: length(t) > 9))) AS w FROM benchmark) WHERE len(w) > 1"
+_held = f"""pair AS ({_twin}), p AS (SELECT *, list_distinct({_runs("text")}) AS f FROM paragraph WHERE len({toks("text")}) BETWEEN 25 AND 400),
+h AS (SELECT pair_id, CASE WHEN list_contains(f, form_a) THEN form_a ELSE form_b END AS form_present, CASE WHEN list_contains(f, form_a) THEN form_b ELSE form_a END AS form_absent, p.*
+  FROM p JOIN pair ON list_contains(f, form_a) <> list_contains(f, form_b)),
+d AS (SELECT *, count(*) OVER (PARTITION BY form_present) AS present_df FROM h)"""
 
 
-@query(f"""WITH {PARA}, pair AS ({_twin}), p AS (SELECT pmcid, section, ord, list_distinct({toks("text")}) AS f FROM paragraph WHERE len({toks("text")}) BETWEEN 25 AND 400),
-h AS (SELECT pair_id, CASE WHEN list_contains(f, form_a) THEN form_a ELSE form_b END AS form_present, CASE WHEN list_contains(f, form_a) THEN form_b ELSE form_a END AS form_absent, pmcid, section, ord::INTEGER AS ord FROM p JOIN pair ON list_contains(f, form_a) <> list_contains(f, form_b)),
-d AS (SELECT *, count(*) OVER (PARTITION BY form_present) AS present_df FROM h) SELECT * FROM d WHERE present_df <= 6""")
-def mine_candidates(spark: S, sf: str) -> D:
-    words = F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) > 9)))
+def word_pairs(spark: S, sf: str) -> D:
+    words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 9)))
     pairs = table(spark, sf, "benchmark").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("pair_id"), words.alias("w")).where("size(w) > 1")
-    pairs = pairs.select("pair_id", F.get("w", F.lit(0)).alias("form_a"), F.get("w", F.lit(1)).alias("form_b"))
-    return mining.one_form_only(raw_paragraphs(spark, sf), pairs, T.tokens(F.col("text")))
+    return pairs.select("pair_id", F.get("w", F.lit(0)).alias("form_a"), F.get("w", F.lit(1)).alias("form_b"))
+
+
+@query(f"WITH {PARA}, {_held} SELECT pair_id, form_present, form_absent, pmcid, section, ord::INTEGER AS ord, present_df FROM d WHERE present_df <= 6")
+def mine_candidates(spark: S, sf: str) -> D:
+    return mining.one_form_only(raw_paragraphs(spark, sf), word_pairs(spark, sf))
+
+
+# case reports of an order: each line names a change by one of its two names, with signs around it
+_named = """line AS (SELECT l_orderkey AS pmcid, l_linenumber AS n, (l_partkey * 7 + l_suppkey * 13) % 4000 AS k, l_quantity::INTEGER AS q FROM lineitem),
+named AS (SELECT pmcid, n, CASE WHEN (q + n) % 5 < 3 THEN 'c.' || k || 'A>G' ELSE (k + 100) || 'delAG' END AS form, q FROM line),
+report AS (SELECT pmcid, string_agg('In patient ' || n || ' we found (' || form || '), which the family shares,', ' ' ORDER BY n, form) AS text, list(form) AS f, count(*) AS lines FROM named GROUP BY pmcid),
+pair AS (SELECT 'c.' || k || 'A>G__' || (k + 100) || 'delAG' AS pair_id, 'c.' || k || 'A>G' AS form_a, (k + 100) || 'delAG' AS form_b, count(DISTINCT pmcid) AS n_articles FROM line GROUP BY k)"""
+
+
+@query(f"""WITH {_named}, h AS (SELECT pair_id, CASE WHEN list_contains(f, form_a) THEN form_a ELSE form_b END AS form_present, CASE WHEN list_contains(f, form_a) THEN form_b ELSE form_a END AS form_absent, pmcid
+  FROM (SELECT DISTINCT pmcid, f, unnest(f) AS x FROM report WHERE lines >= 3) JOIN pair ON (x = form_a OR x = form_b) AND list_contains(f, form_a) <> list_contains(f, form_b) WHERE n_articles <= 12),
+u AS (SELECT DISTINCT * FROM h), d AS (SELECT *, count(*) OVER (PARTITION BY form_present) AS present_df FROM u) SELECT pair_id, form_present, form_absent, pmcid, present_df FROM d WHERE present_df <= 6""")
+def mine_named_candidates(spark: S, sf: str) -> D:
+    """Changes in coding notation against their legacy names: signs, capitals and digits at the edges."""
+    li = table(spark, sf, "lineitem")
+    k, q, n = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 4000, F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    coding, legacy = F.concat(F.lit("c."), k.cast("string"), F.lit("A>G")), F.concat((k + 100).cast("string"), F.lit("delAG"))
+    form = F.when((q + n) % 5 < 3, coding).otherwise(legacy)
+    said = F.concat(F.lit("In patient "), n.cast("string"), F.lit(" we found ("), form, F.lit("), which the family shares,"))
+    lines = F.array_sort(F.collect_list(F.struct(n.alias("n"), form.alias("f"), said.alias("s"))))
+    reports = li.groupBy(F.col("l_orderkey").alias("pmcid")).agg(F.array_join(F.transform(lines, lambda x: x["s"]), " ").alias("text"))
+    pairs = li.groupBy(coding.alias("form_a"), legacy.alias("form_b")).agg(F.count_distinct("l_orderkey").alias("n_articles"))
+    pairs = pairs.withColumn("pair_id", F.concat_ws("__", "form_a", "form_b"))
+    found = mining.one_form_only(reports.select("pmcid", F.lit("body").alias("section"), F.lit(0).alias("ord"), "text"), pairs)
+    return found.select("pair_id", "form_present", "form_absent", "pmcid", "present_df")
+
+
+# a set for each item: one long word of it as subject, all its short ones as conditions
+_letters = lambda x: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace({x}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_item_sets = f"item_set AS (SELECT 'b' || item_id AS pair_id, list_filter(w, lambda x: length(x) > 9)[1:3] AS s, list_filter(w, lambda x: length(x) BETWEEN 4 AND 6) AS c FROM (SELECT item_id, list_sort({_letters('lower(text)')}) AS w FROM benchmark))"
+
+
+@query(f"""WITH {PARA}, {_item_sets}, words AS (SELECT pmcid, section, ord, unnest({_letters('text')}) AS found FROM paragraph),
+term AS (SELECT pair_id, 's' AS kind, unnest(s) AS term FROM item_set UNION ALL SELECT pair_id, 'c', unnest(c) FROM item_set),
+h AS (SELECT pair_id, pmcid, section, ord, list(DISTINCT found) FILTER (kind = 's') AS s, list(DISTINCT found) FILTER (kind = 'c') AS c FROM words JOIN term ON lower(found) = term GROUP BY ALL),
+k AS (SELECT pair_id, pmcid, coalesce(s, []) AS s, coalesce(c, []) AS c, s IS NOT NULL AND c IS NOT NULL AS b FROM h),
+cover AS (SELECT pair_id, pmcid, sum(b::INTEGER)::BIGINT AS n, list_sort(list_distinct(flatten(list(s)))) AS s, list_sort(list_distinct(flatten(list(c)))) AS c FROM k GROUP BY ALL)
+SELECT pair_id, pmcid, CASE WHEN n > 0 THEN 'same_paragraph' ELSE 'doc_level_only' END AS strength, n AS n_same_paragraph_hits, array_to_string(s, ';') AS subject_terms, array_to_string(c, ';') AS condition_terms FROM cover WHERE len(s) > 0 AND len(c) > 0""")
+def coverage_of_items(spark: S, sf: str) -> D:
+    """Coverage of sets that are a table of any length."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")))
+    sets = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pair_id"), words.alias("w"))
+    sets = sets.select("pair_id", F.slice(F.filter("w", lambda x: F.length(x) > 9), 1, 3).alias("subjects"), F.filter("w", lambda x: F.length(x).between(4, 6)).alias("conditions"))
+    return mining.coverage(raw_paragraphs(spark, sf), sets).select("pair_id", "pmcid", "strength", "n_same_paragraph_hits", "subject_terms", "condition_terms")
 
 
 _genes = ["The", "of", "And", "with"]

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import index, labels, metrics, mining, service, spans, verification
 from ..sources import files
 from .base import DOCS, ITEMS, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, topk, toks, wilson
-from .corpus import SETS, _coverage, _twin, sentences
+from .corpus import SETS, _coverage, _held, sentences, word_pairs
 from .evaluation import _mc, hit, ranks, _rank, _share
 from .retrieval import _gold, gold_spans
 from .texts import _numbers
@@ -227,9 +227,8 @@ def rare_variants(spark: S, sf: str) -> D:
     return mining.rare_variants(p, 3)
 
 
-_cases = f"""{PARA}, pair AS ({_twin}), p AS (SELECT pmcid, section, ord, text, char_start, char_end, list_distinct({toks("text")}) AS f FROM paragraph WHERE len({toks("text")}) BETWEEN 25 AND 400),
-h AS (SELECT pair_id, CASE WHEN list_contains(f, form_a) THEN form_a ELSE form_b END AS x, CASE WHEN list_contains(f, form_a) THEN form_b ELSE form_a END AS y, pmcid, section, text, char_start, char_end FROM p JOIN pair ON list_contains(f, form_a) <> list_contains(f, form_b)),
-d AS (SELECT *, count(*) OVER (PARTITION BY x) AS present_df FROM h), k AS (SELECT * FROM d WHERE present_df <= 6 QUALIFY row_number() OVER (PARTITION BY pair_id, pmcid ORDER BY section <> 'abstract', present_df, char_end - char_start, char_start) = 1),
+_cases = f"""{PARA}, {_held}, k AS (SELECT *, form_present AS x, form_absent AS y FROM d WHERE present_df <= 6
+  QUALIFY row_number() OVER (PARTITION BY pair_id, pmcid ORDER BY section <> 'abstract', present_df, char_end - char_start, char_start) = 1),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({toks('text')}) AS term FROM documents) GROUP BY 1)"""
 _g = "CASE WHEN pmcid % 3 > 0 THEN 'gene' || pmcid % 5 END"
 
@@ -239,10 +238,7 @@ SELECT pmcid || ':' || section || ':' || char_start || '#' || style AS query_id,
   round(len(list_intersect(list_distinct({toks('query')}), list_distinct({toks('text')}))) / len(list_distinct({toks('query')}))::DOUBLE, 4) AS lexical_overlap, substr(sha1(text), 1, 12) AS gold_text_sha1 FROM q""")
 def identifier_rows(spark: S, sf: str) -> D:
     """Cases from mined candidates, with frequencies looked up in the index."""
-    words = F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) > 9)))
-    pairs = table(spark, sf, "benchmark").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("pair_id"), words.alias("w")).where("size(w) > 1")
-    pairs = pairs.select("pair_id", F.get("w", F.lit(0)).alias("form_a"), F.get("w", F.lit(1)).alias("form_b"))
-    found = mining.one_form_only(raw_paragraphs(spark, sf), pairs, T.tokens(F.col("text")))
+    found = mining.one_form_only(raw_paragraphs(spark, sf), word_pairs(spark, sf))
     place = paragraphs(spark, sf).select("pmcid", "section", "ord", "char_start", "char_end")
     gene = F.when(F.col("pmcid") % 3 > 0, F.concat(F.lit("gene"), (F.col("pmcid") % 5).cast("string")))
     c = found.join(place, ["pmcid", "section", "ord"]).withColumn("gene", gene)
