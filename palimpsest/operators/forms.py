@@ -19,7 +19,7 @@ from ..session import ship
 
 #: Bytes of one automaton that is broadcast, and terms that reach the driver at once.
 MOST_BYTES, MOST_TERMS = 48 << 20, 200_000
-EDGES = ("word", "alnum")
+EDGES = ("word", "alnum", "any")
 
 FOUND = "terms string, found string, start int, stop int"
 
@@ -40,7 +40,9 @@ def _of_name(c: str) -> bool:
 
 def whole(text: str, start: int, stop: int, edges: str) -> bool:
     """``word``: a word begins or ends at both edges of the match; ``alnum``: no ASCII letter or digit
-    stands beside it."""
+    stands beside it; ``any``: whatever stands beside it."""
+    if edges == "any":
+        return True
     before, after = text[start - 1] if start else "", text[stop] if stop < len(text) else ""
     if edges == "alnum":
         return not ((before and _of_name(before)) or (after and _of_name(after)))
@@ -132,18 +134,18 @@ def _automata(terms: list[tuple[str, str]], edges: str, ignore_case: bool, most_
     return _automata(terms[:half], edges, ignore_case, most_bytes) + _automata(terms[half:], edges, ignore_case, most_bytes)
 
 
-def occurrences(rows: DataFrame, keys: list[str], terms: DataFrame, text: str = "text", edges: str = "word", ignore_case: bool = True, once: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+def occurrences(rows: DataFrame, keys: list[str], terms: DataFrame, text: str = "text", edges: str = "word", ignore_case: bool = True, once: bool = False, trim: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(keys, terms, found, start, stop): each place of ``rows``' text where a group's term stands.
 
     terms: (terms, term), the group's name and one of its terms; empty and null terms are ignored, outer
-    blanks are trimmed, repeated ones count once. found: as the text spells it; start and stop: code
+    blanks are trimmed (``trim``), repeated ones count once. found: as the text spells it; start and stop: code
     points, stop exclusive. Case is ignored character by character (``ignore_case``). Null texts hold
     nothing. Rows whose keys repeat give each their own matches, unless the terms are so many that they
     form several automata. ``once``: of each group and spelling the first place in a text only.
     """
     spark = rows.sparkSession
     ship(spark)
-    clean = terms.select(F.col("terms").cast("string").alias("terms"), F.trim("term").alias("term")).where("terms is not null and term <> ''").distinct()
+    clean = terms.select(F.col("terms").cast("string").alias("terms"), (F.trim("term") if trim else F.col("term")).alias("term")).where("terms is not null and term <> ''").distinct()
     automata = [a for part in _parts(clean) for a in _automata(part, edges, ignore_case, most_bytes)]
     pair = rows.select(F.struct(*keys).alias("row"), F.col(text).cast("string").alias("text"))
     kind = pair.schema["row"].dataType.simpleString()

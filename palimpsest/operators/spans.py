@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import forms
+
 KEYS = ("pmcid", "section")
+#: Characters of a bin in which spans meet.
+WIDTH = 2048
 
 
 def with_offsets(paragraphs: DataFrame) -> DataFrame:
@@ -36,10 +40,18 @@ def overlaps(a: str, b: str) -> Column:
     return (F.col(f"{a}.char_start") < F.col(f"{b}.char_end")) & (F.col(f"{b}.char_start") < F.col(f"{a}.char_end"))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Equi-join on article and section with the range predicate as residual."""
-    x, y = a.alias("a"), b.alias("b")
-    return x.join(y, (F.col("a.pmcid") == F.col("b.pmcid")) & (F.col("a.section") == F.col("b.section")) & overlaps("a", "b"), how)
+def overlap_join(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Pairs of spans of one article and section that overlap, as aliases a and b.
+
+    Spans are dealt into bins of ``width`` characters and meet within a bin, so a long section is joined in
+    proportion to what overlaps, and its bins are spread over the tasks. A pair that shares several bins
+    comes from the first of them only. An empty span overlaps what it lies within; null keys meet nothing.
+    """
+    first = lambda d: F.floor(F.col(f"{d}char_start") / width)
+    dealt = lambda df: df.withColumn("_bin", F.explode(F.sequence(first(""), F.greatest(first(""), F.floor((F.col("char_end") - 1) / width)))))
+    x, y = dealt(a).alias("a"), dealt(b).alias("b")
+    same = (F.col("a.pmcid") == F.col("b.pmcid")) & (F.col("a.section") == F.col("b.section")) & (F.col("a._bin") == F.col("b._bin"))
+    return x.join(y, same & overlaps("a", "b") & (F.col("a._bin") == F.greatest(first("a."), first("b.")))).drop("_bin")
 
 
 def covering(spans: Column) -> Column:
@@ -53,8 +65,8 @@ def verbatim(items: DataFrame, sections: DataFrame) -> DataFrame:
 
     A word inside an item, with a separator on either side, stands whole in every text that holds the
     item. Each item meets the texts that hold the rarest of its inner words; only ids travel until then,
-    and the texts join once, for the scan. An item without an inner word (of one or two words) has no
-    such key and is met by every text's scan.
+    and the texts join once, for the scan. Items without an inner word (of one or two words) have no such
+    key: one automaton of all of them reads each text once. A null section is one like any other.
     """
     words = lambda c: F.split(F.col(c), r"[^\p{L}\p{N}]+")
     inner = F.filter(F.slice(words("item"), 2, F.greatest(F.size(words("item")) - 2, F.lit(0))), lambda w: w != "")
@@ -64,8 +76,12 @@ def verbatim(items: DataFrame, sections: DataFrame) -> DataFrame:
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     key = wanted.join(df, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word"))["word"].alias("word"))
     near = held.join(key, "word").select("item_id", "pmcid", "section").join(keyed.select("item_id", "item"), "item_id")
-    hit = near.join(sections, list(KEYS)).select("item_id", *KEYS, "item", "text")
-    short = keyed.where("size(inner) = 0 and item <> ''").select("item_id", "item").join(sections.select(*KEYS, "text"), F.contains("text", F.col("item")))
-    hit = hit.unionByName(short.select("item_id", *KEYS, "item", "text")).where(F.contains("text", F.col("item")))
+    n, s = near.alias("n"), sections.alias("s")
+    hit = n.join(s, (F.col("n.pmcid") == F.col("s.pmcid")) & F.col("n.section").eqNullSafe(F.col("s.section"))).select("item_id", "s.pmcid", "s.section", "item", "text")
+    hit = hit.where(F.contains("text", F.col("item")))
     at = F.expr("instr(text, item)") - 1
-    return hit.select("item_id", *KEYS, at.cast("int").alias("char_start"), (at + F.length("item")).cast("int").alias("char_end"))
+    long = hit.select("item_id", *KEYS, at.cast("int").alias("char_start"), (at + F.length("item")).cast("int").alias("char_end"))
+    kind = items.schema["item_id"].dataType
+    short = keyed.where("size(inner) = 0 and item <> ''").select(F.col("item_id").cast("string").alias("terms"), F.col("item").alias("term"))
+    found = forms.occurrences(sections, list(KEYS), short, edges="any", ignore_case=False, once=True, trim=False)
+    return long.unionByName(found.select(F.col("terms").cast(kind).alias("item_id"), *KEYS, F.col("start").alias("char_start"), F.col("stop").alias("char_end")))

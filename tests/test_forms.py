@@ -15,7 +15,7 @@ def brute(text, terms, edges, ignore_case):
     for g in {g for g, _ in terms}:
         mine = sorted({t.strip() for x, t in terms if x == g and t and t.strip()}, key=lambda t: (-len(t), t))
         body = "|".join(map(re.escape, mine))
-        pattern = rf"\b(?:{body})\b" if edges == "word" else rf"(?<![A-Za-z0-9])(?:{body})(?![A-Za-z0-9])"
+        pattern = {"word": rf"\b(?:{body})\b", "alnum": rf"(?<![A-Za-z0-9])(?:{body})(?![A-Za-z0-9])", "any": body}[edges]
         out += [(g, m.group(0), m.start(), m.end()) for m in re.finditer(pattern, text or "", re.IGNORECASE if ignore_case else 0)] if mine else []
     return sorted(out)
 
