@@ -12,6 +12,8 @@ The driver sees the ranges' bounds and sizes, whose number is that of the shuffl
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,10 @@ LENGTH, END = 4096, 2
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 10
 TIE_BITS = 63 - DIMENSIONS * BITS
 #: Bytes of text that are encoded at once, ranges for each shuffle partition, and pieces of text that
-#: a worker remembers in each half of its memory.
-AT_ONCE, RANGES, REMEMBERED = 1 << 22, 4, 150_000
+#: a worker remembers in each half of its memory (twice as many at most), none longer than LONG.
+AT_ONCE, RANGES, REMEMBERED, LONG = 1 << 23, 4, 200_000, 64
 
+EASY = re.compile("[a-zß-öø-ÿ]+")
 LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 SIGN[[c for c in range(0x21, 0x7F) if not LETTER[c] and not 0x30 <= c <= 0x39 and c != ord("'")]] = True
@@ -130,26 +133,30 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def new(self, words: list[str]) -> list[bytes]:
-        pack = lambda ids: np.array(ids, np.uint32).tobytes()
         # letters of ASCII and of the two bytes C3 9F to C3 BF without the division sign are as they are
-        easy = [self.simple and all("a" <= c <= "z" or ("ß" <= c <= "ÿ" and c != "÷") for c in w) for w in words]
+        ascii_ = [w.isascii() and w.isalpha() for w in words]
+        easy = [self.simple and (a or EASY.fullmatch(w) is not None) for w, a in zip(words, ascii_, strict=True)]
         hard = iter(self._whole([w for w, e in zip(words, easy, strict=True) if not e]))
-        one = self.tokenizer.model.tokenize
-        return [pack([t.id for t in one(self._stand(w))]) if e else pack(next(hard)) for w, e in zip(words, easy, strict=True)]
+        one, stand = self.tokenizer.model.tokenize, self._stand
+        return [array("I", [t.id for t in one(w if a else stand(w))] if e else next(hard)).tobytes() for w, a, e in zip(words, ascii_, easy, strict=True)]
 
     def pieces(self, words: list[str]) -> list[bytes]:
-        found = [self.known.get(w) for w in words]
+        found = list(map(self.known.get, words))
         missing = [i for i, f in enumerate(found) if f is None]
-        for i in missing:
-            found[i] = self.older.get(words[i])
-        fresh = [i for i in missing if found[i] is None]
-        for i, ids in zip(fresh, self.new([words[i] for i in fresh]), strict=True):
-            found[i] = ids
-        for i in missing:
-            if len(words[i]) < 64:
-                if len(self.known) >= REMEMBERED:
-                    self.older, self.known = self.known, {}
-                self.known[words[i]] = found[i]
+        if not missing:
+            return found
+        names = [words[i] for i in missing]
+        ids = list(map(self.older.get, names))
+        fresh = [k for k, f in enumerate(ids) if f is None]
+        for k, f in zip(fresh, self.new([names[k] for k in fresh]), strict=True):
+            ids[k] = f
+        for i, f in zip(missing, ids, strict=True):
+            found[i] = f
+        for lo in range(0, len(names), REMEMBERED):
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            part = slice(lo, lo + REMEMBERED)
+            self.known.update([(w, f) for w, f in zip(names[part], ids[part], strict=True) if len(w) < LONG])
         return found
 
     def many(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +179,8 @@ class Encoder:
         begin = np.flatnonzero(begin)
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(starts) + 1, np.int64)
-        kept = np.cumsum(inside) - inside
-        offsets = np.append(kept[begin], inside.sum()).astype(np.int32)
+        upto = np.cumsum(inside, dtype=np.int32)
+        offsets = np.append(upto[begin] - 1, upto[-1])
         words = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).dictionary_encode()
         found = self.pieces([w.decode("utf-8", "replace") for w in words.dictionary.cast(pa.binary()).to_pylist()])
         which = words.indices.to_numpy(zero_copy_only=False)
@@ -217,7 +224,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
         raw, starts, ends = utf8(texts)
         same = batch.column(0).to_pandas()
         nth = same.groupby(same, dropna=False, sort=False).cumcount().to_numpy()  # rows of one id part as well
-        for lo, hi in spans(starts, ends, AT_ONCE):
+        for lo, hi in spans(starts, ends, AT_ONCE, rows=1 << 20):
             if odd[lo:hi].any() or ends[hi - 1] - starts[lo] > 2 * AT_ONCE:
                 parts = []
                 for i in range(lo, hi):
