@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import answers, index, labels, service
+from ..operators import answers, index, judging, labels, service
 from ..streaming import requests
 from .base import DOCS, ITEMS, bm25, collapse, documents, query, questions, table, topk, wilson
 
@@ -62,6 +62,13 @@ def fake_judge(spark: S, sf: str) -> D:
     return claims(spark, sf).select("conv_id", "turn", F.round(labels.word_overlap(F.col("claim"), span), 6).alias("overlap"), labels.supported(F.col("claim"), F.col("span")).alias("supported"))
 
 
+@query(f"WITH {_claim} SELECT conv_id, turn, span IS NOT NULL AND {_over('claim', 'coalesce(span, chr(32))')} >= 0.35 AS supported, NULL::VARCHAR AS error, 1::INTEGER AS tries FROM claim")
+def judged_claims(spark: S, sf: str) -> D:
+    """The deterministic judge by way of the scorer that any other judge would come by."""
+    j = judging.judged(claims(spark, sf), judging.GROUNDEDNESS, judging.judge("deterministic"))
+    return j.select("conv_id", "turn", (F.col("verdict") == "true").alias("supported"), "error", "tries")
+
+
 _ground = f"g AS (SELECT conv_id, count(*) AS n, sum((span IS NOT NULL AND {_over('claim', 'coalesce(span, chr(32))')} >= 0.1)::INTEGER) AS s FROM claim GROUP BY 1)"
 
 
