@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cases, index, mining, verification
-from .base import DOCS, ITEMS, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, topk, toks
+from ..operators import building, cases, index, mining, verification
+from ..session import shared
+from .base import DOCS, ITEMS, ORACLES, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, topk, toks
 from .retrieval import _gold
 from .retrieval import gold_spans
 
@@ -217,6 +220,36 @@ def validate_cases(spark: S, sf: str) -> D:
     return c.select("pmcid", "ord", cases.rejection(cols | {"anchors": F.array().cast("array<string>")}).alias("reason"))
 
 
+def ask_of(row: dict) -> dict:
+    """What the made cases ask of a paragraph, as a generator would say it; every 17th line has none."""
+    o, t = row["ord"], row["text"]
+    if o % 17 == 16:
+        raise TimeoutError
+    start = t[: 30 + (o % 4) * 60]
+    answer = "" if o % 7 == 0 else "not in it at all" if o % 7 == 1 else t[19 : 19 + 12 + (o % 5) * 30]
+    return {"answer": answer, "lexical": None if o % 11 == 0 else start, "paraphrased": start if o % 13 == 0 else "what did they find about " + t[59:99]}
+
+
+@query(f"""WITH {_made}, c AS (SELECT pmcid, ord::INTEGER AS ord, pmcid || ':' || ord AS pid, CASE WHEN regexp_matches(lower(title), '{'|'.join(T.EXCLUDED_TITLES)}') THEN NULL {_cases} ELSE 'body_other' END AS stratum FROM paragraph WHERE len({toks('text')}) BETWEEN 50 AND 600),
+one AS (SELECT * FROM c WHERE stratum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pmcid, stratum ORDER BY md5('0:' || pid), pid) = 1),
+pool AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || pid), pid) AS place FROM one QUALIFY place <= 24),
+r AS ({{reason}}), v AS (SELECT pool.*, row_number() OVER (PARTITION BY stratum ORDER BY place) AS nth FROM pool JOIN r USING (pmcid, ord) WHERE r.reason IS NULL AND ord % 17 < 16)
+SELECT stratum, place::INTEGER AS place, pmcid, ord FROM v WHERE nth <= 8""".replace("{reason}", ORACLES["validate_cases"].split("FROM paragraph WHERE length(text) > 60)", 1)[1].strip()))
+def quota_build(spark: S, sf: str) -> D:
+    """Eight accepted cases a stratum of the paragraphs that may serve, made and checked batch by batch."""
+    p = cases.candidates(raw_paragraphs(spark, sf)).withColumn("pid", F.concat_ws(":", F.col("pmcid").cast("string"), F.col("ord").cast("string")))
+    make = building.attempting(ask_of, ["ord", "text"], "answer string, lexical string, paraphrased string")
+
+    def attempt(rows: D) -> D:
+        made_rows = make(rows)
+        cols = {"paragraph": F.col("text"), **{k: F.col(k) for k in ("answer", "lexical", "paraphrased")}, "anchors": F.array().cast("array<string>")}
+        return made_rows.withColumn("reason", F.coalesce("failed", cases.rejection(cols)))
+
+    build = building.Build(spark, f"{shared(spark)}/build-{uuid.uuid4().hex}", 8, "pid", "stratum", "pmcid")
+    out = build.run(p.select("pid", "pmcid", "ord", "stratum", "text"), attempt).accepted()
+    return out.select("stratum", "place", "pmcid", "ord")
+
+
 @query(f"WITH {_made} SELECT pmcid || ':' || section || ':' || char_start || '-' || char_end AS paragraph_id, style, md5(q) AS query_md5 FROM (SELECT pmcid, section, char_start, char_end, 'lexical' AS style, substr(text, 1, 30 + (ord % 4) * 60) AS q FROM paragraph WHERE length(text) > 60 AND ord % 11 > 0 UNION ALL SELECT pmcid, section, char_start, char_end, 'paraphrased', CASE ord % 13 WHEN 0 THEN substr(text, 1, 30 + (ord % 4) * 60) ELSE 'what did they find about ' || substr(text, 60, 40) END FROM paragraph WHERE length(text) > 60 AND ord % 11 > 0)")
 def paired_rows(spark: S, sf: str) -> D:
     c = made(spark, sf).where("lexical is not null")
