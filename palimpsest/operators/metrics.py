@@ -70,3 +70,15 @@ def kappa(pairs: DataFrame, a: str, b: str, levels: tuple[str, ...]) -> DataFram
     n = F.col("n").cast("double")
     of = lambda o, e: F.when(F.col(e) / (n * n) >= 1, F.lit(float("nan"))).otherwise((F.col(o) / n - F.col(e) / (n * n)) / F.nullif(1 - F.col(e) / (n * n), F.lit(0.0)))
     return seen.join(chance).select("n", of("o", "e").alias("unweighted"), of("ow", "ew").alias("weighted"))
+
+
+#: How a kappa is read, from which value on; below the first likewise.
+BANDS = ((0.0, "no better than chance / slight"), (0.2, "fair"), (0.4, "moderate"), (0.6, "substantial"), (0.8, "almost perfect"))
+
+
+def agreement(kappa: Column) -> Column:
+    """The textbook reading of a kappa; null where it is undefined (null or NaN)."""
+    out = F.lit(BANDS[0][1])
+    for least, name in BANDS[1:]:
+        out = F.when(kappa >= least, name).otherwise(out)
+    return F.when(kappa.isNotNull() & ~F.isnan(kappa), out)

@@ -158,17 +158,6 @@ def validate_answer(spark: S, sf: str) -> D:
     return table(spark, sf, "events").select("event_id", answers.invalid(answer, F.lit(4)).alias("reason"))
 
 
-@query(f"WITH {bm25(DOCS, ITEMS)}, {topk(8)} SELECT item_id AS query_id, 'none' AS arm, 0::BIGINT AS n_excerpts FROM benchmark UNION ALL SELECT item_id, 'bm25', count(rank) FROM benchmark LEFT JOIN run ON query_id = item_id GROUP BY 1 UNION ALL SELECT item_id, 'oracle', count(doc_id) FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
-def baseline_contexts(spark: S, sf: str) -> D:
-    from .retrieval import gold_spans
-
-    q = questions(spark, sf).select("query_id")
-    hits = index.search_texts(documents(spark, sf), questions(spark, sf), 8)
-    gold = gold_spans(spark, sf).select(F.col("item_id").alias("query_id"), "pmcid")
-    count = lambda df, col, arm: q.join(df, "query_id", "left").groupBy("query_id").agg(F.lit(arm).alias("arm"), F.count(col).alias("n_excerpts"))
-    return q.select("query_id", F.lit("none").alias("arm"), F.lit(0).cast("long").alias("n_excerpts")).unionByName(count(hits, "rank", "bm25")).unionByName(count(gold, "pmcid", "oracle"))
-
-
 @query("SELECT count(*) AS cases, sum((o_orderkey % 5 = 0)::INTEGER)::BIGINT AS held_out, sum((o_orderstatus = 'O')::INTEGER)::BIGINT AS unreviewed, sum((o_orderstatus = 'P')::INTEGER)::BIGINT AS rejected, sum((o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))::INTEGER)::BIGINT AS missing FROM orders")
 def answer_admission(spark: S, sf: str) -> D:
     k = F.col("o_orderkey")
@@ -181,60 +170,15 @@ def release_gate(spark: S, sf: str) -> D:
     return service.release_counts(table(spark, sf, "orders"), "o_custkey", F.col("o_orderstatus"), "P", "O")
 
 
-@query(f"""WITH {bm25(DOCS, ITEMS)}, {topk(5)}, h AS (SELECT query_id, bool_or(rank > 1 AND {_over("b.text", "d.text")} >= 0.35) AS hole FROM run JOIN documents d ON d.doc_id = chunk_ord JOIN benchmark b ON b.item_id = query_id GROUP BY 1), t AS (SELECT sum(hole::INTEGER) AS s, count(*) AS n FROM h)
-SELECT n, s::BIGINT AS holes, round(s / n::DOUBLE, 4) AS rate FROM t""")
-def hole_rate(spark: S, sf: str) -> D:
-    d, q = documents(spark, sf), questions(spark, sf)
-    hits = index.search_texts(d, q, 5).join(d, "chunk_ord").join(q, "query_id")
-    also = (F.col("rank") > 1) & (labels.word_overlap(F.col("query"), F.col("text")) >= 0.35)
-    h = hits.groupBy("query_id").agg(F.bool_or(also).alias("hole"))
-    return h.agg(F.count("*").alias("n"), F.sum(F.col("hole").cast("long")).alias("holes")).withColumn("rate", F.round(stats.rate(F.col("holes"), F.col("n")), 4))
-
-
 @query("SELECT event_type AS outcome, count(*) AS n, round(avg(value), 6) AS mean_ms, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def outcome_counts(spark: S, sf: str) -> D:
     out = service.outcomes(table(spark, sf, "events"), "event_type", "value", "user_id")
     return out.withColumn("mean_ms", F.round("mean_ms", 6))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT user_id, sum((before = 'purchase')::INTEGER)::BIGINT AS after_summary, bool_or(event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS summaries FROM e GROUP BY 1""")
-def stream_protocol_check(spark: S, sf: str) -> D:
-    """Nothing may follow a summary line: counts what does, by stream."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = table(spark, sf, "events").select("user_id", "event_type", before.alias("before"))
-    return e.groupBy("user_id").agg(F.sum(F.when(F.col("before").isNotNull(), (F.col("before") == "purchase").cast("long"))).alias("after_summary"), F.bool_or(F.col("event_type") == "error").alias("failed"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("summaries"))
-
-
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 1 THEN l_orderkey * 10 + l_linenumber END AS head, l_returnflag AS line FROM lineitem),
-s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, head, line) AS case_id FROM l)
-SELECT CASE line WHEN 'A' THEN 'valid' WHEN 'R' THEN 'wrong' ELSE 'unsure' END AS verdict, count(DISTINCT case_id) AS cases, count(*) AS n_lines FROM s WHERE case_id IS NOT NULL GROUP BY 1""")
-def worksheet_summary(spark: S, sf: str) -> D:
-    """Worksheet lines belong to the last heading before them; verdicts are counted by case."""
-    head = F.when(F.col("l_linenumber") % 3 == 1, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", head.alias("head"), F.col("l_returnflag").alias("line"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", F.col("head").asc_nulls_last(), "line")
-    s = li.withColumn("case_id", F.last("head", ignorenulls=True).over(w)).where("case_id is not null")
-    verdict = F.when(F.col("line") == "A", "valid").when(F.col("line") == "R", "wrong").otherwise("unsure")
-    return s.groupBy(verdict.alias("verdict")).agg(F.count_distinct("case_id").alias("cases"), F.count("*").alias("n_lines"))
-
-
 _n = "list_sort(list_distinct(regexp_extract_all({x}, '[0-9]+(?:\\.[0-9]+)?')))"
 
 
-@query(f"""WITH c AS (SELECT event_id, {_n.format(x="format('{:.2f} and {}', value, user_id)")} AS claim, {_n.format(x="format('{:.2f} or {}', value, user_id % 50)")} AS span FROM events WHERE event_id % 6 > 0)
-SELECT event_id, array_to_string(list_sort(list_filter(claim, lambda x: NOT list_contains(span, x))), ' ') AS missing, CASE WHEN len(list_filter(claim, lambda x: NOT list_contains(span, x))) > 0 THEN 'missing_numbers' ELSE 'ok' END AS verdict FROM c
-UNION ALL SELECT event_id, '', 'no_numeric_claim' FROM events WHERE event_id % 6 = 0""")
-def numeric_drift(spark: S, sf: str) -> D:
-    e = table(spark, sf, "events")
-    value = F.format_string("%.2f", F.col("value"))
-    claim = F.when(F.col("event_id") % 6 > 0, F.concat(value, F.lit(" and "), F.col("user_id").cast("string"))).otherwise("none")
-    span = F.concat(value, F.lit(" or "), (F.col("user_id") % 50).cast("string"))
-    said, missing = T.numbers_in(claim), F.array_sort(F.array_except(T.numbers_in(claim), T.numbers_in(span)))
-    verdict = F.when(F.size(said) == 0, "no_numeric_claim").when(F.size(missing) > 0, "missing_numbers").otherwise("ok")
-    return e.select("event_id", F.array_join(missing, " ").alias("missing"), verdict.alias("verdict"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type AS outcome, count(*) AS n, round(sum(value), 4) AS total_ms FROM events GROUP BY ALL")
 def outcome_windows(spark: S, sf: str) -> D:
     w = requests.outcome_windows(table(spark, sf, "events"))

@@ -115,7 +115,7 @@ def mine_named_candidates(spark: S, sf: str) -> D:
 
 
 # a set for each item: one long word of it as subject, all its short ones as conditions
-_letters = lambda x: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace({x}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_letters = lambda x: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> ''))"
 _item_sets = f"item_set AS (SELECT 'b' || item_id AS pair_id, list_filter(w, lambda x: length(x) > 9)[1:3] AS s, list_filter(w, lambda x: length(x) BETWEEN 4 AND 6) AS c FROM (SELECT item_id, list_sort({_letters('lower(text)')}) AS w FROM benchmark))"
 
 
@@ -175,9 +175,9 @@ def rarest_term_df(spark: S, sf: str) -> D:
     return cases.rarest_df(questions(spark, sf), index.build(documents(spark, sf)).terms)
 
 
-_PARAS = "SELECT pmcid * 100000 + ord AS chunk_ord, text FROM paragraph"
+_PARAS = "SELECT pmcid * 2147483648 + ord AS chunk_ord, text FROM paragraph"
 _spec = f"""WITH {PARA}, {bm25(_PARAS, ITEMS)}, {topk(50)}, {_gold}, one AS (SELECT item_id, min((pmcid, section, char_start, char_end)) AS g FROM gold GROUP BY 1),
-h AS (SELECT query_id, rank, score, p.pmcid, p.section, p.char_start, p.char_end FROM run JOIN paragraph p ON p.pmcid * 100000 + p.ord = chunk_ord),
+h AS (SELECT query_id, rank, score, p.pmcid, p.section, p.char_start, p.char_end FROM run JOIN paragraph p ON p.pmcid * 2147483648 + p.ord = chunk_ord),
 x AS (SELECT h.*, struct_extract(g, 1) AS gp, h.pmcid = struct_extract(g, 1) AND h.section = struct_extract(g, 2) AND h.char_start < struct_extract(g, 4) AND struct_extract(g, 3) < h.char_end AS is_gold FROM h JOIN one ON item_id = query_id),
 a AS (SELECT query_id, max(rank) FILTER (is_gold) AS gold_rank, arg_max(score, rank) FILTER (is_gold) AS gs, coalesce(max(score) FILTER (NOT is_gold AND pmcid <> gp), 0.0) AS other FROM x GROUP BY 1)
 SELECT item_id AS query_id, gold_rank::INTEGER AS gold_rank, round(CASE WHEN gs > 0 THEN (gs - greatest(other, 0.0)) / gs ELSE '-Infinity'::DOUBLE END, 6) AS margin FROM benchmark LEFT JOIN a ON query_id = item_id"""
@@ -185,7 +185,7 @@ SELECT item_id AS query_id, gold_rank::INTEGER AS gold_rank, round(CASE WHEN gs
 
 @query(_spec)
 def specificity_margin(spark: S, sf: str) -> D:
-    p = paragraphs(spark, sf).withColumn("chunk_ord", F.col("pmcid") * 100000 + F.col("ord"))
+    p = paragraphs(spark, sf).withColumn("chunk_ord", F.shiftleft("pmcid", 31) + F.col("ord"))
     gold = gold_spans(spark, sf).groupBy(F.col("item_id").alias("query_id")).agg(F.min(F.struct("pmcid", "section", "char_start", "char_end")).alias("g")).select("query_id", "g.*")
     hits = index.search_texts(p.select("chunk_ord", "text"), questions(spark, sf), 50).join(p.select("chunk_ord", "pmcid", "section", "char_start", "char_end"), "chunk_ord")
     return cases.specificity(hits, gold, questions(spark, sf)).select("query_id", "gold_rank", F.round("margin", 6).alias("margin"))
@@ -328,15 +328,3 @@ def manifest_merge(spark: S, sf: str) -> D:
 
 
 _two = "two AS (SELECT l_orderkey AS pid, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY 1 HAVING min(l_partkey) <> max(l_partkey))"
-
-
-@query(f"""WITH {_two}, f AS (SELECT pid, 'rs' || a AS present, 'c.' || b || 'A>G' AS absent, (a * 7 % 90)::BIGINT AS df FROM two), c AS (SELECT * FROM f WHERE df BETWEEN 1 AND 60)
-SELECT pid || '#' || style AS query_id, style, concat_ws(' ', CASE WHEN pid % 3 > 0 THEN 'gene' || pid % 5 END, CASE style WHEN 'matched' THEN present ELSE absent END, 'variant') AS query, df AS present_min_token_df, 'cdna<->rsid' AS notation_axis FROM c, (VALUES ('matched'), ('mismatched')) s(style)""")
-def identifier_cases(spark: S, sf: str) -> D:
-    two = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pid")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a <> b")
-    present, absent = F.concat(F.lit("rs"), F.col("a").cast("string")), F.concat(F.lit("c."), F.col("b").cast("string"), F.lit("A>G"))
-    f = two.select("pid", present.alias("present"), absent.alias("absent"), (F.col("a") * 7 % 90).alias("df")).where("df between 1 and 60")
-    gene = F.when(F.col("pid") % 3 > 0, F.concat(F.lit("gene"), (F.col("pid") % 5).cast("string")))
-    rows = F.array(*[F.struct(F.lit(s).alias("style"), F.concat_ws(" ", gene, F.col(c), F.lit("variant")).alias("query")) for s, c in (("matched", "present"), ("mismatched", "absent"))])
-    out = f.select("pid", "df", T.notation_axis(F.col("present"), F.col("absent")).alias("notation_axis"), F.explode(rows).alias("r")).select("*", "r.*")
-    return out.select(F.concat_ws("#", F.col("pid").cast("string"), "style").alias("query_id"), "style", "query", F.col("df").alias("present_min_token_df"), "notation_axis")

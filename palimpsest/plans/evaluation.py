@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import index, metrics, sampling, service
-from .base import DOCS, ITEMS, bm25, documents, query, questions, table, topk, wilson
+from ..operators import index, labels, metrics, sampling, service
+from ..operators.tables import kept
+from .base import DOCS, ITEMS, bm25, collapse, documents, query, questions, table, topk, wilson
 from .retrieval import _gold, gold_spans
 
 S, D = SparkSession, DataFrame
 
-# an item's judgments: 2 where it stands verbatim, 1 in every 40th document of its residue class
+# an item's judgments: 2 where it stands verbatim, 1 for what the first 20 hits hold of its longer words, a fifth at least
+_words = lambda t: f"list_distinct(list_filter(string_split(lower({collapse(t)}), ' '), lambda w: length(w) > 3))"
 _qrels = f"""{_gold}, qrels AS (SELECT query_id, doc_id, max(rel) AS rel FROM (SELECT item_id AS query_id, pmcid AS doc_id, 2 AS rel FROM gold
-  UNION ALL SELECT item_id, doc_id, 1 FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40 WHERE item_id % 3 > 0) GROUP BY ALL)"""
+  UNION ALL SELECT query_id, chunk_ord, 1 FROM run JOIN documents d ON d.doc_id = chunk_ord JOIN benchmark b ON b.item_id = query_id
+  WHERE rank <= 20 AND len({_words("b.text")}) > 0 AND len(list_intersect({_words("b.text")}, {_words("d.text")})) / len({_words("b.text")})::DOUBLE >= 0.2) GROUP BY ALL)"""
 _run = f"{bm25(DOCS, ITEMS)}, {topk(100)}, hits AS (SELECT query_id, rank, chunk_ord AS doc_id FROM run), {_qrels}"
 _each = f"""{_run}, j AS (SELECT h.*, coalesce(rel, 0) AS rel FROM hits h LEFT JOIN qrels USING (query_id, doc_id)),
 a AS (SELECT query_id, sum((rank <= 5 AND rel > 0)::INTEGER) AS h5, sum((rank <= 10 AND rel > 0)::INTEGER) AS h10, sum((rank <= 100 AND rel > 0)::INTEGER) AS h100, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1.0) END) AS dcg, min(CASE WHEN rel > 0 THEN rank END) AS first FROM j GROUP BY 1),
@@ -23,11 +26,12 @@ m AS (SELECT item_id AS query_id, CASE WHEN n > 0 THEN coalesce(h5, 0) / n::DOUB
   CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg END AS ndcg, coalesce(1.0::DOUBLE / first, 0.0) AS mrr FROM benchmark LEFT JOIN a ON a.query_id = item_id LEFT JOIN i ON i.query_id = item_id)"""
 
 
-def qrels(spark: S, sf: str) -> D:
+def qrels(spark: S, sf: str, hits: D) -> D:
+    """Judgments of gold spans and of ``hits``."""
     gold = gold_spans(spark, sf).select(F.col("item_id").alias("query_id"), F.col("pmcid").alias("doc_id"), F.lit(2).alias("rel"))
-    b = table(spark, sf, "benchmark").where("item_id % 3 > 0").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k"))
-    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("k"))
-    return gold.unionByName(b.join(d, "k").select("query_id", "doc_id", F.lit(1).alias("rel"))).groupBy("query_id", "doc_id").agg(F.max("rel").alias("rel"))
+    d = documents(spark, sf).withColumnRenamed("chunk_ord", "doc_id")
+    near = hits.where("rank <= 20").join(d, "doc_id").join(questions(spark, sf), "query_id").where(labels.word_overlap(F.col("query"), F.col("text")) >= 0.2)
+    return gold.unionByName(near.select("query_id", "doc_id", F.lit(1).alias("rel"))).groupBy("query_id", "doc_id").agg(F.max("rel").alias("rel"))
 
 
 def run(spark: S, sf: str, k: int = 100) -> D:
@@ -35,7 +39,8 @@ def run(spark: S, sf: str, k: int = 100) -> D:
 
 
 def each(spark: S, sf: str) -> D:
-    return metrics.per_query(run(spark, sf), qrels(spark, sf), questions(spark, sf))
+    hits = kept(run(spark, sf), "run")  # searched once, for the judgments and for the metrics
+    return metrics.per_query(hits, qrels(spark, sf, hits), questions(spark, sf))
 
 
 @query(f"WITH {_each} SELECT query_id, round(r5, 6) AS recall_5, round(r10, 6) AS recall_10, round(r100, 6) AS recall_100 FROM m")
@@ -139,15 +144,6 @@ def recall_by_axis(spark: S, sf: str) -> D:
 _bands = (0.0, 0.5, 0.65, 0.8, 0.9, 1.01)
 
 
-@query(f"WITH {_rank}, o AS (SELECT *, (query_id * 37 % 101) / 100.0::DOUBLE AS overlap FROM r), shares AS (SELECT CASE WHEN overlap < 0.5 THEN 0 WHEN overlap < 0.65 THEN 1 WHEN overlap < 0.8 THEN 2 WHEN overlap < 0.9 THEN 3 ELSE 4 END AS band, style, sum(coalesce(rank <= 10, false)::INTEGER) AS s, count(*) AS n FROM o GROUP BY ALL) SELECT band, style, {_share} FROM shares")
-def recall_by_overlap(spark: S, sf: str) -> D:
-    overlap = F.col("query_id") * 37 % 101 / 100.0
-    band = F.lit(0)
-    for edge in _bands[1:-1]:
-        band = band + (overlap >= edge).cast("int")
-    return metrics.share_by(ranks(spark, sf).withColumn("band", band), ["band", "style"], hit())
-
-
 _mc = "CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END"
 
 

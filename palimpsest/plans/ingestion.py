@@ -108,21 +108,3 @@ def xml_paragraphs(spark: S, sf: str) -> D:
 @query(f"WITH {_lines} SELECT pmcid, section, ord::INTEGER AS ord, title FROM p")
 def section_titles(spark: S, sf: str) -> D:
     return jats.paragraphs(articles(spark, sf)).select("pmcid", "section", "ord", "title")
-
-
-@query(f"""WITH {PARA}, c AS (SELECT p.pmcid, p.section, p.ord::INTEGER AS ord, p.text, p.char_start, p.char_end, trim(substr(p.text, 5, 24)) AS quote, d.text AS body FROM paragraph p JOIN documents d ON d.doc_id = p.pmcid WHERE length(p.text) > 40),
-q AS (SELECT *, instr(body, quote) - 1 AS pos FROM c WHERE NOT regexp_matches(substr(text, 5, 24), '[ \\t\\n\\r\\f\\x0B\\x{{00A0}}]{{2,}}|[\\n\\r\\t‘’“”–—]')),
-e AS (SELECT *, pos - coalesce(nullif(instr(reverse(substr(body, 1, pos::BIGINT)), chr(10)), 0), pos + 1) + 1 AS a, CASE WHEN instr(substr(body, (pos + length(quote) + 1)::BIGINT), chr(10)) > 0 THEN pos + length(quote) + instr(substr(body, (pos + length(quote) + 1)::BIGINT), chr(10)) - 1 ELSE length(body) END AS z FROM q)
-SELECT pmcid, ord, CASE WHEN a = char_start AND z = char_end THEN 'OK' ELSE 'FIXED' END AS status, a::INTEGER AS char_start, z::INTEGER AS char_end FROM e""")
-def verify_spans(spark: S, sf: str) -> D:
-    """Each paragraph's span against the first place of a quote from it, widened to its line."""
-    from .base import paragraphs
-
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pmcid"), F.col("text").alias("body"))
-    quote = F.substring("text", 5, 24)
-    c = paragraphs(spark, sf).where("length(text) > 40").where(~quote.rlike(r"[ \t\n\r\f\x0B\x{00A0}]{2,}|[\n\r\t‘’“”–—]")).select("pmcid", "ord", "char_start", "char_end", F.trim(quote).alias("quote")).join(d, "pmcid")
-    c = c.withColumn("f", labels.found(F.col("body"), F.col("quote")))
-    start, end = T.expand_to_line(F.col("body"), F.col("f.char_start"), F.col("f.char_end"))
-    c = c.withColumn("a", start.cast("int")).withColumn("z", end.cast("int"))
-    status = F.when((F.col("a") == F.col("char_start")) & (F.col("z") == F.col("char_end")), "OK").otherwise("FIXED")
-    return c.select("pmcid", "ord", status.alias("status"), F.col("a").alias("char_start"), F.col("z").alias("char_end"))

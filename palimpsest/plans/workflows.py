@@ -9,7 +9,7 @@ from ..functions import stats
 from ..functions import text as T
 from ..operators import index, labels, metrics, mining, service, spans, verification
 from ..sources import files
-from .base import DOCS, ITEMS, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, topk, toks, wilson
+from .base import DOCS, ITEMS, ORACLES, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, toks, topk, wilson
 from .corpus import SETS, _coverage, _held, sentences, word_pairs
 from .evaluation import _mc, hit, ranks, _rank, _share
 from .retrieval import _gold, gold_spans
@@ -35,13 +35,15 @@ def mcnemar_large(spark: S, sf: str) -> D:
 @query("""WITH x AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS i, CASE WHEN l_linenumber = 7 THEN CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END ELSE (l_linenumber % 3)::INTEGER END AS j FROM lineitem),
 c AS (SELECT i, j, count(*) AS c FROM x GROUP BY ALL), n AS (SELECT sum(c)::DOUBLE AS n, sum(c * (i = j)::INTEGER)::DOUBLE AS o, sum(c * (1 - abs(i - j) / 2.0::DOUBLE)) AS ow FROM c),
 e AS (SELECT sum(r * q * (i = j)::INTEGER)::DOUBLE AS e, sum(r * q * (1 - abs(i - j) / 2.0::DOUBLE)) AS ew FROM (SELECT i, sum(c) AS r FROM c GROUP BY i), (SELECT j, sum(c) AS q FROM c GROUP BY j))
-SELECT n::BIGINT AS n, round((o / n - e / (n * n)) / (1 - e / (n * n)), 6) AS unweighted, round((ow / n - ew / (n * n)) / (1 - ew / (n * n)), 6) AS weighted FROM n, e""")
+SELECT n::BIGINT AS n, round((o / n - e / (n * n)) / (1 - e / (n * n)), 6) AS unweighted, round((ow / n - ew / (n * n)) / (1 - ew / (n * n)), 6) AS weighted,
+  CASE WHEN (ow / n - ew / (n * n)) / (1 - ew / (n * n)) >= 0.8 THEN 'almost perfect' WHEN (ow / n - ew / (n * n)) / (1 - ew / (n * n)) >= 0.6 THEN 'substantial' WHEN (ow / n - ew / (n * n)) / (1 - ew / (n * n)) >= 0.4 THEN 'moderate'
+  WHEN (ow / n - ew / (n * n)) / (1 - ew / (n * n)) >= 0.2 THEN 'fair' ELSE 'no better than chance / slight' END AS reading FROM n, e""")
 def kappa_levels(spark: S, sf: str) -> D:
     """Three ordered levels, where the weighted agreement differs from the unweighted one."""
     a = F.col("l_returnflag")
     other = F.get(F.array(*map(F.lit, "ANR")), (F.col("l_linenumber") % 3).cast("int"))
     pairs = table(spark, sf, "lineitem").select(a.alias("a"), F.when(F.col("l_linenumber") == 7, a).otherwise(other).alias("b"))
-    return metrics.kappa(pairs, "a", "b", ("A", "N", "R")).select("n", F.round("unweighted", 6).alias("unweighted"), F.round("weighted", 6).alias("weighted"))
+    return metrics.kappa(pairs, "a", "b", ("A", "N", "R")).select("n", F.round("unweighted", 6).alias("unweighted"), F.round("weighted", 6).alias("weighted"), metrics.agreement(F.col("weighted")).alias("reading"))
 
 
 # --- an item against the documents that a search finds for it ---
@@ -328,3 +330,18 @@ def beir_bundle(spark: S, sf: str) -> D:
     s = files.dataset(spark, path)
     n = s.relevant().join(s.documents.select(F.col("id").alias("doc_id")), "doc_id").groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     return s.queries.join(n, s.queries.id == n.query_id, "left").select(F.col("id").alias("query_id"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"), md5("text").alias("query_md5"))
+
+
+#: Earlier names of queries that now run the full operator.
+EARLIER = {
+    "numeric_drift": number_drift,
+    "identifier_cases": identifier_rows,
+    "hole_rate": hole_interval,
+    "worksheet_summary": worksheet_error_rate,
+    "stream_protocol_check": protocol_faults,
+    "baseline_contexts": baseline_excerpts,
+    "verify_spans": verify_span_statuses,
+    "recall_by_overlap": recall_by_hit_overlap,
+}
+for _name, _full in EARLIER.items():
+    query(ORACLES[_full.__name__], _name)(_full)
