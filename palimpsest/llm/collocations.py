@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,14 @@ from ._words import BASE, BYTE, LOWER, STEP, U, mix, powers, spans, utf8
 #: Fixed values of the contract: occurrences of a candidate, words of the longest, rows of each language.
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Bytes of text that become one shard, states that are united at once, bits of the table of what is frequent, salts of a ranking.
-SHARD, AT_ONCE, BITS, SALTS = 12 << 20, 1 << 21, 1 << 25, 64
+SHARD, AT_ONCE, BITS, SALTS = 6 << 20, 1 << 20, 1 << 25, 64
 
 BLANK, BREAK = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[32, 9]] = True
 BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 
-WORD_ROW = "lang string, word string, h long, n long"
-SHARD_ROW = "range int, lang string, words array<string>, depth array<tinyint>, first array<int>, parent array<int>, label array<int>, weight array<bigint>"
+WORD_ROW = "lang string, word string, n long"
+SHARD_ROW = "range int, lang string, states int, automaton binary"
 PHRASE_ROW = "lang string, phrase string, words int, f long, prefix array<bigint>, h long"
 
 
@@ -112,6 +114,51 @@ def level(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(key, return_inverse=True, return_counts=True)
 
 
+def folded_in(values: np.ndarray) -> bytes:
+    """Unsigned numbers in the fewest bytes each: (width, count, numbers)."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + len(values).to_bytes(8, "little") + values.astype(kind).tobytes()
+
+
+def unfolded(data: memoryview, at: int) -> tuple[np.ndarray, int]:
+    width, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
+    end = at + 9 + width * n
+    return np.frombuffer(data[at + 9 : end], f"u{width}").astype(np.int64), end
+
+
+def packed(words: pa.Array, depth: np.ndarray, first: np.ndarray, parent: np.ndarray, label: np.ndarray, weight: np.ndarray) -> bytes:
+    """An automaton as bytes: its words, then its states level by level, where the arcs that leave one
+    state are neighbours, so that only steps between their origins are kept."""
+    raw, starts, ends = utf8(words)
+    text = raw[starts[0] : ends[-1]].tobytes() if len(words) else b""
+    levels = np.bincount(depth, minlength=1)
+    origin = np.where(depth == 2, first, parent)
+    begins = np.cumsum(levels) - levels
+    steps = np.diff(origin, prepend=0)
+    some = begins[levels > 0]
+    steps[some] = origin[some]
+    parts = [folded_in(levels), folded_in(ends - starts), folded_in(np.frombuffer(text, np.uint8)), folded_in(steps), folded_in(label), folded_in(weight - 1)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def opened(automaton: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, depth, origin, label, weight) of ``packed``."""
+    data = memoryview(zstandard.ZstdDecompressor().decompress(automaton))
+    levels, at = unfolded(data, 0)
+    sizes, at = unfolded(data, at)
+    n = int.from_bytes(data[at + 1 : at + 9], "little")
+    text = data[at + 9 : at + 9 + n]
+    steps, at = unfolded(data, at + 9 + n)
+    label, at = unfolded(data, at)
+    weight, _ = unfolded(data, at)
+    depth = np.repeat(np.arange(len(levels)), levels)
+    upto = np.cumsum(steps)
+    begins = (np.cumsum(levels) - levels)[depth]
+    origin = upto - np.where(begins > 0, upto[begins - 1], 0)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(text)]), depth, origin, label, weight + 1
+
+
 def roots(names: list, words: pa.DictionaryArray, lang: np.ndarray) -> tuple:
     """The first level of a shard: (words of the dictionary, occurrences' words, arcs, states, weights,
     hashes of the states and of the words)."""
@@ -122,22 +169,29 @@ def roots(names: list, words: pa.DictionaryArray, lang: np.ndarray) -> tuple:
 
 
 def counted_words(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, word, h, n) of each shard, and a row without word for all of a language."""
+    """(lang, text) -> (lang, word, n) of each shard, and a row without word for all of a language."""
     for names, words, lang, _ in shards(batches, size):
-        _, d, arcs, _, weight, h, _ = roots(names, words, lang)
+        d = len(words.dictionary)
+        arcs, _, weight = level(lang * d + words.indices.to_numpy(zero_copy_only=False))
         n = np.bincount(lang, minlength=len(names))
         some = np.flatnonzero(n)
         langs = pa.array(names, pa.string()).take(pa.array(np.concatenate([arcs // d, some])))
         word = pa.concat_arrays([words.dictionary.take(pa.array(arcs % d)), pa.nulls(len(some), pa.string())])
-        zero = np.zeros(len(some), np.int64)
-        yield pa.RecordBatch.from_arrays([langs, word, pa.array(np.concatenate([h.view(np.int64), zero])), pa.array(np.concatenate([weight, n[some]]))], names=["lang", "word", "h", "n"])
+        yield pa.RecordBatch.from_arrays([langs, word, pa.array(np.concatenate([weight, n[some]]))], names=["lang", "word", "n"])
+
+
+def word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word) -> h, as ``roots`` has it."""
+    for batch in batches:
+        h = pair_hashes(hashes(batch.column(0)), hashes(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
 
 def transducers(batches: Iterator[pa.RecordBatch], words_told: np.ndarray, pairs_told: np.ndarray | None, ranges: int, size: int, most: int) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> a shard's count transducer, one row for each language and prefix range.
 
-    States are listed level by level, from paths of two words on: ``first`` and ``label`` are places in
-    ``words``, ``parent`` is a place in the list. Without ``pairs_told`` it ends at two words.
+    States are listed level by level, from paths of two words on; without ``pairs_told`` that level is the
+    last.
     """
     for names, words, lang, left in shards(batches, size):
         w, d, arcs, state, _, h1, h = roots(names, words, lang)
@@ -190,18 +244,12 @@ def by_range(names: list, dictionary: pa.Array, ranges: int, first: np.ndarray,
     place = place - word_begin[np.concatenate([row, row[top]])]
     firsts = np.full(len(order), -1)
     firsts[top] = place[len(order) :]
-    ends = np.append(begin, len(order))
-    many = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-    columns = [
-        pa.array(own % ranges, pa.int32()),
-        pa.array(names, pa.string()).take(pa.array(own // ranges)),
-        pa.ListArray.from_arrays(pa.array(word_begin, pa.int32()), dictionary.take(pa.array(used % d))),
-        many(depth, pa.int8()),
-        many(firsts, pa.int32()),
-        many(parent, pa.int32()),
-        many(place[: len(order)], pa.int32()),
-        many(weight, pa.int64()),
-    ]
+    ends, place = np.append(begin, len(order)), place[: len(order)]
+    rows = []
+    for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        its = dictionary.take(pa.array(used[word_begin[k] : word_begin[k + 1]] % d))
+        rows.append(packed(its, depth[lo:hi], firsts[lo:hi], parent[lo:hi], place[lo:hi], weight[lo:hi]))
+    columns = [pa.array(own % ranges, pa.int32()), pa.array(names, pa.string()).take(pa.array(own // ranges)), pa.array(np.diff(ends), pa.int32()), pa.array(rows, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in SHARD_ROW.split(", ")])
 
 
@@ -213,7 +261,7 @@ def united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     states = 0
     for batch in batches:
         pending.append(batch)
-        states += len(batch.column(3).flatten())
+        states += pa.compute.sum(batch.column(2)).as_py() or 0
         if states >= AT_ONCE:
             table = pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
             keys = list(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
@@ -221,7 +269,7 @@ def united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             if end:
                 yield from union(table.slice(0, end), least)
                 pending = [table.slice(end)]
-                states = len(pending[0].column(3).flatten())
+                states = pa.compute.sum(pending[0].column(2)).as_py() or 0
     if pending:
         table = pa.Table.from_batches(pending).combine_chunks().to_batches()
         if table:
@@ -233,12 +281,14 @@ def union(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     word become one, with the sum of their weights. Yields the paths of at least ``least``."""
     langs = rows.column(1).dictionary_encode()
     lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = rows.column(2).flatten().dictionary_encode()
+    each = [opened(a) for a in rows.column(3).to_pylist()]
+    if not each:
+        return
+    words = pa.concat_arrays([a[0] for a in each]).dictionary_encode()
     word, d = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
-    sizes = rows.column(3).value_lengths().to_numpy(zero_copy_only=False)
-    word_sizes = rows.column(2).value_lengths().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    depth, first, parent, label, weight = (rows.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 8))
+    depth, origin, label, weight = (np.concatenate([a[k] for a in each]) for k in range(1, 5))
+    sizes, word_sizes = np.array([len(a[1]) for a in each]), np.array([len(a[0]) for a in each])
+    row = np.repeat(np.arange(len(each)), sizes)
     word_base, base = (np.cumsum(word_sizes) - word_sizes)[row], (np.cumsum(sizes) - sizes)[row]
     label = word[word_base + label]
     merged = np.full(len(row), -1)
@@ -249,14 +299,14 @@ def union(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
         if not len(here):
             break
         if k == 2:
-            start = lang[row[here]] * d + word[word_base[here] + first[here]]
+            start = lang[row[here]] * d + word[word_base[here] + origin[here]]
             starts, begin = np.unique(start, return_inverse=True)
             arcs, inverse = np.unique(begin * d + label[here], return_inverse=True)
             source = starts[arcs // d]
             its_lang, text = source // d, words.dictionary.take(pa.array(source % d))
             h2 = pair_hashes(pair_hashes(of[source // d], h[source % d]), h[arcs % d]).view(np.int64)
         else:
-            arcs, inverse = np.unique(merged[base[here] + parent[here]] * d + label[here], return_inverse=True)
+            arcs, inverse = np.unique(merged[base[here] + origin[here]] * d + label[here], return_inverse=True)
             up = arcs // d
             its_lang, text, h2 = its_lang[up], phrases.take(pa.array(up)), np.zeros(len(up), np.int64)
             prefix = np.column_stack([prefix[up], total[up]])
@@ -288,16 +338,16 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     prefix: occurrences of the phrase's first 2, 3, .. words. Texts are read in three passes. A range's
     automata meet in one task after each shard has added up its own, so a frequent prefix is one path
-    a shard; ranges are finer than the shuffle's partitions.
+    a shard; there are as many ranges as partitions of the shuffle, and languages are united one by one.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = texts.mapInArrow(lambda it: counted_words(it, shard), WORD_ROW).groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = texts.mapInArrow(lambda it: counted_words(it, shard), WORD_ROW).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(counted.where(f"word is null or n >= {int(least)}"), "words")
     frequent = words.where("word is not null")
-    words_told = spark.sparkContext.broadcast(bit_table(frequent))
+    words_told = spark.sparkContext.broadcast(bit_table(frequent.select("lang", "word").mapInArrow(word_hashes, "h long")))
 
     def paths(pairs_told) -> DataFrame:
         told_of = lambda b: None if b is None else b.value
