@@ -103,19 +103,22 @@ def without_citations(text: Column, mark: str) -> Column:
     return T.collapse(F.regexp_replace(out, r"[ \t\n\r\f\x0B]+([.,;:])", "$1"))
 
 
-def quote_pattern(quote: Column) -> Column:
-    """A pattern that finds the quote whatever its white space, quotation marks and dashes."""
-    out = F.regexp_replace(T.fold_quotes(quote), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    for straight, signs in (("'", "['‘’]"), ('"', '["“”]'), ("-", "[-–—]"), (" ", T.WHITE)):
-        out = F.replace(out, F.lit(straight), F.lit(signs))
-    return out
+def found(text: Column, quote: Column) -> Column:
+    """(char_start, char_end) of the first place, or null; white space, quotation marks and dashes may differ.
 
+    The text is folded once, sign by sign and each run of white space to one space; the quote is sought in it
+    as it stands, and the place is moved by what the runs before it have lost. No pattern is made of a row."""
+    low = F.regexp_replace(F.translate(text, T.CURLY, T.STRAIGHT), T.WHITE, " ")
+    wanted = T.fold_quotes(quote)
+    at = F.call_function("instr", low, wanted) - 1
+    lost = F.transform(F.regexp_extract_all(text, F.lit(f"({T.WHITE})"), F.lit(1)), lambda run: F.length(run) - 1)
 
-def found(text: Column, quote: Column) -> Column:
-    """(char_start, char_end) of the first place, or null; white space and signs may differ."""
-    pattern = quote_pattern(quote)
-    at = F.regexp_instr(text, pattern)
-    return F.when(at > 0, F.struct((at - 1).cast("int").alias("char_start"), (at - 1 + F.length(F.call_function("regexp_extract", text, pattern, F.lit(0)))).cast("int").alias("char_end")))
+    def place(upto: Column) -> Column:
+        before = F.substring(low, F.lit(1), upto)
+        runs = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        return (upto + F.aggregate(F.slice(lost, F.lit(1), runs), F.lit(0), lambda acc, n: acc + n)).cast("int")
+
+    return F.when(at >= 0, F.struct(place(at).alias("char_start"), place(at + F.length(wanted)).alias("char_end")))
 
 
 def claim_text(parts: list[Column], variant: Column) -> Column:

@@ -228,11 +228,7 @@ def round_robin(spark: S, sf: str) -> D:
 @query("WITH a AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('3:' || c_custkey), c_custkey) AS r FROM customer) SELECT c_custkey, c_mktsegment FROM a ORDER BY r > 1, md5('3:' || c_custkey), c_custkey LIMIT 40")
 def sample_each_type(spark: S, sf: str) -> D:
     """40 customers by hash order, at least one of each segment."""
-    from pyspark.sql import Window
-
-    key = sampling.shuffle_key("c_custkey", 3)
-    nth = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(key, "c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey", "c_mktsegment").withColumn("r", nth).orderBy(F.col("r") > 1, key, "c_custkey").limit(40).drop("r")
+    return sampling.each_and_more(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 40, 3)
 
 
 @query("""WITH b AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 10 = 0 THEN CASE WHEN o_orderkey % 20 = 0 THEN 'held_out' ELSE 'dev' END END AS before FROM orders),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import labels, service
-from ..sources import files, jats
+from ..operators import labels, numbering, service
+from ..sources import files, jats, remote
 from .base import PARA, query, table
 
 S, D = SparkSession, DataFrame
@@ -79,6 +79,17 @@ def trace_self_time(spark: S, sf: str) -> D:
     return out.withColumns({c: F.round(c, 4) for c in ("total_ms", "self_ms")})
 
 
+@query("""WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, 'PMC' || c_custkey AS id, count(*) OVER () AS total FROM customer) SELECT place, id, total, total > 1000 AS truncated FROM c WHERE place < 1000""")
+def paged_search(spark: S, sf: str) -> D:
+    """All customers as recorded pages of 300, read back page by page up to a cap of 1,000."""
+    c = table(spark, sf, "customer").select("c_custkey")
+    ids = numbering.numbered(c, "c_custkey").select((F.col("n") - 1).alias("place"), F.concat(F.lit("PMC"), F.col("c_custkey").cast("string")).alias("id"))
+    folder = files.shared_folder(spark)
+    service_ = remote.recorded(ids, folder if ":" in folder else f"file://{folder}", 300)
+    found = remote.search(spark, service_, "customers", 1000, 170)
+    return found.ids.withColumn("total", F.lit(found.total).cast("long")).withColumn("truncated", F.lit(found.truncated))
+
+
 def escaped(c):
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(sign), F.lit(name))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, index, spans
+from ..operators import chunking, index, serving, spans
+from ..sources import files
 from .base import DOCS, ITEMS, PARA, bm25, documents, paragraphs, query, questions, raw_paragraphs, table, toks, topk
 
 S, D = SparkSession, DataFrame
@@ -124,6 +125,25 @@ def load_span(spark: S, sf: str) -> D:
 _gold = "gold AS (SELECT item_id, doc_id AS pmcid, lang AS section, (instr(d.text, b.text) - 1)::INTEGER AS char_start, (instr(d.text, b.text) - 1 + length(b.text))::INTEGER AS char_end FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
+@query(f"""{_service}, late AS (SELECT item_id, item_id % 3 = 1 AS late FROM benchmark), line AS (
+  SELECT query_id, 0 AS kind, rank AS place, to_json({{'type': 'match', 'rank': rank::INTEGER, 'pmcid': pmcid}})::VARCHAR AS line FROM hit JOIN late ON item_id = query_id WHERE rank <= 5 AND NOT late
+  UNION ALL SELECT item_id, 0, 0, '{{"type":"error","code":"deadline"}}' FROM late WHERE late
+  UNION ALL SELECT item_id, 1, 0, '{{"type":"not_found","candidates_scanned":0}}' FROM late WHERE NOT late AND item_id NOT IN (SELECT query_id FROM hit)
+  UNION ALL SELECT item_id, 2, 0, to_json({{'type': 'summary', 'n_matches': CASE WHEN late THEN 0 ELSE least(n, 5) END, 'candidates_scanned': CASE WHEN late THEN 0 ELSE n END,
+    'stopped_reason': CASE WHEN late THEN 'deadline' WHEN len({toks("text")}) = 0 THEN 'no_query_words' WHEN n > 5 THEN 'max_matches' ELSE 'exhausted' END}})::VARCHAR
+    FROM (SELECT l.*, b.text, (SELECT count(*) FROM hit WHERE query_id = l.item_id) AS n FROM late l JOIN benchmark b USING (item_id)))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, place)::INTEGER AS seq, line FROM line""")
+def stream_with_deadline(spark: S, sf: str) -> D:
+    """Three batches of queries at a time over one stored index, the second without any time to run."""
+    stored = index.build(documents(spark, sf))
+    path = files.shared_folder(spark)
+    stored.save(path)
+    stored = index.Index.load(spark, path)
+    q = questions(spark, sf)
+    batches = [(q.where(F.col("query_id") % 3 == k), 0.0 if k == 1 else 600.0) for k in range(3)]
+    return serving.serve(spark, lambda queries: index.search(stored, queries, 40), batches, 3).lines
+
+
 def gold_spans(spark: S, sf: str) -> D:
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("pmcid"), F.col("lang").alias("section"), "text")

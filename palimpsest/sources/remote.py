@@ -103,6 +103,38 @@ def pages(service: Search, sleep: Callable[[float], None] = time.sleep) -> type[
     return PagedSearch
 
 
+class Recorded:
+    """Pages that were recorded, as a service that needs no network: a folder of text files, one a page, at any
+    address that pyarrow's file systems know."""
+
+    def __init__(self, folder: str, total: int, page_size: int):
+        self.folder, self.of, self.size = folder, total, page_size
+
+    def total(self, query: str) -> tuple[int, str]:
+        return self.of, query
+
+    def page(self, token: str, start: int, size: int) -> list[str]:
+        import pyarrow.fs as fs
+
+        at = start - start % self.size
+        files, path = fs.FileSystem.from_uri(f"{self.folder}/start={at}")
+        found = files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        lines: list[str] = []
+        for f in sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", "."))):
+            with files.open_input_stream(f) as stream:
+                lines += stream.read().decode("utf-8").splitlines()
+        return lines[start - at : start - at + size]
+
+
+def recorded(ids: DataFrame, folder: str, page_size: int) -> Recorded:
+    """Writes (place, id), places from 0 without gaps, as pages."""
+    start = F.col("place") - F.col("place") % page_size
+    dealt = ids.select(start.alias("start"), "place", "id").repartition("start").sortWithinPartitions("start", "place")
+    dealt.select("start", "id").write.partitionBy("start").text(folder)
+    top = ids.agg(F.max("place")).first()[0]
+    return Recorded(folder, 0 if top is None else top + 1, page_size)
+
+
 @dataclass
 class Found:
     """ids: (place, id) in the service's order; total: what it has; truncated: more than was fetched, so that
