@@ -5,7 +5,8 @@ the fractional parts are rounded dependently: two documents exchange words at ra
 them is taken a whole number of times, which keeps the sum of words of the pair exactly and each
 document's expectation. The one fractional document that a cell of documents leaves goes up a
 reduction tree, where the cells' residuals are paired in the same way, until one remains a source.
-So a source's words miss its target by less than one document.
+Long documents are settled first, against as many shorter ones as they need, so that a short one remains:
+a source's words miss its target by less than that.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ MOST = 2.0
 CELL = 4096
 FAN = 256
 
+#: Fractions within this of a whole number are one: sums of words in doubles are no better.
+TINY = 1e-9
+
 ROW = "id {id}, h long, size long, source string, source_size long, target double, p double, cell long, copies long, open boolean"
 
 
@@ -79,52 +83,53 @@ def chance(a: int, b: int, seed: int) -> float:
 
 
 def pivot(frame: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """One cell: rounds all fractions but one at most. The longest documents pair with each other
-    first, so that the one left over is short."""
+    """One cell: rounds all fractions but one at most, the longest documents first.
+
+    A document is paired with the next shorter ones, one after the other, and its mass moves in one random
+    direction until it is integral: up with probability p, so that it takes (1 - p) w words of each partner,
+    or down, so that it gives p w words to each, where w is the most that keeps the partner's own fraction
+    within 0 and 1 either way. So each expectation stays, the words of all stay, and a document that is long
+    for its cell is settled against as many short ones as it needs; what is left over is short."""
     frame = frame.sort_values(["size", "h"], ascending=[False, True], kind="stable").reset_index(drop=True)
     p, size, h = frame.p.tolist(), frame["size"].tolist(), frame.h.tolist()
-    up = [0] * len(p)
-    i = -1
-    for j in range(len(p)):
-        if not 0.0 < p[j] < 1.0:
-            up[j] = int(p[j] >= 1.0)
-            continue
-        if size[j] == 0:  # carries no words: rounded on its own
-            up[j] = int(chance(h[j], 1, seed) < p[j])
-            p[j] = float(up[j])
-            continue
-        if i < 0:
-            i = j
-            continue
-        a, b = size[i], size[j]
-        give, take = (1 - p[i]) * a, p[j] * b  # words to fill i, words to empty j
-        to_i, to_j = min(give, take), min(p[i] * a, (1 - p[j]) * b)
-        if chance(h[i], h[j], seed) * (to_i + to_j) < to_j:
-            if give <= take:
-                up[i], p[i], rest = 1, 1.0, (p[j] - give / b if give < take else 0.0)
-                p[j], i = rest, (j if 0.0 < rest < 1.0 else -1)
-                if i < 0:
-                    up[j] = int(p[j] >= 1.0)
-            else:
-                up[j], p[j] = 0, 0.0
-                p[i] += take / a
-        else:
-            drop, fill = p[i] * a, (1 - p[j]) * b
-            if drop <= fill:
-                up[i], p[i], rest = 0, 0.0, (p[j] + drop / b if drop < fill else 1.0)
-                p[j], i = rest, (j if 0.0 < rest < 1.0 else -1)
-                if i < 0:
-                    up[j] = int(p[j] >= 1.0)
-            else:
-                up[j], p[j] = 1, 1.0
-                p[i] -= fill / a
-        if i >= 0 and not 0.0 < p[i] < 1.0:
-            up[i], i = int(p[i] >= 1.0), -1
-    frame["open"] = False
+    n = len(p)
+    for j in range(n):
+        if size[j] == 0 and 0.0 < p[j] < 1.0:  # carries no words: rounded on its own
+            p[j] = float(chance(h[j], 1, seed) < p[j])
+    whole = lambda x: 0.0 if x < TINY else 1.0 if x > 1 - TINY else x
+    p = [whole(x) for x in p]
+    after = list(range(1, n + 1))  # the next document that may be open, with paths shortened on the way
+
+    def next_open(j: int) -> int:
+        k = j
+        while k < n and not 0.0 < p[k] < 1.0:
+            k = after[k]
+        while j < k:
+            after[j], j = k, after[j]
+        return k
+
+    i, step = next_open(0), 0
+    while i < n:
+        need, moved, j = float(size[i]), [], next_open(i + 1)
+        while need > 0 and j < n:
+            most = min(p[j] * size[j] / (1 - p[i]), (1 - p[j]) * size[j] / p[i])
+            w = min(most, need)
+            moved.append((j, w))
+            need -= w
+            j = next_open(j + 1)
+        if not moved:
+            break
+        # where all that is left is too short for it, it moves a part of the way and pairs again
+        share = 1.0 if need <= TINY * size[i] else 1 - need / size[i]
+        step += 1
+        up = chance(h[i], h[moved[0][0]] + step, seed) < p[i]
+        for k, w in moved:
+            p[k] = whole(p[k] + (-(1 - p[i]) if up else p[i]) * w / size[k])
+        p[i] = whole(p[i] + (1 - p[i]) * share if up else p[i] * (1 - share))
+        i = next_open(i)
+    frame["open"] = [0.0 < x < 1.0 for x in p]
     frame["p"] = p
-    frame["copies"] = frame["copies"] + up
-    if i >= 0:
-        frame.loc[i, "open"] = True
+    frame["copies"] = frame["copies"] + [int(x >= 1.0) for x in p]
     return frame
 
 

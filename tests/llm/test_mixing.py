@@ -72,6 +72,43 @@ def test_expectation():
     assert total / 400 == pytest.approx(0.3, abs=0.07)
 
 
+def test_long_documents_are_settled_by_short_ones():
+    import random
+
+    import pandas as pd
+
+    misses = []
+    for seed in range(60):
+        r = random.Random(seed)
+        sizes = [5184, 900, 700] + [r.randint(1, 400) for _ in range(57)]
+        f = pd.DataFrame({"p": [0.37] * 60, "size": sizes, "h": [r.getrandbits(60) for _ in sizes], "copies": 0})
+        g = mixing.pivot(f, seed)
+        assert (g.p * g["size"]).sum() == pytest.approx(0.37 * sum(sizes)) and g.open.sum() <= 1
+        misses.append(g.loc[g.open, "size"].max() if g.open.any() else 0)
+    assert max(misses) < 0.02 * 5184
+
+
+def test_each_fraction_keeps_its_expectation():
+    import pandas as pd
+
+    first = [0.3, 0.6, 0.5, 0.9, 0.1]
+    total = dict.fromkeys(range(5), 0.0)
+    for seed in range(3000):
+        g = mixing.pivot(pd.DataFrame({"p": first, "size": [50, 9, 7, 3, 2], "h": [11, 22, 33, 44, 55], "copies": 0}), seed)
+        for h, p in zip(g.h, g.p, strict=True):
+            total[h // 11 - 1] += p
+    assert all(total[k] / 3000 == pytest.approx(first[k], abs=0.04) for k in range(5))
+
+
+def test_greatest_miss_of_a_target(spark):
+    """Sources of a few dozen documents miss their targets by less than 1 % of them."""
+    import os
+
+    sf = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
+    got = mixing.copies(queries.read(spark, sf, "documents")).groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert max(abs(r["taken"] - r["target"]) / r["target"] for r in got) < 0.01
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, None, None, 1), (2, "", "a", 1), (None, "x y", "a", 1), (3, "x y z", "b", 2), (3, "x y z", "b", 2)], "doc_id long, text string, source string, copies int")
     got = mixing.copies(df).collect()
