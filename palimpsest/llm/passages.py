@@ -322,7 +322,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``similarity``. An exact stretch inside a longer near one has a row of its own. An exact passage is
     found under every hash function; one at the threshold 0.8 is found under 2 of 6 with probability
     0.998. Null, empty and shorter texts share nothing, nor do rows
-    with a null id; rows that repeat an id are not compared with each other. Other columns are ignored.
+    with a null id. Rows that repeat an id with other texts are documents of their own, also against each
+    other, and all go by that id; a row that repeats id and text counts once. Other columns are ignored.
 
     Plan: windows of two hash functions at a time are written (24 bytes a row). A pre-aggregated grouping finds shared minima;
     a sort-merge join, which Spark splits where a passage is hot, brings them to the windows. One
@@ -333,6 +334,34 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 8 <= span <= 250 or hashes > 8:
         raise ValueError("span must be 8 to 250 and hashes at most 8")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # ids are counted from their column alone; only tables that repeat some pay for telling them apart
+    repeated = written(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if not repeated.isEmpty():
+        return _apart(texts, repeated, span, hashes, enough, similarity)
+    return _shared(texts, span, hashes, enough, similarity)
+
+
+def _apart(texts: DataFrame, repeated: DataFrame, span: int, hashes: int, enough: int, similarity: float) -> DataFrame:
+    """Passages of texts some of whose ids repeat: each of their texts but one gets a number of its own,
+    beyond all ids, by its hash, and its id back at the end."""
+    again = texts.join(repeated, "id", "left_semi").withColumn("h", F.xxhash64("id", "text")).dropDuplicates(["id", "h"])
+    first = again.groupBy("id").agg(F.min("h").alias("first"))
+    made = F.lit(1 << 62) + F.shiftrightunsigned("h", 2)
+    known = written(again.join(first, "id").where("h <> first").select(made.alias("made"), "id"), "made")
+    top = texts.agg(F.max("id")).first()[0]
+    if top >= 1 << 62:
+        raise ValueError("ids that repeat must be below 2**62")
+    rest = texts.join(repeated, "id", "left_anti")
+    numbered = again.join(first, "id").select(F.when(F.col("h") == F.col("first"), F.col("id")).otherwise(made).alias("id"), "text")
+    found = _shared(rest.unionByName(numbered), span, hashes, enough, similarity)
+    for c in ("doc_id", "rep_doc_id"):
+        name = known.select(F.col("made").alias(c), F.col("id").alias("of"))
+        found = found.join(name, c, "left").withColumn(c, F.coalesce("of", c)).drop("of")
+    return found.select(COLUMNS).distinct()
+
+
+def _shared(texts: DataFrame, span: int, hashes: int, enough: int, similarity: float) -> DataFrame:
+    """``shared_passages`` of (id, text) without repeated ids."""
     parts = []
     for k in range(0, hashes, AT_ONCE):
         functions = range(k, min(k + AT_ONCE, hashes))

@@ -70,6 +70,18 @@ def test_odd_tables(spark):
     assert passages.shared_passages(df).collect() == []
 
 
+def test_rows_that_repeat_an_id_lose_nothing(spark):
+    rng = random.Random(9)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p, q, u = text(60), text(70), text(55)
+    rows = [(1, p), (2, text(9) + p), (2, q + text(4)), (3, text(7) + q), (3, u), (3, u), (3, u + text(5)), (4, text(80))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["rep_doc_id"]) for r in passages.shared_passages(df).collect()}
+    found = {(i, s, e) for i, s, e, _ in got}
+    assert found == {(1, 0, 60), (2, 9, 69), (2, 0, 70), (3, 7, 77), (3, 0, 55)}
+    assert {(i, s, e) for i, s, e, rep in got if rep == 3} == {(3, 0, 55)} and passages.shared_passages(df).columns == passages.COLUMNS
+
+
 def test_scattered_minima_do_not_hide_a_passage(spark):
     """Documents 2 and 3 share a passage; the smaller document 1 holds its shingles, scattered."""
     rng = random.Random(5)
