@@ -1,21 +1,29 @@
 """Inverted index as tables, and batched BM25 search over them.
 
 Queries are a table: one job answers all of them. Postings are only made or read for terms that some
-query holds, by an equi-join that Spark broadcasts while the queries are small.
+query holds; chunks are scored where they lie, and only the best of each task travel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..session import ship
+from .tables import kept
 
 K1, B = 1.5, 0.75
 #: Scores are rounded before they rank, so that sums in another order rank alike.
 DIGITS = 6
+#: Terms of all queries together that are sent to the chunks, and scores that a task holds at once.
+MOST_QUERY_TERMS, CELLS = 200_000, 1 << 22
 
 
 @dataclass
@@ -108,7 +116,8 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Dat
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    return top_k(scores(index, queries, k1, b), k)
+    """The first k chunks of each query: (query_id, chunk_ord, score, rank)."""
+    return _ranked(query_terms(queries), index.postings, index.terms, index.corpus, k, k1, b)
 
 
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
@@ -116,5 +125,85 @@ def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     q, t = query_terms(queries), tokenized(chunks)
     wanted = q.select("term").distinct()
     held = t.select("chunk_ord", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = held.groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return top_k(_score(q, postings, document_frequencies(postings), corpus_of(t.select("dl")), k1, b), k)
+    postings = kept(held.groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    return _ranked(q, postings, document_frequencies(postings), corpus_of(t.select("dl")), k, k1, b)
+
+
+def _ranked(q: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Queries of a bounded number of terms are sent to where the chunks are: the postings of their terms are
+    dealt by chunk, each task scores its chunks for all queries in arrays and keeps the first k of each, and
+    these few meet. Beyond that bound, queries and postings meet in a join."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    weighed = q.join(terms, "term").join(corpus).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("w"))
+    few = weighed.limit(MOST_QUERY_TERMS + 1).collect()
+    if len(few) > MOST_QUERY_TERMS:
+        return top_k(_score(q, postings, terms, corpus, k1, b), k)
+    spark = postings.sparkSession
+    ship(spark)
+    names = {t: i for i, t in enumerate(sorted({r["term"] for r in few}))}
+    ids = {i: n for n, i in enumerate(dict.fromkeys(r["query_id"] for r in few))}
+    plan = Plan(list(ids), [], [], k, k1, b, few[0]["avgdl"] if few else 0.0, to_arrow_type(q.schema["query_id"].dataType))
+    by_term: dict[int, list] = {}
+    for r in few:
+        by_term.setdefault(names[r["term"]], []).append((ids[r["query_id"]], r["w"]))
+    for i in range(len(names)):
+        plan.queries.append(np.array([n for n, _ in by_term[i]], np.int64))
+        plan.weights.append(np.array([w for _, w in by_term[i]]))
+    kind = q.schema["query_id"].dataType.simpleString()
+    chunk = postings.schema["chunk_ord"].dataType.simpleString()
+    numbers = spark.createDataFrame(list(names.items()), "term string, t int")  # bounded by MOST_QUERY_TERMS
+    held = postings.join(F.broadcast(numbers), "term").select("t", F.col("chunk_ord").cast("long"), F.col("tf").cast("double"), F.col("dl").cast("double"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sent = spark.sparkContext.broadcast(plan)
+    found = held.repartition(parts, "chunk_ord").mapInArrow(lambda it: scored_blocks(it, sent.value), f"query_id {kind}, chunk_ord long, score double")
+    return top_k(found.select("query_id", F.col("chunk_ord").cast(chunk), F.round("score", DIGITS).alias("score")), k)
+
+
+@dataclass
+class Plan:
+    """What a task needs to score its chunks: query ids, for each term its queries and their weights."""
+
+    ids: list
+    queries: list
+    weights: list
+    k: int
+    k1: float
+    b: float
+    avgdl: float
+    kind: pa.DataType
+
+
+def scored_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """(t, chunk_ord, tf, dl), all postings of some chunks -> the best chunks of each query among them: the
+    first k, and all that might be among them once scores are rounded."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for batch in batches:
+        for c, values in zip(columns, batch.columns, strict=True):
+            c.append(values.to_numpy(zero_copy_only=False))
+    if not columns[0] or not sum(map(len, columns[0])) or not plan.ids:
+        return
+    t, chunk, tf, dl = map(np.concatenate, columns)
+    chunks, place = np.unique(chunk, return_inverse=True)
+    part = tf * (plan.k1 + 1) / (tf + plan.k1 * (1 - plan.b + plan.b * dl / plan.avgdl))
+    order = np.argsort(t, kind="stable")
+    t, place, part = t[order], place[order], part[order]
+    edges = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    ends = np.append(edges[1:], len(t))
+    at_once = max(1, CELLS // len(chunks))
+    ids = pa.array(plan.ids, plan.kind)
+    for lo in range(0, len(plan.ids), at_once):
+        scores = np.zeros((min(at_once, len(plan.ids) - lo), len(chunks)))
+        for s, e in zip(edges, ends, strict=True):
+            its, w = plan.queries[t[s]], plan.weights[t[s]]
+            here = (its >= lo) & (its < lo + len(scores))
+            if here.any():
+                scores[(its[here] - lo)[:, None], place[s:e]] += w[here][:, None] * part[s:e]
+        rows, cols = [], []
+        for n, row in enumerate(scores):
+            least = np.partition(row, len(row) - plan.k)[len(row) - plan.k] if len(row) > plan.k else 0.0
+            best = np.flatnonzero((row > 0) & (row >= least - 2 * 10.0**-DIGITS))
+            rows.append(np.full(len(best), n))
+            cols.append(best)
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + lo)), pa.array(chunks[c]), pa.array(scores[r, c])], names=["query_id", "chunk_ord", "score"])
