@@ -43,7 +43,7 @@ def specificity(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFra
     return out.select("query_id", F.col("g.rank").alias("gold_rank"), F.when(score > 0, (score - F.greatest("other", F.lit(0.0))) / score).otherwise(F.lit(float("-inf"))).alias("margin"))
 
 
-def rejection(c: dict[str, Column]) -> Column:
+def rejection(c: dict[str, Column], most_df: int = RAREST_DF) -> Column:
     """The first rule that a case breaks, or null. Keys: answer, paragraph, lexical, paraphrased, anchors
     (those in the paragraph), and optionally lexical_df, paraphrased_df, rank, margin."""
     answer, para = c["answer"], T.normalize(c["paragraph"])
@@ -56,7 +56,7 @@ def rejection(c: dict[str, Column]) -> Column:
     for s in styles:
         out = out.when(~n(c[s]).between(*QUERY_TOKENS), f"{s}_length").when(T.overlap_share(answer, c[s], 1.0) > ANSWER_IN_QUERY, f"{s}_tautological")
         if f"{s}_df" in c:
-            out = out.when(c[f"{s}_df"] > RAREST_DF, f"{s}_generic")
+            out = out.when(c[f"{s}_df"] > most_df, f"{s}_generic")
     if "margin" in c:
         out = out.when(c["rank"].isNull() | (c["rank"] > GENERIC_RANK) | (c["margin"] < MARGIN), "generic")
     known = F.flatten(F.transform(c["anchors"], T.tokens))
