@@ -191,15 +191,15 @@ def specificity_margin(spark: S, sf: str) -> D:
     return cases.specificity(hits, gold, questions(spark, sf)).select("query_id", "gold_rank", F.round("margin", 6).alias("margin"))
 
 
-# made cases: paragraphs of 8 words at least; queries are their beginnings, shortened, emptied or repeated
+# made cases of all paragraphs; queries are their beginnings, shortened, emptied or repeated
 _made = f"""{PARA}, made AS (SELECT pmcid, ord::INTEGER AS ord, text AS paragraph,
   CASE ord % 7 WHEN 0 THEN '' WHEN 1 THEN 'not in it at all' ELSE substr(text, 20, 12 + (ord % 5) * 30) END AS answer,
   CASE ord % 11 WHEN 0 THEN NULL ELSE substr(text, 1, 30 + (ord % 4) * 60)  END AS lexical,
-  CASE ord % 13 WHEN 0 THEN substr(text, 1, 30 + (ord % 4) * 60) ELSE 'what did they find about ' || substr(text, 60, 40) END AS paraphrased FROM paragraph WHERE length(text) > 60)"""
+  CASE ord % 13 WHEN 0 THEN substr(text, 1, 30 + (ord % 4) * 60) ELSE 'what did they find about ' || substr(text, 60, 40) END AS paraphrased FROM paragraph)"""
 
 
 def made(spark: S, sf: str) -> D:
-    p = paragraphs(spark, sf).where("length(text) > 60")
+    p = paragraphs(spark, sf)
     o, t = F.col("ord"), F.col("text")
     start = F.substring(t, F.lit(1), 30 + (o % 4) * 60)
     return p.select("pmcid", "section", "char_start", "char_end", "ord", t.alias("paragraph"), F.when(o % 7 == 0, "").when(o % 7 == 1, "not in it at all").otherwise(F.substring(t, F.lit(20), 12 + (o % 5) * 30)).alias("answer"), F.when(o % 11 != 0, start).alias("lexical"), F.when(o % 13 == 0, start).otherwise(F.concat(F.lit("what did they find about "), F.substring(t, 60, 40))).alias("paraphrased"))
@@ -234,7 +234,7 @@ def ask_of(row: dict) -> dict:
 one AS (SELECT * FROM c WHERE stratum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pmcid, stratum ORDER BY md5('0:' || pid), pid) = 1),
 pool AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || pid), pid) AS place FROM one QUALIFY place <= 24),
 r AS ({{reason}}), v AS (SELECT pool.*, row_number() OVER (PARTITION BY stratum ORDER BY place) AS nth FROM pool JOIN r USING (pmcid, ord) WHERE r.reason IS NULL AND ord % 17 < 16)
-SELECT stratum, place::INTEGER AS place, pmcid, ord FROM v WHERE nth <= 8""".replace("{reason}", ORACLES["validate_cases"].split("FROM paragraph WHERE length(text) > 60)", 1)[1].strip()))
+SELECT stratum, place::INTEGER AS place, pmcid, ord FROM v WHERE nth <= 8""".replace("{reason}", ORACLES["validate_cases"].split("AS paraphrased FROM paragraph)", 1)[1].strip()))
 def quota_build(spark: S, sf: str) -> D:
     """Eight accepted cases a stratum of the paragraphs that may serve, made and checked batch by batch."""
     p = cases.candidates(raw_paragraphs(spark, sf)).withColumn("pid", F.concat_ws(":", F.col("pmcid").cast("string"), F.col("ord").cast("string")))
@@ -250,7 +250,7 @@ def quota_build(spark: S, sf: str) -> D:
     return out.select("stratum", "place", "pmcid", "ord")
 
 
-@query(f"WITH {_made} SELECT pmcid || ':' || section || ':' || char_start || '-' || char_end AS paragraph_id, style, md5(q) AS query_md5 FROM (SELECT pmcid, section, char_start, char_end, 'lexical' AS style, substr(text, 1, 30 + (ord % 4) * 60) AS q FROM paragraph WHERE length(text) > 60 AND ord % 11 > 0 UNION ALL SELECT pmcid, section, char_start, char_end, 'paraphrased', CASE ord % 13 WHEN 0 THEN substr(text, 1, 30 + (ord % 4) * 60) ELSE 'what did they find about ' || substr(text, 60, 40) END FROM paragraph WHERE length(text) > 60 AND ord % 11 > 0)")
+@query(f"WITH {_made} SELECT pmcid || ':' || section || ':' || char_start || '-' || char_end AS paragraph_id, style, md5(q) AS query_md5 FROM (SELECT pmcid, section, char_start, char_end, 'lexical' AS style, substr(text, 1, 30 + (ord % 4) * 60) AS q FROM paragraph WHERE ord % 11 > 0 UNION ALL SELECT pmcid, section, char_start, char_end, 'paraphrased', CASE ord % 13 WHEN 0 THEN substr(text, 1, 30 + (ord % 4) * 60) ELSE 'what did they find about ' || substr(text, 60, 40) END FROM paragraph WHERE ord % 11 > 0)")
 def paired_rows(spark: S, sf: str) -> D:
     c = made(spark, sf).where("lexical is not null")
     pid = F.concat_ws(":", F.col("pmcid").cast("string"), "section", F.concat_ws("-", F.col("char_start").cast("string"), F.col("char_end").cast("string")))
@@ -260,7 +260,7 @@ def paired_rows(spark: S, sf: str) -> D:
 
 def made_set(spark: S, sf: str) -> D:
     """A set with planted faults: wrong digests, missing styles, lost anchors, copied queries."""
-    c = made(spark, sf).where("lexical is not null and ord % 5 = 2")
+    c = made(spark, sf).where("lexical is not null")
     pid = F.concat_ws(":", F.col("pmcid").cast("string"), F.col("ord").cast("string"))
     row = lambda s: F.struct(F.lit(s).alias("style"), F.col(s).alias("query"))
     two = F.when(F.col("pmcid") % 9 == 0, F.array(row("lexical"))).otherwise(F.array(row("lexical"), row("paraphrased")))
@@ -270,7 +270,7 @@ def made_set(spark: S, sf: str) -> D:
 
 
 _ov = f"round(CASE WHEN len(list_distinct({toks('query')})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({toks('query')}), list_distinct({toks('paragraph')}))) / len(list_distinct({toks('query')}))::DOUBLE END, 4)"
-_set = f"""{PARA}, base AS (SELECT pmcid, section, char_start, CASE WHEN pmcid % 31 = 0 THEN 1000000 ELSE char_end END AS char_end, ord, text AS paragraph, pmcid || ':' || ord AS paragraph_id FROM paragraph WHERE length(text) > 60 AND ord % 11 > 0 AND ord % 5 = 2),
+_set = f"""{PARA}, base AS (SELECT pmcid, section, char_start, CASE WHEN pmcid % 31 = 0 THEN 1000000 ELSE char_end END AS char_end, ord, text AS paragraph, pmcid || ':' || ord AS paragraph_id FROM paragraph WHERE ord % 11 > 0),
 rows AS (SELECT *, 'lexical' AS style, substr(paragraph, 1, 30 + (ord % 4) * 60) AS query FROM base UNION ALL SELECT *, 'paraphrased', CASE ord % 13 WHEN 0 THEN substr(paragraph, 1, 30 + (ord % 4) * 60) ELSE 'what did they find about ' || substr(paragraph, 60, 40) END FROM base WHERE pmcid % 9 > 0),
 whole AS (SELECT r.*, r.pmcid % 31 = 0 AS broken, {_ov} AS share FROM rows r WHERE pmcid % 9 > 0)"""
 
