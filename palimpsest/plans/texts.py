@@ -137,6 +137,7 @@ def extract_quotes(spark: S, sf: str) -> D:
 @query("""WITH s AS (SELECT doc_id, text, (doc_id * 37 % length(text))::BIGINT AS a, least(doc_id * 37 % length(text) + 10, length(text)) AS z FROM documents WHERE length(text) > 0)
 SELECT doc_id, (a - coalesce(nullif(instr(reverse(substr(text, 1, a)), chr(10)), 0), a + 1) + 1)::INTEGER AS char_start, (CASE WHEN instr(substr(text, z + 1), chr(10)) > 0 THEN z + instr(substr(text, z + 1), chr(10)) - 1 ELSE length(text) END)::INTEGER AS char_end FROM s""")
 def expand_to_paragraph(spark: S, sf: str) -> D:
+    """One offset a text, anywhere in it; its whole line comes out."""
     d = docs(spark, sf).where("length(text) > 0").withColumn("a", (F.col("doc_id") * 37 % F.length("text")).cast("int"))
     start, end = T.expand_to_line(F.col("text"), F.col("a"), F.least(F.col("a") + 10, F.length("text")))
     return d.select("doc_id", start.cast("int").alias("char_start"), end.cast("int").alias("char_end"))
@@ -192,6 +193,7 @@ def strip_citations(spark: S, sf: str) -> D:
 @query("""WITH q AS (SELECT doc_id, text, substr(text, 1 + (doc_id * 13 % length(text))::INTEGER, 25) AS quote FROM documents WHERE length(text) > 0)
 SELECT doc_id, (instr(text, trim(quote)) - 1)::INTEGER AS char_start, (instr(text, trim(quote)) - 1 + length(trim(quote)))::INTEGER AS char_end FROM q WHERE trim(quote) <> '' AND NOT regexp_matches(quote, '[ \\t\\n\\r\\f\\x0B\\x{00A0}]{2,}|[\\n\\r\\t‘’“”–—]')""")
 def find_quote(spark: S, sf: str) -> D:
+    """Each whole text is searched for one quote of its own."""
     d = docs(spark, sf).where("length(text) > 0").withColumn("quote", F.substring("text", (1 + F.col("doc_id") * 13 % F.length("text")).cast("int"), F.lit(25)))
     d = d.where((F.trim("quote") != "") & ~F.col("quote").rlike(r"[ \t\n\r\f\x0B\x{00A0}]{2,}|[\n\r\t‘’“”–—]"))
     return d.select("doc_id", labels.found(F.col("text"), F.col("quote")).alias("f")).select("doc_id", "f.char_start", "f.char_end")
