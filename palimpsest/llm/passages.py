@@ -17,12 +17,17 @@ minimum under every hash function, as every exact copy has, and lie in no equal
 more, by a hash of the whole span, with the spans of the same minimum in documents that represent equal
 passages: any other span that equals one of those left over is matched, so that its representative has
 the same span. Whatever meets there is equal, so that one leader finds all of it.
+
+Nor need a first window hold what is near to the others. Spans that share minima under AGREE functions
+or more and lie in no passage meet again by combinations of their minima, with leaders that are drawn
+anew for each combination: the more two texts are alike, the more combinations only they share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,6 +50,12 @@ SIMILARITY = 0.8
 GAP = 2 * WIDTH + 2
 #: Tokens between the starts of stretches that are tried where repeated tokens mislead the counts.
 STRIDE = 4
+#: Hash functions that must agree, at least, on a span whose first partners weren't near: such spans meet
+#: by combinations of minima, which two texts at the threshold share with probability 0.98.
+AGREE = 3
+#: Runs of spans whose combinations are made at once; bounds memory.
+CELLS = 20_000
+EQUAL, SEEKS, LEADS = 0, 1, 2
 
 
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
@@ -159,22 +170,74 @@ def supported(batches: Iterator[pa.RecordBatch], span: int, enough: int) -> Iter
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:6]), pa.array(found[6], pa.list_(pa.int64()))], names=names)
 
 
-def unmatched(batches: Iterator[pa.RecordBatch], span: int, hashes: int) -> Iterator[pa.RecordBatch]:
-    """(id, its shared windows, its equal passages) -> (key, id, lo, hi): windows under the first hash
-    function, as starts lo to hi exclusive, with a span that has a shared minimum under every hash function
-    and lies in no such passage."""
+def left_over(batches: Iterator[pa.RecordBatch], span: int, hashes: int) -> Iterator[pa.RecordBatch]:
+    """(id, its shared windows, its passages) -> (kind, key, id, lo, hi) of starts lo to hi exclusive.
+
+    EQUAL: windows under the first hash function with a span that has a shared minimum under every hash
+    function and lies in no equal passage. Others: runs of spans with the same minima under AGREE hash
+    functions or more, keyed by each AGREE and each AGREE + 1 of them: SEEKS if such a span lies in no
+    passage (but for a fifth), else LEADS. Spans that equal a representative's are left to it."""
+    names = ["kind", "key", "id", "lo", "hi"]
+    slack = span // 5
     for batch in batches:
-        out = [np.zeros((0, 4), np.int64)]
+        equal = [np.zeros((0, 5), np.int64)]
+        cells: list[tuple] = []
+        held = 0
         for i, rows, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             key, pos, _, _ = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in rows.values.flatten())
             base, first, last, count = support(key & 7, pos, span)
-            free = count >= hashes
+            free, seeks, own = count >= hashes, count >= AGREE, count >= AGREE
             for f in found.as_py() or []:
-                free[max(0, f["s"] - base) : max(0, f["e"] - span - WIDTH + 2 - base)] = False
+                s, e = f["s"] - base, f["e"] - span - WIDTH + 2 - base
+                seeks[max(0, s - slack) : max(0, e + slack)] = False
+                if f["equal"]:
+                    free[max(0, s) : max(0, e)] = False
+                    if not f["rep"]:
+                        own[max(0, s) : max(0, e)] = False
             good = np.concatenate([[0], np.cumsum(free)])
             rest = np.flatnonzero((key & 7 == 0) & (good[last - base + 1] > good[first - base]))
-            out.append(np.unique(np.stack([key[rest], np.full(len(rest), i), first[rest], last[rest] + 1], axis=1), axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names=["key", "id", "lo", "hi"])
+            n = len(rest)
+            equal.append(np.unique(np.stack([np.full(n, EQUAL), key[rest], np.full(n, i), first[rest], last[rest] + 1], axis=1), axis=0))
+            if not own.any():
+                continue
+            edge = np.unique(np.concatenate([first, last + 1]))
+            lo, hi = edge[:-1], edge[1:]
+            here = np.concatenate([[0], np.cumsum(own)])
+            some = here[hi - base] > here[lo - base]
+            lo, hi = lo[some], hi[some]
+            minima = np.zeros((len(lo), hashes), np.int64)
+            for k in range(hashes):
+                of = np.flatnonzero(key & 7 == k)
+                if len(of):
+                    of = of[np.argsort(first[of], kind="stable")]
+                    at = of[np.maximum(np.searchsorted(first[of], lo, side="right") - 1, 0)]
+                    minima[:, k] = np.where((first[at] <= lo) & (last[at] >= lo), key[at], 0)
+            seek = np.concatenate([[0], np.cumsum(seeks)])
+            cells.append((np.full(len(lo), i), lo, hi, seek[hi - base] > seek[lo - base], minima))
+            held += len(lo)
+            if held > CELLS:
+                yield from _keyed(cells, hashes, names)
+                cells, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(equal).T], names=names)
+        yield from _keyed(cells, hashes, names)
+
+
+def _keyed(cells: list[tuple], hashes: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of cells of one document that agree in a combination of minima."""
+    if not cells:
+        return
+    i, lo, hi, seeks, minima = (np.concatenate(c) for c in zip(*cells, strict=True))
+    held, each = minima != 0, mix(minima.view(np.uint64))
+    for size in (AGREE, AGREE + 1):
+        for some in combinations(range(hashes), size):
+            rows = np.flatnonzero(held[:, some].all(axis=1))
+            if not len(rows):
+                continue
+            key = mix(each[np.ix_(rows, some)].sum(axis=1, dtype=np.uint64)).view(np.int64)
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[rows[1:]] != i[rows[:-1]]) | (lo[rows[1:]] != hi[rows[:-1]])))
+            end = np.append(new[1:], len(rows)) - 1
+            kind = np.where(np.logical_or.reduceat(seeks[rows], new), SEEKS, LEADS)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, key[new], i[rows[new]], lo[rows[new]], hi[rows[end]])], names=names)
 
 
 def whole_spans(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -296,13 +359,15 @@ def shared_runs(x: np.ndarray, y: np.ndarray, shifts: list[int], span: int, simi
 COLUMNS = ["doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word", "similarity"]
 
 
-def verified(batches: Iterator[pa.RecordBatch], span: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
+def verified(batches: Iterator[pa.RecordBatch], span: int, similarity: float, near_too: bool) -> Iterator[pa.RecordBatch]:
+    """Passages of each pair of regions: equal ones along its shifts, and near ones if ``near_too`` is set or
+    the pair has no shifts."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
             shifts = [s + r["a_lo"] - r["b_lo"] for s in r["shifts"]]
-            for p, q, b, e, share in shared_runs(x, y, shifts, span, similarity, r["b_lo"] - r["a_lo"] if r["a"] == r["b"] else None):
+            for p, q, b, e, share in shared_runs(x, y, shifts, span, similarity if near_too or not shifts else None, r["b_lo"] - r["a_lo"] if r["a"] == r["b"] else None):
                 equal = np.array_equal(x[p : q + 1], y[b : e + 1])
                 rows.append((r["b"], r["b_lo"] + b, r["b_lo"] + e + WIDTH, r["a"], r["a_lo"] + p, r["a_lo"] + q + WIDTH, share, equal))
         frame = pd.DataFrame(list(dict.fromkeys(rows)), columns=[*COLUMNS, "equal"]) if rows else None
@@ -321,7 +386,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity is the Jaccard similarity of the occurrences' five-word shingles, at least
     ``similarity``. An exact stretch inside a longer near one has a row of its own. An exact passage is
     found under every hash function; one at the threshold 0.8 is found under 2 of 6 with probability
-    0.998. Null, empty and shorter texts share nothing, nor do rows
+    0.998 if its first partner is near, and under 3 of 6 with probability 0.98 if only later ones are.
+    Null, empty and shorter texts share nothing, nor do rows
     with a null id. Rows that repeat an id with other texts are documents of their own, also against each
     other, and all go by that id; a row that repeats id and text counts once. Other columns are ignored.
 
@@ -375,14 +441,16 @@ def _shared(texts: DataFrame, span: int, hashes: int, enough: int, similarity: f
     dropped(*parts)
     shared = met.select("id", F.explode("m").alias("m")).where(F.col("m.key").bitwiseAND(7) == 0).select("m.key", "id", "m.pos")
     pairs = written(met.mapInArrow(lambda it: supported(it, span, enough), PAIR), "regions")
-    found = _passages(texts, pairs, span, similarity)
+    found = _passages(texts, pairs, span, similarity, True)
 
-    # a representative's side of an equal passage is matched as well
+    # a representative's side of a passage is matched as well
     equal = found.where("equal")
-    sides = equal.select("doc_id", "start_word", "end_word").union(equal.select(*COLUMNS[3:6]))
-    held = sides.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("found"))
-    free = met.join(held, "id", "left").select("id", "m", "found").mapInArrow(lambda it: unmatched(it, span, hashes), "key long, id long, lo long, hi long")
-    free = written(free, "unmatched")
+    sides = found.select("doc_id", "start_word", "end_word", "equal", F.lit(False).alias("rep")).union(found.select(*COLUMNS[3:6], "equal", F.lit(True)))
+    held = sides.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"), "equal", "rep")).alias("found"))
+    rest = met.join(held, "id", "left").select("id", "m", "found").mapInArrow(lambda it: left_over(it, span, hashes), "kind long, key long, id long, lo long, hi long")
+    rest = written(rest, "unmatched")
+    free = rest.where(F.col("kind") == EQUAL).drop("kind")
+    near = written(_near_pairs(rest.where(F.col("kind") != EQUAL), span), "near")
     # a span may be left over in one document only: its equals elsewhere are then matched, each with a
     # representative's equal span, so that the representatives' windows stand for all of them
     c = F.shiftright("pos", 16)
@@ -390,7 +458,7 @@ def _shared(texts: DataFrame, span: int, hashes: int, enough: int, similarity: f
     of_reps = shared.hint("merge").join(free.select("key").distinct(), "key", "left_semi").join(equal.select(F.col("rep_doc_id").alias("id")).distinct(), "id", "left_semi")
     runs = free.select("id", "lo", "hi").union(of_reps.select("id", start.alias("lo"), stop.alias("hi")))
     runs = written(runs.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
-    dropped(met, free)
+    dropped(met, rest)
     left = texts.join(runs, "id").select("id", "text", "runs")
     left = written(left.mapInArrow(lambda it: whole_spans(it, span), "key long, id long, at long"), "spans")
     groups = left.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1")
@@ -408,13 +476,32 @@ def _shared(texts: DataFrame, span: int, hashes: int, enough: int, similarity: f
     begin, end = F.col("lo") - span, F.col("hi") + 2 * span
     zero = F.lit(0).cast("long")
     more = more.select("a", F.greatest(zero, begin - F.col("shift")).alias("a_lo"), (end - F.col("shift")).alias("a_hi"), F.col("id").alias("b"), F.greatest(zero, begin).alias("b_lo"), end.alias("b_hi"), F.array("shift").alias("shifts"))
-    more = written(more, "regions")
-    dropped(left, runs)
-    found = written(_joined(found.union(_passages(texts, more, span, None))), "passages")
+    more = written(more.union(near), "regions")
+    dropped(left, runs, near)
+    found = written(_joined(found.union(_passages(texts, more, span, similarity, False))), "passages")
     rep = [F.col(c) for c in COLUMNS[3:6]]
     return found.union(found.select(*rep, *rep, F.lit(1.0)).distinct())
 
 
+def _near_pairs(cells: DataFrame, span: int) -> DataFrame:
+    """Regions of runs of spans that lie in no passage yet, each with the leader of its combinations of
+    minima. A combination's two leaders, of those that seek and of those in passages, are drawn by a hash,
+    so that texts which share many of them meet more than one other; each run makes two rows a combination
+    at most, however many documents hold it."""
+    drawn = F.struct(F.xxhash64("key", "id").alias("h"), "id", "lo", "hi")
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, drawn))
+    lead = cells.groupBy("key").agg(of(SEEKS).alias("s"), of(LEADS).alias("l"), F.count("*").alias("n")).where("n > 1 and s is not null")
+    lead = lead.select("key", F.explode(F.array_compact(F.array("s", "l"))).alias("f")).select("key", F.struct("f.id", "f.lo", "f.hi").alias("f"))
+    one = cells.where(F.col("kind") == SEEKS).hint("merge").join(lead, "key").select(F.struct("id", "lo", "hi").alias("s"), "f")
+    one = one.where((F.col("s.id") != F.col("f.id")) | (F.abs(F.col("s.lo") - F.col("f.lo")) >= span + WIDTH - 1)).distinct()
+    one = one.select(F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
+    side = [F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(F.col("b.lo") / (8 * span)).alias("block"), F.floor((F.col("b.lo") - F.col("a.lo")) / (2 * span)).alias("shift")]
+    low = [F.min(f"{x}.lo").alias(f"{x}_lo") for x in "ab"] + [F.max(f"{x}.hi").alias(f"{x}_hi") for x in "ab"]
+    out = one.groupBy(*side).agg(*low)
+    begin = lambda x: F.greatest(F.lit(0).cast("long"), F.col(x) - span)
+    return out.select("a", begin("a_lo").alias("a_lo"), (F.col("a_hi") + 2 * span).alias("a_hi"), "b", begin("b_lo").alias("b_lo"), (F.col("b_hi") + 2 * span).alias("b_hi"), F.array().cast("array<long>").alias("shifts"))
+
+
 def _joined(found: DataFrame) -> DataFrame:
     """Equal stretches that regions cut: those that overlap at one shift are one."""
     near = found.where("not equal").select(COLUMNS).distinct()
@@ -430,9 +517,9 @@ def _joined(found: DataFrame) -> DataFrame:
 PAIR = "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long, shifts array<long>"
 
 
-def _passages(texts: DataFrame, pairs: DataFrame, span: int, similarity: float | None) -> DataFrame:
-    """Passages in pairs of regions, a written table; only equal ones if similarity is None. The table of
-    pairs is gone afterwards."""
+def _passages(texts: DataFrame, pairs: DataFrame, span: int, similarity: float, near_too: bool) -> DataFrame:
+    """Passages in pairs of regions, a written table, as ``verified`` finds them. The table of pairs is gone
+    afterwards."""
     regions = pairs.select(F.col("a").alias("id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(pairs.select("b", "b_lo", "b_hi")).distinct()
     # a document's regions are dealt over a few rows, so that a popular one doesn't become one long list
     regions = regions.groupBy("id", F.pmod(F.xxhash64("lo", "hi"), F.lit(4)).alias("part")).agg(F.collect_list(F.struct("lo", "hi")).alias("regions")).select("id", "regions")
@@ -441,7 +528,7 @@ def _passages(texts: DataFrame, pairs: DataFrame, span: int, similarity: float |
     a = cut.select(F.col("id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("tokens").alias("x"))
     b = cut.select(F.col("id").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("tokens").alias("y"))
     both = pairs.join(a, ["a", "a_lo", "a_hi"]).join(b, ["b", "b_lo", "b_hi"])
-    out = both.mapInArrow(lambda it: verified(it, span, similarity), "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, similarity double, equal boolean")
+    out = both.mapInArrow(lambda it: verified(it, span, similarity, near_too), "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, similarity double, equal boolean")
     out = written(out, "passages")
     dropped(pairs, cut)
     return out

@@ -129,3 +129,56 @@ def test_recall_at_the_least_length(spark):
         rows += [(2 * i, " ".join(text(40) + p + text(40))), (2 * i + 1, " ".join(text(40) + q + text(40)))]
     got = {r["doc_id"] for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) >= 0.99 * 600
+
+
+def family(rng, size=6, length=51):
+    """Passages of a family, apart from each other (0.52 similar to the original), the original, and a copy
+    with one word changed (0.81 similar to it)."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    p = [word() for _ in range(length)]
+    out = []
+    for _ in range(size):
+        q = list(p)
+        for k in rng.sample((6, 9, 12), 1)[0], rng.choice((22, 25, 28)), rng.choice((38, 41, 44)):
+            q[k] = word()
+        out.append(q)
+    return [*out, p, [*p[:25], word(), *p[26:]]]
+
+
+def test_near_copies_after_others_of_their_family(spark):
+    """A near pair is found though earlier documents hold most of its minima, but not it."""
+    rng = random.Random(12)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(60):
+        for q in family(rng):
+            rows.append((len(rows), " ".join(text(40) + q + text(40))))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("similarity < 1").collect()
+    found = {(r["rep_doc_id"], r["doc_id"]) for r in got}
+    assert sum(p in found for p in pairs) >= 57
+
+
+def brute(texts, span=passages.SPAN):
+    """Pairs of documents with spans of ``span`` shingles that start at shifts near each other and are at
+    least 0.8 similar: every span of one against every span of the other."""
+    sets = {}
+    for i, t in texts.items():
+        sh = [tuple(t[k : k + 5]) for k in range(len(t) - 4)]
+        sets[i] = [frozenset(sh[k : k + span]) for k in range(len(sh) - span + 1)]
+    ids = sorted(sets)
+    return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if any(len(x & y) >= 0.8 * len(x | y) for x in sets[a] for y in sets[b])}
+
+
+def test_all_near_passages_of_a_small_table(spark):
+    """Every document that brute force finds in a near pair has a row, and every pair of one row is such a pair."""
+    rng = random.Random(21)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    texts = {}
+    for _ in range(8):
+        for q in family(rng, 3, 60):
+            texts[len(texts)] = text(12) + q + text(9)
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    want = brute(texts)
+    pairs = {(r["rep_doc_id"], r["doc_id"]) for r in got} - {(i, i) for i in texts}
+    assert want and {i for p in want for i in p} == {r["doc_id"] for r in got} and pairs <= want
