@@ -25,7 +25,7 @@ anew for each combination: the more two texts are alike, the more combinations o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._store import dropped, written
 from ._words import BASE, U, mix, powers, shingles, spans, utf8, words
+from .collocations import bit_table, told
 
 WIDTH = 5
 #: 47 shingles are 51 words: passages of over 50 words.
@@ -171,13 +172,12 @@ def supported(batches: Iterator[pa.RecordBatch], span: int, enough: int) -> Iter
 
 
 def left_over(batches: Iterator[pa.RecordBatch], span: int, hashes: int) -> Iterator[pa.RecordBatch]:
-    """(id, its shared windows, its passages) -> (kind, key, id, lo, hi) of starts lo to hi exclusive.
+    """(id, its shared windows, its passages) -> (kind, key, id, lo, hi, minima) of starts lo to hi exclusive.
 
     EQUAL: windows under the first hash function with a span that has a shared minimum under every hash
     function and lies in no equal passage. Others: runs of spans with the same minima under AGREE hash
-    functions or more, keyed by each AGREE and each AGREE + 1 of them: SEEKS if such a span lies in no
-    passage (but for a fifth), else LEADS. Spans that equal a representative's are left to it."""
-    names = ["kind", "key", "id", "lo", "hi"]
+    functions or more. SEEKS, keyed by combinations of minima, if such a span lies in no passage (but for
+    a fifth); else LEADS, with the minima. Spans that equal a representative's are left to it."""
     slack = span // 5
     for batch in batches:
         equal = [np.zeros((0, 5), np.int64)]
@@ -216,28 +216,55 @@ def left_over(batches: Iterator[pa.RecordBatch], span: int, hashes: int) -> Iter
             cells.append((np.full(len(lo), i), lo, hi, seek[hi - base] > seek[lo - base], minima))
             held += len(lo)
             if held > CELLS:
-                yield from _keyed(cells, hashes, names)
+                yield from _cells(cells)
                 cells, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(equal).T], names=names)
-        yield from _keyed(cells, hashes, names)
+        yield from _rows([(np.concatenate(equal).T, None)])
+        yield from _cells(cells)
 
 
-def _keyed(cells: list[tuple], hashes: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of cells of one document that agree in a combination of minima."""
-    if not cells:
-        return
-    i, lo, hi, seeks, minima = (np.concatenate(c) for c in zip(*cells, strict=True))
+def _cells(cells: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if cells:
+        i, lo, hi, seeks, minima = (np.concatenate(c) for c in zip(*cells, strict=True))
+        yield from _rows((np.stack([np.full(len(c[0]), SEEKS), *c]), None) for c in _keyed(i[seeks], lo[seeks], hi[seeks], minima[seeks]))
+        i, lo, hi, minima = (x[~seeks] for x in (i, lo, hi, minima))
+        yield from _rows([(np.stack([np.full(len(i), LEADS), np.zeros(len(i), np.int64), i, lo, hi]), minima)])
+
+
+def _rows(parts: Iterable[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
+    for part, minima in parts:
+        if part.shape[1]:
+            kind = pa.list_(pa.int64())
+            own = pa.nulls(part.shape[1], kind) if minima is None else pa.ListArray.from_arrays(np.arange(0, minima.size + 1, minima.shape[1], dtype=np.int32), minima.ravel())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in part), own], names=["kind", "key", "id", "lo", "hi", "minima"])
+
+
+def sought(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, lo, hi, minima) -> (kind, key, id, lo, hi): combinations of minima whose bits are set."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        minima = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for s in range(0, len(i), CELLS):
+            e = s + CELLS
+            for key, *where in _keyed(i[s:e], lo[s:e], hi[s:e], minima[s:e]):
+                good = told(key.view(np.uint64), bits)
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), LEADS)), pa.array(key[good]), *(pa.array(c[good]) for c in where)], names=["kind", "key", "id", "lo", "hi"])
+
+
+def _keyed(i: np.ndarray, lo: np.ndarray, hi: np.ndarray, minima: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, id, lo, hi) of each run of cells of one document that agree in AGREE or AGREE + 1 minima; 0 is none."""
     held, each = minima != 0, mix(minima.view(np.uint64))
     for size in (AGREE, AGREE + 1):
-        for some in combinations(range(hashes), size):
+        for some in combinations(range(minima.shape[1]), size):
             rows = np.flatnonzero(held[:, some].all(axis=1))
             if not len(rows):
                 continue
             key = mix(each[np.ix_(rows, some)].sum(axis=1, dtype=np.uint64)).view(np.int64)
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[rows[1:]] != i[rows[:-1]]) | (lo[rows[1:]] != hi[rows[:-1]])))
             end = np.append(new[1:], len(rows)) - 1
-            kind = np.where(np.logical_or.reduceat(seeks[rows], new), SEEKS, LEADS)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, key[new], i[rows[new]], lo[rows[new]], hi[rows[end]])], names=names)
+            yield key[new], i[rows[new]], lo[rows[new]], hi[rows[end]]
 
 
 def whole_spans(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -447,10 +474,10 @@ def _shared(texts: DataFrame, span: int, hashes: int, enough: int, similarity: f
     equal = found.where("equal")
     sides = found.select("doc_id", "start_word", "end_word", "equal", F.lit(False).alias("rep")).union(found.select(*COLUMNS[3:6], "equal", F.lit(True)))
     held = sides.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"), "equal", "rep")).alias("found"))
-    rest = met.join(held, "id", "left").select("id", "m", "found").mapInArrow(lambda it: left_over(it, span, hashes), "kind long, key long, id long, lo long, hi long")
+    rest = met.join(held, "id", "left").select("id", "m", "found").mapInArrow(lambda it: left_over(it, span, hashes), f"{CELL}, minima array<long>")
     rest = written(rest, "unmatched")
-    free = rest.where(F.col("kind") == EQUAL).drop("kind")
-    near = written(_near_pairs(rest.where(F.col("kind") != EQUAL), span), "near")
+    free = rest.where(F.col("kind") == EQUAL).select("key", "id", "lo", "hi")
+    near = written(_near_pairs(rest, span), "near")
     # a span may be left over in one document only: its equals elsewhere are then matched, each with a
     # representative's equal span, so that the representatives' windows stand for all of them
     c = F.shiftright("pos", 16)
@@ -483,11 +510,15 @@ def _shared(texts: DataFrame, span: int, hashes: int, enough: int, similarity: f
     return found.union(found.select(*rep, *rep, F.lit(1.0)).distinct())
 
 
-def _near_pairs(cells: DataFrame, span: int) -> DataFrame:
+def _near_pairs(rest: DataFrame, span: int) -> DataFrame:
     """Regions of runs of spans that lie in no passage yet, each with the leader of its combinations of
     minima. A combination's two leaders, of those that seek and of those in passages, are drawn by a hash,
     so that texts which share many of them meet more than one other; each run makes two rows a combination
-    at most, however many documents hold it."""
+    at most, however many documents hold it. Runs in passages make rows for combinations only that some
+    run seeks, as a bit table of fixed size tells; a bit set by chance costs work, not results."""
+    seek = rest.where(F.col("kind") == SEEKS).drop("minima")
+    bits = rest.sparkSession.sparkContext.broadcast(bit_table(seek.select(F.col("key").alias("h"))))
+    cells = seek.union(rest.where(F.col("kind") == LEADS).select("id", "lo", "hi", "minima").mapInArrow(lambda it: sought(it, bits.value), CELL))
     drawn = F.struct(F.xxhash64("key", "id").alias("h"), "id", "lo", "hi")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, drawn))
     lead = cells.groupBy("key").agg(of(SEEKS).alias("s"), of(LEADS).alias("l"), F.count("*").alias("n")).where("n > 1 and s is not null")
@@ -514,6 +545,7 @@ def _joined(found: DataFrame) -> DataFrame:
     return near.union(whole.select(COLUMNS))
 
 
+CELL = "kind long, key long, id long, lo long, hi long"
 PAIR = "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long, shifts array<long>"
 
 
