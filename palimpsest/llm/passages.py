@@ -529,8 +529,10 @@ def _near_pairs(rest: DataFrame, span: int) -> DataFrame:
     side = [F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(F.col("b.lo") / (8 * span)).alias("block"), F.floor((F.col("b.lo") - F.col("a.lo")) / (2 * span)).alias("shift")]
     low = [F.min(f"{x}.lo").alias(f"{x}_lo") for x in "ab"] + [F.max(f"{x}.hi").alias(f"{x}_hi") for x in "ab"]
     out = one.groupBy(*side).agg(*low)
-    begin = lambda x: F.greatest(F.lit(0).cast("long"), F.col(x) - span)
-    return out.select("a", begin("a_lo").alias("a_lo"), (F.col("a_hi") + 2 * span).alias("a_hi"), "b", begin("b_lo").alias("b_lo"), (F.col("b_hi") + 2 * span).alias("b_hi"), F.array().cast("array<long>").alias("shifts"))
+    # a span and what it may reach over: most of these pairs are alike by chance, and tokens are what travels
+    begin = lambda x: F.greatest(F.lit(0).cast("long"), F.col(x) - GAP)
+    end = lambda x: F.col(x) + (span + GAP)
+    return out.select("a", begin("a_lo").alias("a_lo"), end("a_hi").alias("a_hi"), "b", begin("b_lo").alias("b_lo"), end("b_hi").alias("b_hi"), F.array().cast("array<long>").alias("shifts"))
 
 
 def _joined(found: DataFrame) -> DataFrame:
