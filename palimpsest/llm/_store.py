@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared
 
@@ -26,3 +26,8 @@ def dropped(*tables: DataFrame) -> None:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         jvm.System.gc()
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark take shuffle files that nothing refers to from the disk."""
+    spark.sparkContext._jvm.System.gc()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._store import dropped, written
+from ._store import dropped, released, written
 from ._words import BASE, U, mix, powers, shingles, spans, utf8, words
 from .collocations import bit_table, told
 
@@ -290,16 +290,41 @@ def whole_spans(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Rec
 
 
 def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, regions) -> (id, lo, hi, tokens) for each region; a region may reach over the end."""
+    """(id, text, regions) -> (id, lo, hi, tokens, prints) for each region; a region may reach over the end.
+    prints are the first 16 bits of each token."""
     for batch in batches:
         for first, end, h, at in row_shingles(batch.column(1)):
-            out: list[list] = [[], [], [], []]
+            short = (h >> U(48)).astype(np.uint16)
+            out: list[list] = [[], [], [], [], []]
             for i in range(first, end):
-                own = h[at[i - first] : at[i - first + 1]]
+                own = slice(at[i - first], at[i - first + 1])
                 for region in batch.column(2)[i].as_py():
-                    for col, value in zip(out, [batch.column(0)[i].as_py(), region["lo"], region["hi"], own[region["lo"] : region["hi"] + 1].tobytes()], strict=True):
+                    part = slice(region["lo"], region["hi"] + 1)
+                    for col, value in zip(out, [batch.column(0)[i].as_py(), region["lo"], region["hi"], h[own][part].tobytes(), short[own][part].tobytes()], strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["id", "lo", "hi", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], names=["id", "lo", "hi", "tokens", "prints"])
+
+
+def alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of regions, with their prints x and y last, of which y has ``least`` prints or more that x has.
+    Equal tokens have equal prints, so that no pair goes which has as many equal tokens."""
+    seen = np.zeros(1 << 16, bool)
+    for batch in batches:
+        keep = []
+        for left, right in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+            x, y = np.frombuffer(left.as_buffer(), np.uint16), np.frombuffer(right.as_buffer(), np.uint16)
+            seen[x] = True
+            keep.append(int(seen[y].sum()) >= least)
+            seen[x] = False
+        rows = batch.select(range(batch.num_columns - 2))
+        yield rows.filter(pa.array(keep, pa.bool_()))
+
+
+def named(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column, a hash, has its bit set; without the hash."""
+    for batch in batches:
+        good = told(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+        yield batch.select(range(1, batch.num_columns)).filter(pa.array(good))
 
 
 def covering(first: list[int], last: list[int], names: list[int]) -> list[int]:
@@ -553,16 +578,30 @@ PAIR = "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long, shifts array
 
 def _passages(texts: DataFrame, pairs: DataFrame, span: int, similarity: float, near_too: bool) -> DataFrame:
     """Passages in pairs of regions, a written table, as ``verified`` finds them. The table of pairs is gone
-    afterwards."""
+    afterwards.
+
+    Most pairs are alike by chance. So the first 16 bits of the tokens meet first, and the tokens themselves
+    travel only for pairs that hold as many equal ones as the shortest passage at the threshold needs."""
+    spark = texts.sparkSession
     regions = pairs.select(F.col("a").alias("id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(pairs.select("b", "b_lo", "b_hi")).distinct()
     # a document's regions are dealt over a few rows, so that a popular one doesn't become one long list
     regions = regions.groupBy("id", F.pmod(F.xxhash64("lo", "hi"), F.lit(4)).alias("part")).agg(F.collect_list(F.struct("lo", "hi")).alias("regions")).select("id", "regions")
-    cut = texts.hint("merge").join(regions, "id").select("id", "text", "regions").mapInArrow(excerpts, "id long, lo long, hi long, tokens binary")
-    cut = written(cut.dropDuplicates(["id", "lo", "hi"]), "excerpts")
-    a = cut.select(F.col("id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("tokens").alias("x"))
-    b = cut.select(F.col("id").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("tokens").alias("y"))
-    both = pairs.join(a, ["a", "a_lo", "a_hi"]).join(b, ["b", "b_lo", "b_hi"])
-    out = both.mapInArrow(lambda it: verified(it, span, similarity, near_too), "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, similarity double, equal boolean")
+    # ids are unique and regions distinct, hence the excerpts are
+    cut = texts.hint("merge").join(regions, "id").select("id", "text", "regions").mapInArrow(excerpts, "id long, lo long, hi long, tokens binary, prints binary")
+    cut = written(cut, "excerpts")
+    released(spark)
+
+    def met(pairs: DataFrame, cut: DataFrame, column: str) -> DataFrame:
+        side = lambda p, name: cut.select(F.col("id").alias(p), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"), F.col(column).alias(name))
+        return pairs.join(side("a", "x"), ["a", "a_lo", "a_hi"]).join(side("b", "y"), ["b", "b_lo", "b_hi"]).select(*pairs.columns, "x", "y")
+
+    close = written(met(pairs, cut, "prints").mapInArrow(lambda it: alike(it, similarity * span), PAIR), "alike")
+    dropped(pairs)
+    key = F.xxhash64("id", "lo", "hi")
+    wanted = close.select(F.explode(F.array(*(F.struct(F.col(p).alias("id"), F.col(f"{p}_lo").alias("lo"), F.col(f"{p}_hi").alias("hi")) for p in "ab"))).alias("r")).select("r.*")
+    bits = spark.sparkContext.broadcast(bit_table(wanted.select(key.alias("h"))))
+    kept = cut.select(key.alias("h"), "id", "lo", "hi", "tokens").mapInArrow(lambda it: named(it, bits.value), "id long, lo long, hi long, tokens binary")
+    out = met(close, kept, "tokens").mapInArrow(lambda it: verified(it, span, similarity, near_too), "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, similarity double, equal boolean")
     out = written(out, "passages")
-    dropped(pairs, cut)
+    dropped(close, cut)
     return out

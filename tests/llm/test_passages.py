@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from palimpsest.llm import passages
 
@@ -182,3 +183,28 @@ def test_all_near_passages_of_a_small_table(spark):
     want = brute(texts)
     pairs = {(r["rep_doc_id"], r["doc_id"]) for r in got} - {(i, i) for i in texts}
     assert want and {i for p in want for i in p} == {r["doc_id"] for r in got} and pairs <= want
+
+
+def test_tokens_travel_for_pairs_alike_in_prints_only():
+    rng = random.Random(8)
+    x = np.array([rng.getrandbits(64) for _ in range(90)], np.uint64)
+    near = x[20:70].copy()
+    near[[10, 30]] = [rng.getrandbits(64) for _ in range(2)]
+    others = [np.array([rng.getrandbits(64) for _ in range(n)], np.uint64) for n in (90, 50)]
+    few = np.concatenate([x[:30], others[1]])
+    short = lambda t: (t >> np.uint64(48)).astype(np.uint16).tobytes()
+    rows = [x, near, few, *others, x[:0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([short(x)] * len(rows)), pa.array([short(y) for y in rows])], names=["n", "x", "y"])
+    kept = [n for out in passages.alike(iter([batch]), passages.SIMILARITY * passages.SPAN) for n in out.column(0).to_pylist()]
+    assert kept == [0, 1]
+    found = [n for n, y in enumerate(rows) if passages.shared_runs(x, y, [], passages.SPAN, passages.SIMILARITY)]
+    assert set(found) <= set(kept)
+
+
+def test_excerpts_hold_the_prints_of_their_tokens():
+    text = " ".join(f"w{i}" for i in range(80))
+    regions = pa.array([[{"lo": 3, "hi": 60}, {"lo": 70, "hi": 500}]])
+    (out,) = passages.excerpts(iter([pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text]), regions], names=["id", "text", "regions"])]))
+    tokens, prints = ([np.frombuffer(b, t) for b in out.column(c).to_pylist()] for c, t in (("tokens", np.uint64), ("prints", np.uint16)))
+    assert [len(t) for t in tokens] == [58, 6]
+    assert all(np.array_equal((t >> np.uint64(48)).astype(np.uint16), p) for t, p in zip(tokens, prints, strict=True))
