@@ -66,6 +66,37 @@ def spans(starts: np.ndarray, ends: np.ndarray, most: int, rows: int = 1000) ->
         lo = hi
 
 
+#: Sums of two adjacent bytes, then of a last one.
+TWO = np.concatenate([(BYTE + (BYTE * BASE)[:, None]).ravel(), BYTE])
+#: Bytes of a word from which on it is summed by itself.
+LONG = 64
+
+
+def _sums(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of each word's bytes, as BYTE has them, times the power of the place in the word."""
+    size = end - begin
+    code = data.astype(np.int32)
+    code[:-1] |= code[1:] << 8
+    code[end - 1] = data[end - 1].astype(np.int32) + 65536
+    # by length, longest first, so that the words which go on are always the first ones
+    short = np.minimum(size, LONG + 1).astype(np.uint8)
+    order = np.argsort(short, kind="stable")[::-1]
+    longer = len(order) - np.cumsum(np.bincount(short, minlength=LONG + 2))
+    at = begin[order]
+    sums = np.zeros(len(order), np.uint64)
+    for k, scale in enumerate(powers(LONG)[::2].tolist()):
+        n = int(longer[2 * k])
+        if not n:
+            break
+        sums[:n] += TWO.take(code.take(at[:n] + 2 * k)) * U(scale)
+    for n in range(int(longer[LONG])):
+        word = data[begin[order[n]] : end[order[n]]]
+        sums[n] = (BYTE[word] * powers(len(word))).sum(dtype=np.uint64)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each row's first word, with the total at the end) of adjacent rows."""
     a, b = int(starts[0]), int(ends.max())
@@ -75,8 +106,8 @@ def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
             middle = a + MOST_AT_ONCE // 2 + int(cut[0])
             h = np.concatenate([words(raw, starts, np.array([middle]))[0], words(raw, np.array([middle]), ends)[0]])
             return h, np.array([0, len(h)], np.int64)
-    data = LOWER[raw[a:b]]
-    gap = SPACE[data]
+    lower = raw[a:b].tobytes().translate(LOWER.tobytes())
+    data, gap = np.frombuffer(lower, np.uint8), np.frombuffer(lower.translate(SPACE.tobytes()), bool)
     first = np.zeros(len(data) + 1, bool)
     first[starts[starts < b] - a] = True
     first[ends[ends <= b] - a] = True
@@ -87,21 +118,7 @@ def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     close = inside.copy()
     close[:-1] &= gap[1:] | first[1:-1]
     close = np.flatnonzero(close)
-    upto = np.zeros(len(data) + 1, np.uint64)
-    width = np.arange(len(data), dtype=np.int64)
-    if len(begin):
-        # the power of a byte is its place in its word, so that no inverse powers are needed
-        own = np.zeros(len(data), np.int64)
-        own[begin[1:]] = np.diff(begin)
-        own[begin[0]] = begin[0]
-        place = width - np.cumsum(own)
-        place[gap] = 0
-        place = np.clip(place, 0, None)
-        value = BYTE[data] * powers(int(place.max(initial=0)) + 1)[place]
-        value[gap] = 0
-        np.cumsum(value, out=upto[1:])
-    size = (close - begin + 1).astype(np.uint64)
-    h = mix(upto[close + 1] - upto[begin] + size * STEP)
+    h = mix(_sums(data, begin, close + 1) + (close - begin + 1).astype(np.uint64) * STEP)
     return h, np.searchsorted(begin, np.append(starts - a, b - a)).astype(np.int64)
 
 
@@ -115,15 +132,19 @@ def shingles(word: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarr
     begin = at[row] + np.arange(out_at[-1]) - out_at[row]
     long = np.minimum(n[row], width)
     padded = np.concatenate([word, np.zeros(width, np.uint64)])
-    h = long.astype(np.uint64) * STEP
+    # sums from every word on; rows of fewer words have theirs summed up to their end
+    whole = np.zeros(len(word), np.uint64)
     scale = U(1)
+    few = np.flatnonzero(long < width)
+    part = np.zeros(len(few), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            part = padded[begin + k] * scale
-            if k:
-                part[long <= k] = 0
-            h += part
+            whole += padded[k : k + len(word)] * scale
+            part += np.where(long[few] > k, padded[begin[few] + k], U(0)) * scale
             scale = scale * BASE
+        h = whole[begin]
+        h[few] = part
+        h += long.astype(np.uint64) * STEP
     return mix(h), out_at
 
 

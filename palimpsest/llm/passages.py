@@ -54,8 +54,12 @@ STRIDE = 4
 #: Hash functions that must agree, at least, on a span whose first partners weren't near: such spans meet
 #: by combinations of minima, which two texts at the threshold share with probability 0.98.
 AGREE = 3
-#: Runs of spans whose combinations are made at once; bounds memory.
+#: Windows, and runs of spans whose combinations are made, at once; bounds memory.
 CELLS = 20_000
+#: Tokens that are compared along shifts at once; bounds memory.
+AT_A_TIME = 1 << 18
+#: Words of a document whose regions are cut out together.
+BLOCK = 4096
 EQUAL, SEEKS, LEADS = 0, 1, 2
 
 
@@ -104,7 +108,7 @@ def compact_windows(v: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarra
     return place, first, last
 
 
-def row_shingles(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def row_shingles(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, starts, ends = utf8(texts)
     for lo, hi in spans(starts, ends, most):
         h, at = shingles(*words(raw, starts[lo:hi], ends[lo:hi]), WIDTH)
@@ -128,19 +132,57 @@ def windows(batches: Iterator[pa.RecordBatch], span: int, functions: range) -> I
                 yield pa.RecordBatch.from_arrays([pa.array(v[place].view(np.int64)), pa.array(ids[lo + row].astype(np.int64)), pa.array(pos)], names=["key", "id", "pos"])
 
 
-def support(fn: np.ndarray, pos: np.ndarray, span: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(base, first and last start of each window, for each start from base on the number of hash
-    functions under which a window has it)."""
-    c = pos >> 16
-    first, last = c - ((pos >> 8) & 255), c + (pos & 255) - span + 1
-    base = int(first.min())
-    count = np.zeros(int(last.max()) - base + 2, np.int64)
-    for k in np.unique(fn):
-        edge = np.zeros(len(count) + 1, np.int64)
-        np.add.at(edge, first[fn == k] - base, 1)
-        np.add.at(edge, last[fn == k] - base + 1, -1)
-        count += np.cumsum(edge)[:-1] > 0
-    return base, first, last, count
+class Shared:
+    """Shared windows of a few documents, one behind the other. Starts of spans lie side by side: start n of
+    document d is place n + shift[d], and document d's places end before edge[d + 1]."""
+
+    def __init__(self, at: np.ndarray, rows: list[pa.Array], span: int):
+        self.key, self.pos, self.a, self.apos = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in rows)
+        self.doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.fn, self.center = self.key & 7, self.pos >> 16
+        self.first, self.last = self.center - ((self.pos >> 8) & 255), self.center + (self.pos & 255) - span + 1
+        base = np.minimum.reduceat(self.first, at[:-1])
+        self.edge = np.concatenate([[0], np.cumsum(np.maximum.reduceat(self.last, at[:-1]) - base + 2)])
+        self.shift = self.edge[:-1] - base
+        self.begin, self.end = self.first + self.shift[self.doc], self.last + self.shift[self.doc] + 1
+        self.count = np.zeros(self.edge[-1], np.int64)
+        for k in np.unique(self.fn):
+            of = self.fn == k
+            self.count += self.inside(self.begin[of], self.end[of])
+
+    def inside(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each place lies in one of the ranges."""
+        n = int(self.edge[-1])
+        return np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] > 0
+
+    def having(self, places: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each range has one of the places that are set."""
+        upto = np.concatenate([[0], np.cumsum(places)])
+        return upto[end] > upto[begin]
+
+
+def _fields(lists: pa.Array, *names: str) -> list[pa.Array]:
+    """Fields of all structs that the lists hold, one list behind the other."""
+    flat = lists.flatten()
+    columns = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+    return [columns[name] for name in names]
+
+
+def shared_windows(batch: pa.RecordBatch, span: int) -> Iterator[tuple[slice, Shared]]:
+    """(b, shared windows of document b, ..) -> runs of rows with about CELLS windows or AT_A_TIME tokens
+    together; bounds memory."""
+    at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if at[-1] == 0:
+        return
+    rows = _fields(batch.column(1), "key", "pos", "a", "apos")
+    place = rows[1].to_numpy(zero_copy_only=False) >> 16
+    long = np.cumsum(np.maximum.reduceat(place, at[:-1]) + 2 * span)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(np.searchsorted(at, at[lo] + CELLS, side="right") - 1, np.searchsorted(long, (long[lo - 1] if lo else 0) + AT_A_TIME, side="right"))
+        hi = max(int(hi), lo + 1)
+        yield slice(lo, hi), Shared(at[lo : hi + 1] - at[lo], [r.slice(at[lo], at[hi] - at[lo]) for r in rows], span)
+        lo = hi
 
 
 def supported(batches: Iterator[pa.RecordBatch], span: int, enough: int) -> Iterator[pa.RecordBatch]:
@@ -149,26 +191,27 @@ def supported(batches: Iterator[pa.RecordBatch], span: int, enough: int) -> Iter
     A start of a span counts under a hash function if a shared window of that function has it."""
     names = ["a", "a_lo", "a_hi", "b", "b_lo", "b_hi", "shifts"]
     for batch in batches:
-        found: list[list] = [[] for _ in names]
-        for b, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = rows.values.flatten()
-            key, pos, a, apos = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in rows)
-            c, ac = pos >> 16, apos >> 16
-            base, first, last, count = support(key & 7, pos, span)
-            good = np.concatenate([[0], np.cumsum(count >= enough)])
-            keep = good[last - base + 1] > good[first - base]
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for part, w in shared_windows(batch, span):
+            b, a, c, ac = ids[part][w.doc], w.a, w.center, w.apos >> 16
+            keep = w.having(w.count >= enough, w.begin, w.end)
             keep &= (a != b) | (c - ac >= span + WIDTH - 1)  # in one document, occurrences apart
-            order = np.lexsort((ac[keep], c[keep], a[keep]))
-            a, c, ac = a[keep][order], c[keep][order], ac[keep][order]
-            if not len(a):
+            order = np.flatnonzero(keep)
+            order = order[np.lexsort((ac[order], c[order], a[order], w.doc[order]))]
+            if not len(order):
                 continue
+            a, b, c, ac, doc = a[order], b[order], c[order], ac[order], w.doc[order]
             # anchors of one document that follow each other in both make one region
-            cut = np.flatnonzero((a[1:] != a[:-1]) | (c[1:] - c[:-1] > 2 * span) | (np.abs(ac[1:] - ac[:-1]) > 2 * span)) + 1
-            for s, e in zip(np.append(0, cut), np.append(cut, len(a)), strict=True):
-                shift = np.unique(c[s:e] - ac[s:e])
-                for col, value in zip(found, [int(a[s]), int(max(0, ac[s:e].min() - span)), int(ac[s:e].max() + span), b, int(max(0, c[s:e].min() - span)), int(c[s:e].max() + span), shift.tolist()], strict=True):
-                    col.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:6]), pa.array(found[6], pa.list_(pa.int64()))], names=names)
+            cut = (doc[1:] != doc[:-1]) | (a[1:] != a[:-1]) | (c[1:] - c[:-1] > 2 * span) | (np.abs(ac[1:] - ac[:-1]) > 2 * span)
+            region = np.concatenate([[0], np.cumsum(cut)])
+            s = np.flatnonzero(np.append(True, cut))
+            shift = c - ac
+            by = np.lexsort((shift, region))
+            by = by[np.append(True, (region[by][1:] != region[by][:-1]) | (shift[by][1:] != shift[by][:-1]))]
+            shifts = pa.ListArray.from_arrays(np.searchsorted(region[by], np.arange(len(s) + 1)).astype(np.int32), shift[by])
+            low = lambda x: np.maximum(0, np.minimum.reduceat(x, s) - span)  # noqa: B023, E731
+            high = lambda x: np.maximum.reduceat(x, s) + span  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a[s], low(ac), high(ac), b[s], low(c), high(c))), shifts], names=names)
 
 
 def left_over(batches: Iterator[pa.RecordBatch], span: int, hashes: int) -> Iterator[pa.RecordBatch]:
@@ -180,54 +223,42 @@ def left_over(batches: Iterator[pa.RecordBatch], span: int, hashes: int) -> Iter
     a fifth); else LEADS, with the minima. Spans that equal a representative's are left to it."""
     slack = span // 5
     for batch in batches:
-        equal = [np.zeros((0, 5), np.int64)]
-        cells: list[tuple] = []
-        held = 0
-        for i, rows, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            key, pos, _, _ = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in rows.values.flatten())
-            base, first, last, count = support(key & 7, pos, span)
-            free, seeks, own = count >= hashes, count >= AGREE, count >= AGREE
-            for f in found.as_py() or []:
-                s, e = f["s"] - base, f["e"] - span - WIDTH + 2 - base
-                seeks[max(0, s - slack) : max(0, e + slack)] = False
-                if f["equal"]:
-                    free[max(0, s) : max(0, e)] = False
-                    if not f["rep"]:
-                        own[max(0, s) : max(0, e)] = False
-            good = np.concatenate([[0], np.cumsum(free)])
-            rest = np.flatnonzero((key & 7 == 0) & (good[last - base + 1] > good[first - base]))
-            n = len(rest)
-            equal.append(np.unique(np.stack([np.full(n, EQUAL), key[rest], np.full(n, i), first[rest], last[rest] + 1], axis=1), axis=0))
-            if not own.any():
-                continue
-            edge = np.unique(np.concatenate([first, last + 1]))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for part, w in shared_windows(batch, span):
+            found = batch.column(2)[part]
+            doc = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            s, e, equal, rep = (x.to_numpy(zero_copy_only=False) for x in _fields(found, "s", "e", "equal", "rep"))
+
+            def outside(some: np.ndarray, reach: int) -> np.ndarray:
+                begin, end = (np.clip(x + w.shift[doc], w.edge[doc], w.edge[doc + 1])[some] for x in (s - reach, e - span - WIDTH + 2 + reach))  # noqa: B023
+                return ~w.inside(begin[end > begin], end[end > begin])  # noqa: B023
+
+            free = (w.count >= hashes) & outside(equal, 0)
+            own = (w.count >= AGREE) & outside(equal & ~rep, 0)
+            seeks = (w.count >= AGREE) & outside(np.ones(len(s), bool), slack)
+            rest = np.flatnonzero((w.fn == 0) & w.having(free, w.begin, w.end))
+            yield from _rows([(np.stack([np.full(len(rest), EQUAL), w.key[rest], ids[part][w.doc[rest]], w.first[rest], w.last[rest] + 1]), None)])
+            edge = np.unique(np.concatenate([w.begin, w.end]))
             lo, hi = edge[:-1], edge[1:]
-            here = np.concatenate([[0], np.cumsum(own)])
-            some = here[hi - base] > here[lo - base]
+            some = w.having(own, lo, hi)
             lo, hi = lo[some], hi[some]
+            if not len(lo):
+                continue
             minima = np.zeros((len(lo), hashes), np.int64)
             for k in range(hashes):
-                of = np.flatnonzero(key & 7 == k)
+                of = np.flatnonzero(w.fn == k)
                 if len(of):
-                    of = of[np.argsort(first[of], kind="stable")]
-                    at = of[np.maximum(np.searchsorted(first[of], lo, side="right") - 1, 0)]
-                    minima[:, k] = np.where((first[at] <= lo) & (last[at] >= lo), key[at], 0)
-            seek = np.concatenate([[0], np.cumsum(seeks)])
-            cells.append((np.full(len(lo), i), lo, hi, seek[hi - base] > seek[lo - base], minima))
-            held += len(lo)
-            if held > CELLS:
-                yield from _cells(cells)
-                cells, held = [], 0
-        yield from _rows([(np.concatenate(equal).T, None)])
-        yield from _cells(cells)
-
-
-def _cells(cells: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if cells:
-        i, lo, hi, seeks, minima = (np.concatenate(c) for c in zip(*cells, strict=True))
-        yield from _rows((np.stack([np.full(len(c[0]), SEEKS), *c]), None) for c in _keyed(i[seeks], lo[seeks], hi[seeks], minima[seeks]))
-        i, lo, hi, minima = (x[~seeks] for x in (i, lo, hi, minima))
-        yield from _rows([(np.stack([np.full(len(i), LEADS), np.zeros(len(i), np.int64), i, lo, hi]), minima)])
+                    of = of[np.argsort(w.begin[of], kind="stable")]
+                    at = of[np.maximum(np.searchsorted(w.begin[of], lo, side="right") - 1, 0)]
+                    minima[:, k] = np.where((w.begin[at] <= lo) & (w.end[at] > lo), w.key[at], 0)
+            doc = np.searchsorted(w.edge, lo, side="right") - 1
+            yield from _cells(ids[part][doc], lo - w.shift[doc], hi - w.shift[doc], w.having(seeks, lo, hi), minima)
+
+
+def _cells(i: np.ndarray, lo: np.ndarray, hi: np.ndarray, seeks: np.ndarray, minima: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _rows((np.stack([np.full(len(c[0]), SEEKS), *c]), None) for c in _keyed(i[seeks], lo[seeks], hi[seeks], minima[seeks]))
+    i, lo, hi, minima = (x[~seeks] for x in (i, lo, hi, minima))
+    yield from _rows([(np.stack([np.full(len(i), LEADS), np.zeros(len(i), np.int64), i, lo, hi]), minima)])
 
 
 def _rows(parts: Iterable[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
@@ -293,16 +324,28 @@ def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, regions) -> (id, lo, hi, tokens, prints) for each region; a region may reach over the end.
     prints are the first 16 bits of each token."""
     for batch in batches:
-        for first, end, h, at in row_shingles(batch.column(1)):
-            short = (h >> U(48)).astype(np.uint16)
-            out: list[list] = [[], [], [], [], []]
-            for i in range(first, end):
-                own = slice(at[i - first], at[i - first + 1])
-                for region in batch.column(2)[i].as_py():
-                    part = slice(region["lo"], region["hi"] + 1)
-                    for col, value in zip(out, [batch.column(0)[i].as_py(), region["lo"], region["hi"], h[own][part].tobytes(), short[own][part].tobytes()], strict=True):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], names=["id", "lo", "hi", "tokens", "prints"])
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for begin, end, h, at in row_shingles(batch.column(1)):
+            regions = batch.column(2)[begin:end]
+            row = np.repeat(np.arange(end - begin), regions.value_lengths().to_numpy(zero_copy_only=False))
+            lo, hi = (x.to_numpy(zero_copy_only=False) for x in _fields(regions, "lo", "hi"))
+            first = np.minimum(at[row] + lo, at[row + 1])
+            size = np.maximum(0, np.minimum(at[row] + hi + 1, at[row + 1]) - first)
+            upto = np.concatenate([[0], np.cumsum(size)])
+            # about a million tokens at once: regions of one document may overlap in great numbers
+            s = 0
+            while s < len(row):
+                e = max(s + 1, int(np.searchsorted(upto, upto[s] + 4 * AT_A_TIME, side="right")) - 1)
+                tokens = h[np.repeat(first[s:e] - upto[s:e], size[s:e]) + np.arange(upto[s], upto[e])]
+                sizes = upto[s : e + 1] - upto[s]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[begin:end][row[s:e]]), pa.array(lo[s:e]), pa.array(hi[s:e]), _blobs(tokens, sizes), _blobs((tokens >> U(48)).astype(np.uint16), sizes)], names=["id", "lo", "hi", "tokens", "prints"])
+                s = e
+
+
+def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of ``values``."""
+    offsets = (at * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
 def alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -339,46 +382,99 @@ def covering(first: list[int], last: list[int], names: list[int]) -> list[int]:
     return out
 
 
+def equal_runs(x: np.ndarray, y: np.ndarray, x_at: np.ndarray, y_at: np.ndarray, pair: np.ndarray, shift: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``pair`` and ``shift``, first, end exclusive) of the stretches of at least ``span`` tokens of
+    the pair's x that equal those of its y along the shift, in order. Pair n has the tokens from x_at[n] and
+    y_at[n] on to the next pair's; y[i + shift] stands against x[i]."""
+    lo = np.maximum(0, -shift)
+    n = np.minimum(np.diff(x_at)[pair], np.diff(y_at)[pair] - shift) - lo
+    rows = np.flatnonzero(n >= span)
+    found = [np.zeros((3, 0), np.int64)]
+    upto = np.concatenate([[0], np.cumsum(n[rows] + 1)])
+    at = 0
+    while at < len(rows):
+        then = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_A_TIME, side="right")) - 1)
+        own, begin = rows[at:then], upto[at:then] - upto[at]
+        size = n[own] + 1  # one more, which ends the row
+        place = np.arange(upto[then] - upto[at])
+        left = np.repeat(x_at[pair[own]] + lo[own] - begin, size) + place
+        right = left + np.repeat(y_at[pair[own]] + shift[own] - x_at[pair[own]], size)
+        end = begin + n[own]
+        left[end], right[end] = 0, 0
+        same = np.concatenate([[False], x[left] == y[right]])
+        same[end + 1] = False
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        first, last = edge[::2], edge[1::2]
+        long = last - first >= span
+        first, last = first[long], last[long]
+        k = np.searchsorted(begin, first, side="right") - 1
+        back = lo[own[k]] - begin[k]
+        found.append(np.stack([own[k], first + back, last + back]))
+        at = then
+    return tuple(np.concatenate(found, axis=1))
+
+
 def shared_runs(x: np.ndarray, y: np.ndarray, shifts: list[int], span: int, similarity: float | None, ahead: int | None = None) -> list[tuple[int, int, int, int, float]]:
     """Passages (x first, x last, y first, y last, Jaccard) of at least ``span`` tokens: stretches that
     are equal along an anchor's shift, then the maximal stretches that are as similar as asked and in
     no such passage (of those that overlap, as many as cover all). In regions of one
     document, ``ahead`` tells how far y begins after x, so that no token is matched with itself."""
+    shift = np.array(shifts, np.int64)
+    k, first, end = equal_runs(x, y, np.array([0, len(x)]), np.array([0, len(y)]), np.zeros(len(shift), np.int64), shift, span)
+    return _with_near(x, y, zip(shift[k].tolist(), first.tolist(), end.tolist(), strict=True), span, similarity, ahead)
+
+
+def _with_near(x: np.ndarray, y: np.ndarray, equal: Iterable[tuple[int, int, int]], span: int, similarity: float | None, ahead: int | None) -> list[tuple[int, int, int, int, float]]:
+    """``shared_runs`` of a pair whose equal stretches are (shift, first, end)."""
     out = []
     covered = np.zeros(len(y), bool)
-    for s in shifts:  # y[i + s] stands against x[i]
-        lo, hi = max(0, -s), min(len(x), len(y) - s)
-        if hi - lo < span:
-            continue
-        same = np.concatenate([[False], x[lo:hi] == y[lo + s : hi + s], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        for b, e in zip(edge[::2] + lo, edge[1::2] + lo, strict=True):
-            if e - b >= span and not covered[b + s : e + s].all():
-                covered[b + s : e + s] = True
-                out.append((int(b), int(e) - 1, int(b) + s, int(e) - 1 + s, 1.0))
-    if similarity is None:
+    for s, b, e in equal:
+        if not covered[b + s : e + s].all():
+            covered[b + s : e + s] = True
+            out.append((b, e - 1, b + s, e - 1 + s, 1.0))
+    if similarity is None or not len(x) or covered.all():
         return out
-    hit = np.isin(y, x)
     order = np.argsort(x, kind="stable")
-    if ahead is not None and len(x):
-        match = order[np.minimum(np.searchsorted(x[order], y), len(x) - 1)]
+    ranked = x[order]
+    place = np.minimum(np.searchsorted(ranked, y), len(x) - 1)
+    hit, match = ranked[place] == y, order[place]
+    if ahead is not None:
         hit &= np.arange(len(y)) + ahead - match >= span + WIDTH - 1
     held = np.flatnonzero(hit)
-    if not (hit & ~covered).any() or len(held) < similarity * span:
+    if len(held) < similarity * span or covered[held].all():
         return out
-    at = order[np.searchsorted(x[order], y[held])]
+    at = match[held]
+    # where no token repeats and none is barred, each match is one token of both sets
+    plain = ahead is None and not (ranked[1:] == ranked[:-1]).any() and len(np.unique(at)) == len(at)
+    if plain:
+        rest = np.sort(y[~hit])
+        plain = not (rest[1:] == rest[:-1]).any()
+    if not plain:
+        code = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+        of_x, of_y, codes = code[: len(x)], code[len(x) :], int(code.max()) + 1
 
     def near(i: int, j: int) -> tuple[int, int, int, int, float] | None:
-        p, q, b, e = int(at[i : j + 1].min()), int(at[i : j + 1].max()), int(held[i]), int(held[j])
-        if min(q - p, e - b) + 1 < span or covered[b : e + 1].all():
+        b, e = int(held[i]), int(held[j])
+        if e - b + 1 < span or covered[b : e + 1].all():
+            return None
+        p, q = int(at[i : j + 1].min()), int(at[i : j + 1].max())
+        if q - p + 1 < span:
             return None
-        u, w = np.unique(x[p : q + 1]), np.unique(y[b : e + 1])
-        both = len(np.intersect1d(u, w, assume_unique=True))
-        share = both / (len(u) + len(w) - both)
+        if plain:
+            both, whole = j - i + 1, q - p + e - b + 2
+        else:
+            u, w = np.zeros(codes, bool), np.zeros(codes, bool)
+            u[of_x[p : q + 1]] = True
+            w[of_y[b : e + 1]] = True
+            both, whole = int(np.count_nonzero(u & w)), int(np.count_nonzero(u) + np.count_nonzero(w))
+        share = both / (whole - both)
         return (p, q, b, e, share) if share >= similarity else None
 
-    for run in np.split(np.arange(len(held)), np.flatnonzero(np.diff(held) > GAP) + 1):
-        if found := near(int(run[0]), int(run[-1])):
+    cut = np.flatnonzero(np.diff(held) > GAP) + 1
+    begin, end = np.append(0, cut), np.append(cut, len(held)) - 1
+    long = held[end] - held[begin] + 1 >= span
+    for i, j in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+        if found := near(i, j):
             covered[found[2] : found[3] + 1] = True
             out.append(found)
     # m matches in stretches of l and k tokens suffice if (1 + similarity) m >= similarity (l + k): a
@@ -387,17 +483,19 @@ def shared_runs(x: np.ndarray, y: np.ndarray, shifts: list[int], span: int, simi
     high = np.maximum.accumulate(g[::-1])[::-1]
     far = len(held) - 1 - np.searchsorted(high[::-1], g + similarity - 1 - 1e-9)
     todo = np.flatnonzero((held[np.maximum(far, 0)] - held + 1 >= span) & (far >= 0))
-    grows = todo[far[todo] > np.concatenate([[-1], np.maximum.accumulate(far[todo])[:-1]])] if len(todo) else todo
+    if not len(todo):
+        return out
+    grows = todo[far[todo] > np.concatenate([[-1], np.maximum.accumulate(far[todo])[:-1]])]
     found = [near(i, int(far[i])) for i in covering(held[grows], held[far[grows]], grows)]
     if None in found:
         # repeated tokens misled the counts, or the stretch lies in passages: from every few tokens on, the
         # longest stretch of a few spans, so that time stays in proportion to the text
         most, then, found = -1, 0, []
-        for i in todo.tolist():
-            if held[i] < then:
+        reach = np.searchsorted(held, held[todo] + 4 * span, side="right")
+        for i, begins, upto in zip(todo.tolist(), held[todo].tolist(), reach.tolist(), strict=True):
+            if begins < then:
                 continue
-            then = held[i] + STRIDE
-            upto = int(np.searchsorted(held, held[i] + 4 * span, side="right"))
+            then = begins + STRIDE
             good = np.flatnonzero(g[i + 1 : upto] >= g[i] + similarity - 1 - 1e-9)
             j = i + 1 + int(good[-1]) if len(good) else i
             if j > most and (one := near(i, j)):
@@ -415,16 +513,39 @@ def verified(batches: Iterator[pa.RecordBatch], span: int, similarity: float, ne
     """Passages of each pair of regions: equal ones along its shifts, and near ones if ``near_too`` is set or
     the pair has no shifts."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, a_lo, _, b, b_lo, _ = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        x, x_at = _tokens(batch.column(7))
+        y, y_at = _tokens(batch.column(8))
+        many = batch.column(6).value_lengths().to_numpy(zero_copy_only=False)
+        pair = np.repeat(np.arange(batch.num_rows), many)
+        shift = batch.column(6).flatten().to_numpy(zero_copy_only=False) + (a_lo - b_lo)[pair]
+        k, first, end = equal_runs(x, y, x_at, y_at, pair, shift, span)
+        edge = np.searchsorted(pair[k], np.arange(batch.num_rows + 1)).tolist()
+        equal = list(zip(shift[k].tolist(), first.tolist(), end.tolist(), strict=True))
         rows = []
-        for r in batch.to_pylist():
-            x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
-            shifts = [s + r["a_lo"] - r["b_lo"] for s in r["shifts"]]
-            for p, q, b, e, share in shared_runs(x, y, shifts, span, similarity if near_too or not shifts else None, r["b_lo"] - r["a_lo"] if r["a"] == r["b"] else None):
-                equal = np.array_equal(x[p : q + 1], y[b : e + 1])
-                rows.append((r["b"], r["b_lo"] + b, r["b_lo"] + e + WIDTH, r["a"], r["a_lo"] + p, r["a_lo"] + q + WIDTH, share, equal))
-        frame = pd.DataFrame(list(dict.fromkeys(rows)), columns=[*COLUMNS, "equal"]) if rows else None
-        if frame is not None:
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+        for n, (i, i_lo, j, j_lo, shifts, s, e, t, f) in enumerate(zip(a.tolist(), a_lo.tolist(), b.tolist(), b_lo.tolist(), many.tolist(), x_at[:-1].tolist(), x_at[1:].tolist(), y_at[:-1].tolist(), y_at[1:].tolist(), strict=True)):
+            near = similarity if near_too or not shifts else None
+            if near is None and edge[n] == edge[n + 1]:
+                continue
+            u, w = x[s:e], y[t:f]
+            for p, q, c, d, share in _with_near(u, w, equal[edge[n] : edge[n + 1]], span, near, j_lo - i_lo if i == j else None):
+                alike = share == 1 and np.array_equal(u[p : q + 1], w[c : d + 1])
+                rows.append((j, j_lo + c, j_lo + d + WIDTH, i, i_lo + p, i_lo + q + WIDTH, share, alike))
+        if rows:
+            kinds = [pa.int64()] * 6 + [pa.float64(), pa.bool_()]
+            columns = zip(*dict.fromkeys(rows), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[*COLUMNS, "equal"])
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a binary column, and where each row's begin, with the end."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    tokens = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return (tokens if tokens.ctypes.data % 8 == 0 else tokens.copy()).view(np.uint64), (at - at[0]) // 8
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hashes: int = HASHES, enough: int = ENOUGH, similarity: float = SIMILARITY) -> DataFrame:
@@ -584,8 +705,8 @@ def _passages(texts: DataFrame, pairs: DataFrame, span: int, similarity: float,
     travel only for pairs that hold as many equal ones as the shortest passage at the threshold needs."""
     spark = texts.sparkSession
     regions = pairs.select(F.col("a").alias("id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(pairs.select("b", "b_lo", "b_hi")).distinct()
-    # a document's regions are dealt over a few rows, so that a popular one doesn't become one long list
-    regions = regions.groupBy("id", F.pmod(F.xxhash64("lo", "hi"), F.lit(4)).alias("part")).agg(F.collect_list(F.struct("lo", "hi")).alias("regions")).select("id", "regions")
+    # a long document's regions are dealt over rows by their place, so that they don't become one long list
+    regions = regions.groupBy("id", F.floor(F.col("lo") / BLOCK).alias("part")).agg(F.collect_list(F.struct("lo", "hi")).alias("regions")).select("id", "regions")
     # ids are unique and regions distinct, hence the excerpts are
     cut = texts.hint("merge").join(regions, "id").select("id", "text", "regions").mapInArrow(excerpts, "id long, lo long, hi long, tokens binary, prints binary")
     cut = written(cut, "excerpts")

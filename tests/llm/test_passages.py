@@ -208,3 +208,83 @@ def test_excerpts_hold_the_prints_of_their_tokens():
     tokens, prints = ([np.frombuffer(b, t) for b in out.column(c).to_pylist()] for c, t in (("tokens", np.uint64), ("prints", np.uint16)))
     assert [len(t) for t in tokens] == [58, 6]
     assert all(np.array_equal((t >> np.uint64(48)).astype(np.uint16), p) for t, p in zip(tokens, prints, strict=True))
+
+
+def plain_windows(rng, docs):
+    """Shared windows of random documents under six hash functions, as ``met`` has them."""
+    rows = []
+    for i in range(docs):
+        n, m = rng.randint(60, 400), []
+        for k in range(passages.HASHES):
+            v = np.array([rng.getrandbits(40) for _ in range(n)], np.uint64)
+            for place, first, last in zip(*(x.tolist() for x in passages.compact_windows(v, np.array([0, n]), passages.SPAN))):
+                if rng.random() < 0.5:
+                    pos = (place << 16) | ((place - first) << 8) | (last + passages.SPAN - 1 - place)
+                    m.append({"key": (rng.getrandbits(50) << 3) | k, "pos": pos, "a": rng.randint(0, 3), "apos": rng.randint(0, 300) << 16})
+        found = [{"s": s, "e": s + rng.randint(40, 120), "equal": rng.random() < 0.5, "rep": rng.random() < 0.5} for s in (rng.randint(0, n) for _ in range(rng.randint(0, 3)))]
+        rows.append((i, m, found or None))
+    return [r for r in rows if r[1]]
+
+
+def table(rows):
+    window = pa.list_(pa.struct([(c, pa.int64()) for c in ("key", "pos", "a", "apos")]))
+    place = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("equal", pa.bool_()), ("rep", pa.bool_())]))
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), window, place), strict=True)], names=["id", "m", "found"])
+
+
+def test_documents_are_counted_side_by_side():
+    """Numpy works on many documents at once, and what it finds of each is what it finds of that one alone."""
+    rows = plain_windows(random.Random(31), 200)
+    batch = table(rows)
+    runs = list(passages.shared_windows(batch, passages.SPAN))
+    assert len(runs) < 20 and sum(part.stop - part.start for part, _ in runs) == len(rows)
+    for part, w in runs:
+        for d, (_, m, _) in enumerate(rows[part]):
+            starts = {}
+            for r in m:
+                c, left, right = r["pos"] >> 16, (r["pos"] >> 8) & 255, r["pos"] & 255
+                for s in range(c - left, c + right - passages.SPAN + 2):
+                    starts.setdefault(s, set()).add(r["key"] & 7)
+            place = np.arange(w.edge[d], w.edge[d + 1]) - w.shift[d]
+            assert w.count[w.edge[d] : w.edge[d + 1]].tolist() == [len(starts.get(int(s), ())) for s in place]
+    for step in (lambda it: passages.supported((b.select([0, 1]) for b in it), passages.SPAN, 2), lambda it: passages.left_over(it, passages.SPAN, passages.HASHES)):
+        listed = lambda it: sorted(map(repr, (r for out in step(it) for r in out.to_pylist())))  # noqa: B023, E731
+        assert listed(iter([batch])) == listed(table([r]) for r in rows) != []
+
+
+def test_equal_stretches_of_many_pairs_at_once(monkeypatch):
+    rng = random.Random(32)
+    monkeypatch.setattr(passages, "AT_A_TIME", 700)
+    pairs, want = [], []
+    for n in range(40):
+        x = [rng.getrandbits(64) for _ in range(rng.randint(0, 200))]
+        y = [rng.getrandbits(64) for _ in range(rng.randint(0, 50))] + x[rng.randint(0, 60) :]
+        for _ in range(rng.randint(0, 2)):
+            y[rng.randrange(len(y)) : len(y)] = y[rng.randrange(len(y)) :] if y else []
+        pairs.append((x, y, sorted(rng.sample(range(-60, 60), 30))))
+        for s in pairs[-1][2]:
+            same = [0 <= i + s < len(y) and x[i] == y[i + s] for i in range(len(x))] + [False]
+            first = 0
+            for i, one in enumerate(same):
+                if not one:
+                    want += [(n, s, first, i)] if i - first >= passages.SPAN else []
+                    first = i + 1
+    at = lambda k: np.cumsum([0, *(len(p[k]) for p in pairs)])
+    x, y = (np.array([t for p in pairs for t in p[k]], np.uint64) for k in (0, 1))
+    pair, shift = np.repeat(np.arange(40), 30), np.array([s for p in pairs for s in p[2]])
+    k, first, end = passages.equal_runs(x, y, at(0), at(1), pair, shift, passages.SPAN)
+    assert list(zip(pair[k].tolist(), shift[k].tolist(), first.tolist(), end.tolist())) == want != []
+
+
+def test_words_are_sums_of_their_bytes():
+    from palimpsest.llm import _words
+
+    texts = ["", "a", "Ab \t c", "é" * 40 + " x", *(f"{'x' * n} y{'z' * n}" for n in (1, 2, 31, 63, 64, 65, 130)), None, "end"]
+    raw, starts, ends = _words.utf8(pa.array(texts))
+    h, at = _words.words(raw, starts, ends)
+    split = [w for t in texts for w in (t or "").lower().split()]
+    base, mask = int(_words.BASE), (1 << 64) - 1
+    sums = [(sum(int(_words.BYTE[c]) * pow(base, k, 1 << 64) for k, c in enumerate(w.encode())) + len(w.encode()) * int(_words.STEP)) & mask for w in split]
+    assert h.tolist() == _words.mix(np.array(sums, np.uint64)).tolist()
+    assert np.diff(at).tolist() == [len((t or "").split()) for t in texts]
