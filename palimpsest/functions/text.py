@@ -43,6 +43,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
+def trimmed(text: Column) -> Column:
+    """Without spaces of any width at its ends; tabs and line breaks stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def fold_quotes(text: Column) -> Column:
     """For tolerant search: straight quotes and dashes, single spaces."""
     return collapse(F.translate(text, CURLY, STRAIGHT))

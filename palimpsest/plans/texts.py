@@ -195,7 +195,7 @@ SELECT doc_id, (instr(text, trim(quote)) - 1)::INTEGER AS char_start, (instr(tex
 def find_quote(spark: S, sf: str) -> D:
     """Each whole text is searched for one quote of its own."""
     d = docs(spark, sf).where("length(text) > 0").withColumn("quote", F.substring("text", (1 + F.col("doc_id") * 13 % F.length("text")).cast("int"), F.lit(25)))
-    d = d.where((F.trim("quote") != "") & ~F.col("quote").rlike(r"[ \t\n\r\f\x0B\x{00A0}]{2,}|[\n\r\t‘’“”–—]"))
+    d = d.where((T.trimmed(F.col("quote")) != "") & ~F.col("quote").rlike(r"[ \t\n\r\f\x0B\x{00A0}]{2,}|[\n\r\t‘’“”–—]"))
     return d.select("doc_id", labels.found(F.col("text"), F.col("quote")).alias("f")).select("doc_id", "f.char_start", "f.char_end")
 
 
