@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 from ..session import ship
@@ -120,30 +121,34 @@ def search(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: flo
     return _ranked(query_terms(queries), index.postings, index.terms, index.corpus, k, k1, b)
 
 
-def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Search without a stored index: one pass makes postings of the queries' terms only."""
+def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, grid: DataFrame | None = None) -> DataFrame:
+    """Search without a stored index: one pass makes postings of the queries' terms only. With a grid of
+    settings (k1, b and columns that name them) each of them ranks for itself: (grid columns, query_id,
+    chunk_ord, score, rank)."""
     q, t = query_terms(queries), tokenized(chunks)
     wanted = q.select("term").distinct()
     held = t.select("chunk_ord", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = kept(held.groupBy("term", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    return _ranked(q, postings, document_frequencies(postings), corpus_of(t.select("dl")), k, k1, b)
+    return _ranked(q, postings, document_frequencies(postings), corpus_of(t.select("dl")), k, k1, b, grid)
 
 
-def _ranked(q: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+def _ranked(q: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFrame, k: int, k1: float, b: float, grid: DataFrame | None = None) -> DataFrame:
     """Queries of a bounded number of terms are sent to where the chunks are: the postings of their terms are
-    dealt by chunk, each task scores its chunks for all queries in arrays and keeps the first k of each, and
-    these few meet. Beyond that bound, queries and postings meet in a join."""
+    dealt by chunk, each task scores its chunks for all queries and settings in arrays and keeps the first k
+    of each, and these few meet. Beyond that bound, queries and postings meet in a join."""
     if k < 1:
         raise ValueError("k must be positive")
+    grid = grid.distinct() if grid is not None else None
+    settings = grid.limit(MOST_QUERY_TERMS + 1).collect() if grid is not None else []
     weighed = q.join(terms, "term").join(corpus).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("w"))
     few = weighed.limit(MOST_QUERY_TERMS + 1).collect()
-    if len(few) > MOST_QUERY_TERMS:
-        return top_k(_score(q, postings, terms, corpus, k1, b), k)
+    if len(few) * max(1, len(settings)) > MOST_QUERY_TERMS:
+        return top_k(_score(q, postings, terms, corpus, k1, b, grid), k, (*(grid.columns if grid is not None else ()), "query_id"))
     spark = postings.sparkSession
     ship(spark)
     names = {t: i for i, t in enumerate(sorted({r["term"] for r in few}))}
     ids = {i: n for n, i in enumerate(dict.fromkeys(r["query_id"] for r in few))}
-    plan = Plan(list(ids), [], [], k, k1, b, few[0]["avgdl"] if few else 0.0, to_arrow_type(q.schema["query_id"].dataType))
+    plan = Plan(list(ids), [], [], k, [(r["k1"], r["b"]) for r in settings] if grid is not None else [(k1, b)], few[0]["avgdl"] if few else 0.0, to_arrow_type(q.schema["query_id"].dataType))
     by_term: dict[int, list] = {}
     for r in few:
         by_term.setdefault(names[r["term"]], []).append((ids[r["query_id"]], r["w"]))
@@ -156,27 +161,32 @@ def _ranked(q: DataFrame, postings: DataFrame, terms: DataFrame, corpus: DataFra
     held = postings.join(F.broadcast(numbers), "term").select("t", F.col("chunk_ord").cast("long"), F.col("tf").cast("double"), F.col("dl").cast("double"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     sent = spark.sparkContext.broadcast(plan)
-    found = held.repartition(parts, "chunk_ord").mapInArrow(lambda it: scored_blocks(it, sent.value), f"query_id {kind}, chunk_ord long, score double")
-    return top_k(found.select("query_id", F.col("chunk_ord").cast(chunk), F.round("score", DIGITS).alias("score")), k)
+    found = held.repartition(parts, "chunk_ord").mapInArrow(lambda it: scored_blocks(it, sent.value), f"setting int, query_id {kind}, chunk_ord long, score double")
+    found = found.select("setting", "query_id", F.col("chunk_ord").cast(chunk), F.round("score", DIGITS).alias("score"))
+    if grid is None:
+        return top_k(found.drop("setting"), k)
+    best = top_k(found, k, ("setting", "query_id"))
+    numbered = spark.createDataFrame([(n, tuple(r)) for n, r in enumerate(settings)], StructType([StructField("setting", IntegerType()), StructField("g", grid.schema)]))  # bounded likewise
+    return best.join(F.broadcast(numbered), "setting").select("g.*", "query_id", "chunk_ord", "score", "rank")
 
 
 @dataclass
 class Plan:
-    """What a task needs to score its chunks: query ids, for each term its queries and their weights."""
+    """What a task needs to score its chunks: query ids, for each term its queries and their weights, and the
+    settings (k1, b)."""
 
     ids: list
     queries: list
     weights: list
     k: int
-    k1: float
-    b: float
+    settings: list[tuple[float, float]]
     avgdl: float
     kind: pa.DataType
 
 
 def scored_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """(t, chunk_ord, tf, dl), all postings of some chunks -> the best chunks of each query among them: the
-    first k, and all that might be among them once scores are rounded."""
+    """(t, chunk_ord, tf, dl), all postings of some chunks -> the best chunks of each setting and query among
+    them: the first k, and all that might be among them once scores are rounded."""
     columns: list[list[np.ndarray]] = [[], [], [], []]
     for batch in batches:
         for c, values in zip(columns, batch.columns, strict=True):
@@ -185,25 +195,26 @@ def scored_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.
         return
     t, chunk, tf, dl = map(np.concatenate, columns)
     chunks, place = np.unique(chunk, return_inverse=True)
-    part = tf * (plan.k1 + 1) / (tf + plan.k1 * (1 - plan.b + plan.b * dl / plan.avgdl))
     order = np.argsort(t, kind="stable")
-    t, place, part = t[order], place[order], part[order]
+    t, place, tf, dl = t[order], place[order], tf[order], dl[order]
     edges = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     ends = np.append(edges[1:], len(t))
     at_once = max(1, CELLS // len(chunks))
     ids = pa.array(plan.ids, plan.kind)
-    for lo in range(0, len(plan.ids), at_once):
-        scores = np.zeros((min(at_once, len(plan.ids) - lo), len(chunks)))
-        for s, e in zip(edges, ends, strict=True):
-            its, w = plan.queries[t[s]], plan.weights[t[s]]
-            here = (its >= lo) & (its < lo + len(scores))
-            if here.any():
-                scores[(its[here] - lo)[:, None], place[s:e]] += w[here][:, None] * part[s:e]
-        rows, cols = [], []
-        for n, row in enumerate(scores):
-            least = np.partition(row, len(row) - plan.k)[len(row) - plan.k] if len(row) > plan.k else 0.0
-            best = np.flatnonzero((row > 0) & (row >= least - 2 * 10.0**-DIGITS))
-            rows.append(np.full(len(best), n))
-            cols.append(best)
-        r, c = np.concatenate(rows), np.concatenate(cols)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + lo)), pa.array(chunks[c]), pa.array(scores[r, c])], names=["query_id", "chunk_ord", "score"])
+    for setting, (k1, b) in enumerate(plan.settings):
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / plan.avgdl))
+        for lo in range(0, len(plan.ids), at_once):
+            scores = np.zeros((min(at_once, len(plan.ids) - lo), len(chunks)))
+            for s, e in zip(edges, ends, strict=True):
+                its, w = plan.queries[t[s]], plan.weights[t[s]]
+                here = (its >= lo) & (its < lo + len(scores))
+                if here.any():
+                    scores[(its[here] - lo)[:, None], place[s:e]] += w[here][:, None] * part[s:e]
+            rows, cols = [], []
+            for n, row in enumerate(scores):
+                least = np.partition(row, len(row) - plan.k)[len(row) - plan.k] if len(row) > plan.k else 0.0
+                best = np.flatnonzero((row > 0) & (row >= least - 2 * 10.0**-DIGITS))
+                rows.append(np.full(len(best), n))
+                cols.append(best)
+            r, c = np.concatenate(rows), np.concatenate(cols)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), setting, np.int32)), ids.take(pa.array(r + lo)), pa.array(chunks[c]), pa.array(scores[r, c])], names=["setting", "query_id", "chunk_ord", "score"])

@@ -21,7 +21,7 @@ def bm25_topk(spark: S, sf: str) -> D:
 @query(f"WITH g(k1, b) AS (VALUES (0.9::DOUBLE, 0.4::DOUBLE), (1.2, 0.75), (1.5, 0.75), (2.0, 0.9)), {bm25(DOCS, ITEMS, 'k1', 'b', 'g')}, {topk(5, 'k1, b, query_id')} SELECT k1, b, query_id, chunk_ord, score, rank::INTEGER AS rank FROM run")
 def bm25_param_sweep(spark: S, sf: str) -> D:
     grid = spark.sql("SELECT * FROM VALUES (0.9D, 0.4D), (1.2D, 0.75D), (1.5D, 0.75D), (2.0D, 0.9D) AS g(k1, b)")
-    return index.top_k(index.scores(index.build(documents(spark, sf)), questions(spark, sf), grid=grid), 5, ("k1", "b", "query_id"))
+    return index.search_texts(documents(spark, sf), questions(spark, sf), 5, grid=grid)
 
 
 @query(f"SELECT doc_id, len({toks('text')})::BIGINT AS n_tokens, md5(array_to_string({toks('text')}, ' ')) AS tokens_md5 FROM documents")

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from palimpsest import plans
 from palimpsest.operators import index
+from tests.conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +47,25 @@ def test_no_queries_and_no_chunks(spark, stored):
     assert index.search_texts(empty, q).collect() == []
     with pytest.raises(ValueError):
         index.search(stored, q, 0)
+
+
+def test_settings_rank_where_the_chunks_are(spark, monkeypatch):
+    """A grid gives what a search with each of its settings gives, and no row of a pair of query and chunk
+    travels for it."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    chunks = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 30)))) for i in range(300)], "chunk_ord long, text string")
+    queries = spark.createDataFrame([(i, " ".join(r.choices(words, k=4))) for i in range(9)], "query_id long, query string")
+    grid = spark.createDataFrame([("a", 0.9, 0.4), ("b", 2.0, 0.9), ("c", 0.9, 0.4), ("a", 0.9, 0.4)], "name string, k1 double, b double")
+    columns = ["name", "k1", "b", "query_id", "chunk_ord", "score", "rank"]
+    want = [(name, k1, b, *x) for name, k1, b in (("a", 0.9, 0.4), ("b", 2.0, 0.9), ("c", 0.9, 0.4)) for x in index.search_texts(chunks, queries, 5, k1, b).select(columns[3:]).collect()]
+    got = index.search_texts(chunks, queries, 5, grid=grid)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(want)
+    monkeypatch.setattr(index, "MOST_QUERY_TERMS", 3)
+    joined = index.search_texts(chunks, queries, 5, grid=grid).select(columns)
+    assert sorted(map(tuple, joined.collect())) == sorted(want)
+
+
+def test_sweep_scores_no_pair_in_a_join(spark, monkeypatch):
+    monkeypatch.setattr(index, "_score", lambda *a: pytest.fail("queries and postings met in a join"))
+    assert plans.QUERIES["bm25_param_sweep"](spark, SF).count() > 0
