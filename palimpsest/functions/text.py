@@ -80,8 +80,12 @@ def is_boilerplate(title: Column) -> Column:
 
 def overlap_share(query: Column, text: Column, if_empty: float = 0.0) -> Column:
     """Share of the query's distinct tokens that the text holds; ``if_empty`` without tokens."""
-    q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) == 0, F.lit(if_empty)).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q))
+    return held_share(F.array_distinct(tokens(query)), tokens(text), if_empty)
+
+
+def held_share(q: Column, held: Column, if_empty: float = 0.0) -> Column:
+    """``overlap_share`` of distinct tokens that are there already."""
+    return F.when(F.size(q) == 0, F.lit(if_empty)).otherwise(F.size(F.array_intersect(q, held)) / F.size(q))
 
 
 def numbers_in(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import spans
+from .tables import kept, released
 
 # Limits that a case must keep.
 QUERY_TOKENS = (5, 60)
@@ -72,21 +73,31 @@ def usable_anchors(anchors: Column, paragraph: Column, most_words: int = 8) -> C
 def violations(rows: DataFrame, sections: DataFrame, documents: DataFrame, held_out: DataFrame, most_per_article: int = 3) -> DataFrame:
     """(check, id, detail) for every fault of a set of cases (query_id, paragraph_id, style, query, pmcid,
     section, char_start, char_end, gold_text_sha1, lexical_overlap, anchors); empty for a clean set."""
+    rows = kept(rows, "cases", "zstd")  # every check reads them, none makes them again
+    released(rows.sparkSession)
     styles = rows.groupBy("paragraph_id").agg(F.array_join(F.array_sort(F.collect_set("style")), ",").alias("styles"))
     bad = [styles.where("styles <> 'lexical,paraphrased'").select(F.lit("styles").alias("check"), F.col("paragraph_id").alias("id"), F.col("styles").alias("detail"))]
-    texts = spans.dereference(rows, sections, documents)
-    whole = texts.join(styles.where("styles = 'lexical,paraphrased'").select("paragraph_id"), "paragraph_id", "left_semi")
-    ok = whole.where("error is null")
-    lexical = F.col("style") == "lexical"
-    bad.append(whole.where(lexical & F.col("error").isNotNull()).select(F.lit("span").alias("check"), F.col("paragraph_id").alias("id"), F.col("error").alias("detail")))
-    bad.append(ok.where(lexical & ~F.col("gold_text_sha1").eqNullSafe(T.digest(F.col("span_text")))).select(F.lit("digest").alias("check"), F.col("paragraph_id").alias("id"), T.digest(F.col("span_text")).alias("detail")))
-    anchor = ok.where(lexical).select("paragraph_id", "span_text", F.explode("anchors").alias("a"))
-    bad.append(anchor.where(~F.contains(T.normalize(F.col("span_text")), T.normalize(F.col("a")))).select(F.lit("anchor").alias("check"), F.col("paragraph_id").alias("id"), F.col("a").alias("detail")))
-    share = F.round(T.overlap_share(F.col("query"), F.col("span_text")), 4)
-    bad.append(ok.where(F.abs(share - F.col("lexical_overlap")) > 1e-9).select(F.lit("overlap").alias("check"), F.col("query_id").alias("id"), F.format_number(share, 4).alias("detail")))
+    # each value is a column before faults refer to it, so that none is worked out twice
+    texts = spans.dereference(rows, sections, documents).withColumn("q", F.array_distinct(T.tokens(F.col("query"))))
+    texts = texts.withColumn("share", F.round(T.held_share(F.col("q"), T.tokens(F.col("span_text"))), 4))
+    texts = texts.withColumn("sha1", F.when(F.col("style") == "lexical", T.digest(F.col("span_text"))))
+    lexical, ok, text = F.col("style") == "lexical", F.col("error").isNull(), F.col("span_text")
+    fault = lambda what, key, detail: F.struct(F.lit(what).alias("check"), F.col(key).cast("string").alias("id"), detail.alias("detail"))
+    if_so = lambda holds, f: F.when(holds, F.array(f)).otherwise(F.array().cast("array<struct<check:string,id:string,detail:string>>"))
+    lost = F.filter(F.coalesce("anchors", F.array().cast("array<string>")), lambda a: lexical & ok & ~F.contains(T.normalize(text), T.normalize(a)))
+    faults = F.concat(
+        if_so(lexical & ~ok, fault("span", "paragraph_id", F.col("error"))),
+        if_so(lexical & ok & ~F.col("gold_text_sha1").eqNullSafe(F.col("sha1")), fault("digest", "paragraph_id", F.col("sha1"))),
+        F.transform(lost, lambda a: fault("anchor", "paragraph_id", a)),
+        if_so(ok & (F.abs(F.col("share") - F.col("lexical_overlap")) > 1e-9), fault("overlap", "query_id", F.format_number("share", 4))),
+    )
+    # a paragraph's faults count where both its styles are there; only faults travel to them, where a semi join
+    # would be pushed below the texts, and an inner explode would have them worked out twice to look for empty ones
+    whole = styles.where("styles = 'lexical,paraphrased'").select("paragraph_id")
+    bad.append(texts.select("paragraph_id", faults.alias("faults")).select("paragraph_id", F.explode_outer("faults").alias("f")).where("f is not null").join(whole, "paragraph_id").select("f.*"))
     for what, col in (("duplicate_id", F.col("query_id")), ("duplicate_text", T.normalize(F.col("query")))):
         bad.append(rows.groupBy(col.alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(what).alias("check"), "id", F.col("n").cast("string").alias("detail")))
-    bad.append(rows.join(held_out.select("pmcid"), "pmcid", "left_semi").select(F.lit("held_out").alias("check"), F.col("pmcid").cast("string").alias("id"), F.lit("").alias("detail")).distinct())
+    bad.append(rows.select("pmcid").distinct().join(held_out.select("pmcid"), "pmcid", "left_semi").select(F.lit("held_out").alias("check"), F.col("pmcid").cast("string").alias("id"), F.lit("").alias("detail")))
     per = rows.where(lexical).groupBy("pmcid").agg(F.count_distinct("paragraph_id").alias("n")).where(F.col("n") > most_per_article)
     bad.append(per.select(F.lit("concentration").alias("check"), F.col("pmcid").cast("string").alias("id"), F.col("n").cast("string").alias("detail")))
     out = bad[0]

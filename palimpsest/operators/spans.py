@@ -20,6 +20,15 @@ def with_offsets(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("char_start", start).withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
 
 
+def lines(sections: DataFrame) -> DataFrame:
+    """The lines of whole sections (pmcid, section, text, ..) as paragraphs with ord and offsets, as
+    ``with_offsets`` gives them; a section is one row, so that nothing travels."""
+    text = F.split("text", "\n")
+    ends = F.aggregate(text, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1) + 1, F.lit(0)) + F.length(x))))
+    out = sections.select(*[c for c in sections.columns if c != "text"], F.posexplode(F.arrays_zip(text.alias("text"), ends.alias("char_end"))).alias("ord", "_l"))
+    return out.select("*", "_l.text", (F.col("_l.char_end") - F.length("_l.text")).alias("char_start"), "_l.char_end").drop("_l")
+
+
 def section_text(paragraphs: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("ord", "text")))
     return paragraphs.groupBy(*KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
@@ -27,12 +36,16 @@ def section_text(paragraphs: DataFrame) -> DataFrame:
 
 def dereference(spans: DataFrame, sections: DataFrame, documents: DataFrame) -> DataFrame:
     """spans with span_text and error: missing_file, no_such_section_or_unparseable, out_of_range or null."""
-    s = sections.select(*KEYS, F.col("text").alias("_text"))
+    # what is known of an article meets the sections that are asked for, so that spans are dealt once and a
+    # text never travels with them; a struct holds a null section, which is none but whose article may be known
+    at = F.struct("section").alias("_at")
+    s = sections.where("section is not null").select("pmcid", at, F.col("text").alias("_text"), F.length("text").alias("_size"))
     d = documents.select("pmcid").distinct().withColumn("_known", F.lit(True))
-    out = spans.join(s, list(KEYS), "left").join(d, "pmcid", "left")
-    start, end, size = F.col("char_start"), F.col("char_end"), F.length("_text")
-    error = F.when(F.col("_known").isNull(), "missing_file").when(F.col("_text").isNull(), "no_such_section_or_unparseable").when(~((start >= 0) & (start < end) & (end <= size)), "out_of_range")
-    return out.withColumn("error", error).withColumn("span_text", F.when(error.isNull(), F.substring("_text", start + 1, end - start))).drop("_text", "_known")
+    asked = spans.select("pmcid", at).distinct().join(d, "pmcid", "left").join(s, ["pmcid", "_at"], "left")
+    out = spans.withColumn("_at", F.struct("section")).join(asked, ["pmcid", "_at"], "left")
+    start, end = F.col("char_start"), F.col("char_end")
+    error = F.when(F.col("_known").isNull(), "missing_file").when(F.col("_text").isNull(), "no_such_section_or_unparseable").when(~((start >= 0) & (start < end) & (end <= F.col("_size"))), "out_of_range")
+    return out.select(*spans.columns, error.alias("error"), F.when(error.isNull(), F.substring("_text", start + 1, end - start)).alias("span_text"))
 
 
 def overlaps(a: str, b: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import building, cases, index, mining, verification
+from ..operators import building, cases, index, mining, spans, verification
 from ..session import shared
 from .base import DOCS, ITEMS, ORACLES, PARA, bm25, collapse, documents, paragraphs, query, questions, raw_paragraphs, table, topk, toks
 from .retrieval import _gold
@@ -199,7 +199,7 @@ _made = f"""{PARA}, made AS (SELECT pmcid, ord::INTEGER AS ord, text AS paragrap
 
 
 def made(spark: S, sf: str) -> D:
-    p = paragraphs(spark, sf)
+    p = spans.lines(table(spark, sf, "documents").select(F.col("doc_id").alias("pmcid"), F.col("lang").alias("section"), "text"))
     o, t = F.col("ord"), F.col("text")
     start = F.substring(t, F.lit(1), 30 + (o % 4) * 60)
     return p.select("pmcid", "section", "char_start", "char_end", "ord", t.alias("paragraph"), F.when(o % 7 == 0, "").when(o % 7 == 1, "not in it at all").otherwise(F.substring(t, F.lit(20), 12 + (o % 5) * 30)).alias("answer"), F.when(o % 11 != 0, start).alias("lexical"), F.when(o % 13 == 0, start).otherwise(F.concat(F.lit("what did they find about "), F.substring(t, 60, 40))).alias("paraphrased"))
