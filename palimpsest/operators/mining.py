@@ -74,17 +74,19 @@ def rare_variants(paragraphs: DataFrame, most_df: int = 1, genes: tuple[str, ...
     gene that ends nearest before the change (UNKNOWN, -1 without one); of several places in an article the
     first counts. Rarest first, then nearest, those without a gene last."""
     condition = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(c)), F.lit(c)) for c in conditions])
-    # each part after the first begins with a change, which a second mark ends
+    # each part after the first begins with a change, which a second mark ends; an inner explode would have the
+    # parts made twice to look for empty ones
     parts = F.split(F.regexp_replace("text", HGVS, "\u0001$0\u0002"), "\u0001")
     p = paragraphs.withColumn("condition", condition).where(F.col("condition").isNotNull() & F.col("text").rlike(HGVS))
-    p = p.select("pmcid", "section", "ord", "condition", "text", parts.alias("parts")).select("*", F.posexplode("parts").alias("i", "part")).where("i > 0")
+    p = p.select("pmcid", "section", "ord", "condition", "text", parts.alias("parts")).select("*", F.posexplode_outer("parts").alias("i", "part")).where("i > 0")
     before = F.replace(F.array_join(F.slice("parts", F.lit(1), F.col("i")), ""), F.lit("\u0002"), F.lit(""))
     p = p.select("pmcid", "section", "ord", "i", "condition", "text", F.length(before).alias("at"), F.substring_index("part", "\u0002", 1).alias("variant"))
     p = nearest_before(p, "text", "at", list(genes))
     first = F.min(F.struct("section", "ord", "i", "name", "distance", "condition"))
     one = p.groupBy("variant", "pmcid").agg(first.alias("f"))
-    # counted first: only what is rare meets its places again, so a frequent change fills no task
-    df = one.groupBy("variant").agg(F.count("*").alias("df")).where(F.col("df") <= most_df)
+    # counted first: only what is rare meets its places again, so a frequent change fills no task; what is counted
+    # is the first place, never null, so that both sides are the same exchange and texts are read once
+    df = one.groupBy("variant").agg(F.count("f").alias("df")).where(F.col("df") <= most_df)
     out = one.join(df, "variant")
     out = out.select("variant", F.coalesce("f.name", F.lit("UNKNOWN")).alias("gene_hint"), F.col("f.distance").alias("gene_distance_chars"), F.col("f.condition").alias("condition"), "df", "pmcid")
     return out.orderBy("df", F.when(F.col("gene_distance_chars") >= 0, F.col("gene_distance_chars")).otherwise(1_000_000), "variant", "pmcid")
@@ -131,6 +133,11 @@ def nearest_before(rows: DataFrame, text: str, at: str, names: list[str], reach:
     """Adds name and distance: the listed name that ends closest before position ``at`` within
     ``reach`` characters; null and -1 if none; ties go to the earlier name in the list."""
     window = F.substring(F.col(text), F.greatest(F.col(at) - reach, F.lit(0)) + 1, F.least(F.col(at), F.lit(reach)))
+    if names and all(re.fullmatch(r"[A-Za-z0-9_]+", n) for n in names):
+        # whole words never overlap: the one that begins last ends last, and one pattern finds it
+        last = rf"(?s)^.*\b({'|'.join(dict.fromkeys(names))})\b(.*)$"
+        out = rows.withColumn("_w", window).withColumn("name", F.nullif(F.regexp_extract("_w", last, 1), F.lit("")))
+        return out.withColumn("distance", F.when(F.col("name").isNotNull(), F.length(F.regexp_extract("_w", last, 2))).otherwise(-1)).drop("_w")
     found = []
     for i, n in enumerate(names):
         # what follows the name's last whole occurrence in the window

@@ -88,6 +88,35 @@ def test_rare_variants(spark):
     assert {r["variant"]: r["df"] for r in mining.rare_variants(p, 2).collect()} == {"c.12A>G": 1, "c.9dup": 1, "c.4_6del": 2}
 
 
+def test_words_nearest_before(spark):
+    """One pattern finds what a search name by name finds, and texts are read once for places and frequencies."""
+    import random
+    import re
+
+    r, names = random.Random(5), ["BRCA1", "ATM", "TP53", "BRCA", "ATM"]
+    texts = ["".join(r.choice(["BRCA1", "ATM", "TP53", "BRCA", "x", " ", " ", "-", "\n", "_", "."]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    rows = [(t, r.randint(0, len(t))) for t in texts]
+
+    def nearest(t, at):
+        w = t[max(at - 60, 0) : at]
+        ends = [(len(w) - m.end(), i, n) for i, n in enumerate(names) for m in re.finditer(rf"\b{n}\b", w, re.ASCII)]
+        return (min(ends)[2], min(ends)[0]) if ends else (None, -1)
+
+    got = mining.nearest_before(spark.createDataFrame(rows, "text string, at int"), "text", "at", names).collect()
+    assert [(x["name"], x["distance"]) for x in got] == [nearest(*x) for x in rows] and len({x["name"] for x in got}) == 5
+    # names that may lie in each other are still sought one by one
+    odd = mining.nearest_before(spark.createDataFrame([("a b c", 5)], "text string, at int"), "text", "at", ["a b", "a b c", "c"]).first()
+    assert (odd["name"], odd["distance"]) == ("a b c", 0)
+    p = spark.createDataFrame([(1, "body", 0, "TP53 c.12A>G in breast cancer")], "pmcid int, section string, ord int, text string")
+    out = mining.rare_variants(p)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 4
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        assert "ReusedExchange" in mining.rare_variants(p)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_dataset_needs_three_files(spark, tmp_path):
     for name, line in (("corpus.jsonl", '{"id": "d", "title": "T", "text": "x"}'), ("queries.jsonl", '{"id": "q", "text": "x"}')):
         (tmp_path / name).write_text(line + "\n\n")
